@@ -285,30 +285,41 @@ def firewall_stats(
 ) -> DataFrame:
     """Totals, detections, response totals and switch state in one row.
 
-    Each input is reduced to one row before the rows are put side by side."""
-
-    def counts_map(counts: DataFrame, key: str, value: str) -> Column:
-        pairs = F.array_sort(F.collect_list(F.struct(key, value)))
-        return F.map_from_entries(pairs)
-
-    patterns = detections_by_pattern(scanned).agg(
-        counts_map(None, "pattern_name", "detections").alias("detections_by_pattern")
-    )
-    types = findings_by_type(responses).agg(
-        counts_map(None, "finding_type", "findings").alias("findings_by_type")
-    )
+    Each input is reduced to one row in one pass; then the rows are put side by
+    side."""
+
+    def counts_map(counts: dict[str, Column]) -> Column:
+        pairs = [p for name, n in sorted(counts.items()) for p in (F.lit(name), n)]
+        return F.map_filter(F.create_map(*pairs), lambda k, n: n > 0)
+
+    patterns = {
+        name: F.count_if(F.array_contains("detections.pattern_name", name))
+        for name in (*R.DETECTOR_SEVERITY, R.SEMANTIC)
+    }
+    types = {
+        t: F.coalesce(
+            F.sum(F.size(F.filter("findings.finding_type", lambda x, t=t: x == F.lit(t)))), F.lit(0)
+        )
+        for t in (
+            *(f.finding_type for f in (*R.SECRETS, *R.PERSONAL_DATA, *R.DATA_LEAKS)),
+            R.JSON_DUMP,
+        )
+    }
     totals = scanned.agg(
         F.countDistinct("server_name").alias("total_scans"),
         F.count("*").alias("total_tools_scanned"),
         F.count_if("blocked").alias("total_tools_blocked"),
+        counts_map(patterns).alias("detections_by_pattern"),
     )
-    answers = response_totals(responses).select(
-        F.col("total_scans").alias("responses_scanned"), F.col("total_findings").alias("response_findings")
+    answers = responses.agg(
+        F.count("*").alias("responses_scanned"),
+        F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("response_findings"),
+        counts_map(types).alias("findings_by_type"),
     )
     switch = kill_switch_counters(controls, control_tie).select(
         F.col("enabled").alias("kill_switch_enabled")
     )
     one = totals.withColumn("_k", F.lit(1))
-    for part in (patterns, answers, types, switch):
+    for part in (answers, switch):
         one = one.join(part.withColumn("_k", F.lit(1)), "_k")
     return one.drop("_k")

@@ -26,17 +26,24 @@ def _number(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def _lines(df: DataFrame, section: int, order: Column, lines: Column) -> DataFrame:
-    return df.select(
-        "server_name",
-        F.lit(section).alias("section"),
-        order.cast("bigint").alias("tool_order"),
-        F.posexplode(lines).alias("line_pos", "line"),
+def _placed(section: int, order: Column, lines: Column) -> Column:
+    """Lines of one section as structs that carry their place."""
+    return F.transform(
+        lines,
+        lambda line, i: F.struct(
+            F.lit(section).alias("section"),
+            order.cast("bigint").alias("tool_order"),
+            i.alias("line_pos"),
+            line.alias("line"),
+        ),
     )
 
 
 def markdown_lines(scanned: DataFrame, order: str, warn_threshold: int = R.WARN_THRESHOLD) -> DataFrame:
-    """Report lines with their place: server, section, tool order, line."""
+    """Report lines with their place: server, section, tool order, line.
+
+    The scan is read twice (totals and lines); hand in a written scan result
+    rather than a running scan."""
     report = scan_report(scanned, warn_threshold)
     none = F.lit(-1)
     head = F.array_compact(
@@ -87,13 +94,17 @@ def markdown_lines(scanned: DataFrame, order: str, warn_threshold: int = R.WARN_
         ),
     )
     details = F.concat(tool_head, bullets, F.array(F.lit("")))
-    flagged = scanned.where(F.size("detections") > 0)
-    return (
-        _lines(report, 0, none, head)
-        .unionByName(_lines(scanned, 1, F.col(order), F.array(row)))
-        .unionByName(_lines(report, 2, none, findings_head))
-        .unionByName(_lines(flagged, 3, F.col(order), details))
-        .unionByName(_lines(report, 4, none, tail))
+    per_server = F.concat(
+        _placed(0, none, head), _placed(2, none, findings_head), _placed(4, none, tail)
+    )
+    per_tool = F.concat(
+        _placed(1, F.col(order), F.array(row)),
+        F.when(F.size("detections") > 0, _placed(3, F.col(order), details)).otherwise(
+            F.array().cast("array<struct<section:int,tool_order:bigint,line_pos:int,line:string>>")
+        ),
+    )
+    return report.select("server_name", F.inline(per_server)).unionByName(
+        scanned.select("server_name", F.inline(per_tool))
     )
 
 

@@ -1 +1 @@
-"""Placeholder."""
+"""Structured Streaming jobs; each reuses the batch transforms."""
