@@ -7,9 +7,10 @@ yields every counter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from toolwarden import rules as R
 
@@ -280,6 +281,10 @@ def metrics_table(
     return table
 
 
+def _equals(value: str) -> Callable[[Column], Column]:
+    return lambda x: x == F.lit(value)
+
+
 def firewall_stats(
     scanned: DataFrame, responses: DataFrame, controls: DataFrame, control_tie: str
 ) -> DataFrame:
@@ -298,7 +303,7 @@ def firewall_stats(
     }
     types = {
         t: F.coalesce(
-            F.sum(F.size(F.filter("findings.finding_type", lambda x, t=t: x == F.lit(t)))), F.lit(0)
+            F.sum(F.size(F.filter("findings.finding_type", _equals(t)))), F.lit(0)
         )
         for t in (
             *(f.finding_type for f in (*R.SECRETS, *R.PERSONAL_DATA, *R.DATA_LEAKS)),

@@ -32,6 +32,22 @@ def quoted(matches: str) -> str:
 _HIDDEN = text(r"[\p{Cf}\p{Co}]")
 _B64 = text(R.BASE64_RUN)
 
+# One valid UTF-8 sequence in hex, every byte behind a space.
+_UTF8 = (
+    "(?: [0-7].| (?:C[2-9A-F]|D.) [89AB].| E0 [AB]. [89AB].| (?:E[1-9ABCEF]) [89AB]. [89AB].| ED [89]. [89AB]."
+    "| F0 [9AB]. [89AB]. [89AB].| F[1-3] [89AB]. [89AB]. [89AB].| F4 8. [89AB]. [89AB].)"
+)
+_PADDED = (
+    "CASE (length(rtrim(x, '=')) % 4) WHEN 0 THEN rtrim(x, '=') "
+    "WHEN 2 THEN CASE WHEN x LIKE '%==' THEN x END "
+    "WHEN 3 THEN CASE WHEN x LIKE '%=' THEN concat(rtrim(x, '='), '=') END END"
+)
+# Text of a base64 run without its invalid bytes.
+_DECODED = (
+    "decode(unhex(replace(array_to_string(regexp_extract_all(regexp_replace("
+    f"hex(from_base64({_PADDED})), '(..)', ' \\1', 'g'), '{_UTF8}'), ''), ' ', '')))"
+)
+
 # Match lists of every text rule, then what was found per detector.
 MATCHES = f"""
 matches AS (
@@ -45,7 +61,7 @@ matches AS (
       list_filter(range(0, length(description)), lambda i: regexp_matches(substr(description, i + 1, 1), {_HIDDEN}))
       ELSE [] END AS hidden,
     list_filter(list_transform(regexp_extract_all(description, {_B64}),
-      lambda x: try(decode(from_base64(x)))),
+      lambda x: {_DECODED}),
       lambda t: t IS NOT NULL AND length(t) > 5 AND NOT regexp_matches(replace(t, ' ', ''), '[\\p{{C}}\\p{{Z}}]')) AS readable,
     len(regexp_extract_all(description, {text(R.HEX_RUN)})) AS hex_runs,
     len(regexp_extract_all(description, {text(R.UNICODE_ESCAPE)})) AS escapes,
@@ -387,11 +403,11 @@ oracle(
     FROM judged WHERE action = 'block' OR risk_score >= block_at""",
 )
 _SWITCH = f"""{_REQ}, listings AS (
-  SELECT r.request_id, r.user_id, coalesce((SELECT max_by(c.value > 245, (c.ts, c.request_id)) FROM requests c
+  SELECT r.request_id, r.user_id, coalesce((SELECT max_by(c.value > 35, (c.ts, c.request_id)) FROM requests c
     WHERE c.method = 'other' AND c.ts <= r.ts), FALSE) AS kill_switch
   FROM requests r WHERE r.method = 'tools/list'
 )"""
-_SWITCH = f"""{_REQ}, controls AS (SELECT ts, value > 245 AS enabled FROM requests WHERE method = 'other'),
+_SWITCH = f"""{_REQ}, controls AS (SELECT ts, value > 35 AS enabled FROM requests WHERE method = 'other'),
 listings AS (
   SELECT r.request_id, r.user_id, coalesce(c.enabled, FALSE) AS kill_switch
   FROM requests r ASOF LEFT JOIN controls c ON r.ts >= c.ts WHERE r.method = 'tools/list'
@@ -629,7 +645,7 @@ _OVERRIDES = f"(SELECT count(*) FROM catalog WHERE {_BLOCK} OR {_ALLOW} OR lengt
 oracle("agg_policy_overrides", f"{_CAT} SELECT {_OVERRIDES} AS policy_overrides")
 oracle(
     "agg_kill_switch",
-    f"{_REQ} SELECT arg_max(value > 245, ts) AS enabled, count_if(value > 245)::BIGINT AS activations "
+    f"{_REQ} SELECT arg_max(value > 35, ts) AS enabled, count_if(value > 35)::BIGINT AS activations "
     "FROM requests WHERE method = 'other'",
 )
 _SERVED = (
@@ -655,8 +671,8 @@ def _metrics_table() -> str:
         "scan_duration_seconds_avg": "(SELECT avg(v) FROM latest)",
         "scan_duration_seconds_max": "(SELECT max(v) FROM latest)",
         "scan_duration_seconds_count": "(SELECT count(*) FROM latest)",
-        "kill_switch_enabled": "(SELECT CAST(arg_max(value > 245, ts) AS INTEGER) FROM requests WHERE method = 'other')",
-        "kill_switch_activations_total": "(SELECT count(*) FROM requests WHERE method = 'other' AND value > 245)",
+        "kill_switch_enabled": "(SELECT CAST(arg_max(value > 35, ts) AS INTEGER) FROM requests WHERE method = 'other')",
+        "kill_switch_activations_total": "(SELECT count(*) FROM requests WHERE method = 'other' AND value > 35)",
         "policy_overrides_total": _OVERRIDES,
         "semantic_scans_total": "(SELECT count(*) FROM served)",
         "semantic_detections_total": "(SELECT count(*) FROM served WHERE malicious)",
@@ -695,7 +711,7 @@ oracle(
     + " AS detections_by_pattern, (SELECT count(*) FROM scanned) AS responses_scanned, "
     "(SELECT sum(len(f))::BIGINT FROM scanned) AS response_findings, "
     + _counts_json("SELECT unnest(list_transform(f, lambda x: x.t)) AS k FROM scanned")
-    + " AS findings_by_type, (SELECT arg_max(value > 245, ts) FROM requests WHERE method = 'other') AS kill_switch_enabled",
+    + " AS findings_by_type, (SELECT arg_max(value > 35, ts) FROM requests WHERE method = 'other') AS kill_switch_enabled",
 )
 oracle(
     "agg_policy_rule_counts",
@@ -707,7 +723,7 @@ oracle(
     "rate_scans_per_min",
     f"{_REQ}, ticks AS (SELECT CAST(floor(epoch(ts) / 5) AS BIGINT) * 5 + 5 * unnest(range(1, 13)) AS scrape_epoch, value "
     "FROM requests WHERE method = 'tools/list') SELECT scrape_epoch, count(*) AS scans_per_min, "
-    "CAST(sum(floor(value / 100)) AS BIGINT) AS blocked_per_min FROM ticks GROUP BY 1",
+    "CAST(sum(floor(value / 10)) AS BIGINT) AS blocked_per_min FROM ticks GROUP BY 1",
 )
 
 # --- events and streams ----------------------------------------------------------------
@@ -758,7 +774,7 @@ oracle("stream_verdict_dedup", "SELECT DISTINCT sha256(concat('tool:', text)) AS
 oracle(
     "stream_kill_switch",
     f"{_CAT}, {_QCTES} SELECT tool_id, tool_name FROM catalog "
-    "WHERE NOT (SELECT arg_max(value > 245, ts) FROM requests WHERE method = 'other')",
+    "WHERE NOT (SELECT arg_max(value > 35, ts) FROM requests WHERE method = 'other')",
 )
 oracle(
     "stream_audit_sink",

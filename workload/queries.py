@@ -79,7 +79,7 @@ def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         V.requests(spark, sf_dir)
         .where("method = 'other'")
-        .select("request_id", "ts", (F.col("value") > 245).alias("enabled"))
+        .select("request_id", "ts", (F.col("value") > 35).alias("enabled"))
     )
 
 
@@ -795,7 +795,7 @@ def agg_policy_rule_counts(spark, sf_dir):
 @query
 def rate_scans_per_min(spark, sf_dir):
     scans = V.requests(spark, sf_dir).where("method = 'tools/list'").select(
-        "ts", F.floor(F.col("value") / 100).alias("tools_blocked")
+        "ts", F.floor(F.col("value") / 10).alias("tools_blocked")
     )
     return M.rates_per_minute(scans).select(
         F.unix_seconds("scrape_ts").alias("scrape_epoch"), "scans_per_min", "blocked_per_min"
