@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,43 +42,53 @@ def folded(text: Column) -> Column:
     )
 
 
+def sql_text(value: str) -> str:
+    """A string literal for SQL expressions."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Anchored:
     """Find-all of a set of rules over one text column.
 
     The first anchor group of every rule becomes boolean columns that the rules
     share (:meth:`flags`); the text must have been :func:`folded` to ``low``.
+    Rule families are written as one SQL expression each: building them call by
+    call would cost the driver more time than a small job takes.
     """
 
     def __init__(self, text: str, low: str, rules: Iterable[Rule]):
         self.text, self.low = F.col(text), F.col(low)
+        self._text, self._low = text, low
         literals = dict.fromkeys(a for r in rules for a in (r.anchors[0] if r.anchors else ()))
         self._flag = {literal: f"{low}_{i}" for i, literal in enumerate(literals)}
 
     def flags(self) -> dict[str, Column]:
         """The shared boolean columns, by name."""
-        return {name: self._contains(literal) for literal, name in self._flag.items()}
+        return {name: F.expr(self._contains(literal)) for literal, name in self._flag.items()}
+
+    def _contains(self, literal: str) -> str:
+        return f"contains({self._low}, {sql_text(literal)})"
 
-    def _contains(self, literal: str) -> Column:
-        return F.contains(self.low, F.lit(literal))
+    def _may_match(self, rule: Rule) -> str:
+        first = [self._flag[a] for a in rule.anchors[0]]
+        rest = [[self._contains(a) for a in group] for group in rule.anchors[1:]]
+        return " AND ".join(f"({' OR '.join(tests)})" for tests in (first, *rest))
 
-    def may_match(self, rule: Rule) -> Column:
-        """False only if the rule has no match."""
+    def _find_all(self, rule: Rule) -> str:
+        pattern = sql_text(spark_regex(rule))
+        found = f"regexp_extract_all({self._text}, {pattern}, {rule.group})"
         if not rule.anchors:
-            return F.lit(True)
-        first = any_of([F.col(self._flag[a]) for a in rule.anchors[0]])
-        rest = [any_of([self._contains(a) for a in group]) for group in rule.anchors[1:]]
-        return reduce(and_, rest, first)
+            return found
+        nothing = "CAST(array() AS ARRAY<STRING>)"
+        return f"CASE WHEN {self._may_match(rule)} THEN {found} ELSE {nothing} END"
 
     def find_all(self, rule: Rule) -> Column:
         """All matches of one rule, left to right."""
-        found = F.regexp_extract_all(self.text, F.lit(spark_regex(rule)), F.lit(rule.group))
-        if not rule.anchors:
-            return found
-        return F.when(self.may_match(rule), found).otherwise(empty_strings())
+        return F.expr(self._find_all(rule))
 
     def find_all_rules(self, rules: Iterable[Rule]) -> Column:
         """Matches of a rule family: rule order first, then position."""
-        return F.flatten(F.array(*[self.find_all(rule) for rule in rules]))
+        return F.expr(f"flatten(array({', '.join(self._find_all(r) for r in rules)}))")
 
 
 def quoted_list(matches: Column, limit: int) -> Column:

@@ -46,31 +46,42 @@ def detection(
     )
 
 
-def _from_matches(name: str, matches: Column) -> Column:
-    """Evidence: number of matches and the first of them."""
-    evidence = F.concat(
-        F.size(matches).cast("string"),
-        F.lit(" match(es): "),
-        X.quoted_list(matches, R.MAX_MATCH_SAMPLES),
+# The built-in detections are written as SQL text over the step columns: one
+# expression each, instead of hundreds of calls from the driver per job.
+
+
+def _detection_sql(name: str, matched: str, evidence: str, severity: str | None = None) -> str:
+    severity = severity or str(R.DETECTOR_SEVERITY[name])
+    return (
+        f"named_struct('pattern_name', {X.sql_text(name)}, 'severity', {severity}, 'matched', {matched}, "
+        f"'evidence', CASE WHEN {matched} THEN {evidence} ELSE '' END, "
+        f"'description', {X.sql_text(_TEXTS[name])})"
     )
-    return detection(name, F.size(matches) > 0, R.DETECTOR_SEVERITY[name], evidence)
 
 
-def _exfiltration(phrases: Column, urls: Column) -> Column:
-    name = "Data Exfiltration"
-    url_list = F.array_join(F.slice(urls, 1, R.MAX_URL_SAMPLES), ", ")
-    evidence = F.concat_ws(
-        "; ",
-        F.when(
-            F.size(phrases) > 0,
-            F.concat(F.lit("phrases: "), X.quoted_list(phrases, R.MAX_MATCH_SAMPLES)),
-        ),
-        F.when(F.size(urls) > 0, F.concat(F.lit("urls: "), url_list)),
+def _samples_sql(matches: str) -> str:
+    """First matches as ``'a', 'b'``."""
+    quoted = f"transform(slice({matches}, 1, {R.MAX_MATCH_SAMPLES}), m -> concat('\\'', m, '\\''))"
+    return f"array_join({quoted}, ', ')"
+
+
+def _matches_sql(name: str, matches: str) -> str:
+    """Evidence: number of matches and the first of them."""
+    evidence = f"concat(CAST(size({matches}) AS STRING), ' match(es): ', {_samples_sql(matches)})"
+    return _detection_sql(name, f"size({matches}) > 0", evidence)
+
+
+def _exfiltration_sql() -> str:
+    urls = f"array_join(slice(_urls, 1, {R.MAX_URL_SAMPLES}), ', ')"
+    return _detection_sql(
+        "Data Exfiltration",
+        "(size(_phrases) > 0 OR size(_urls) > 0)",
+        "concat_ws('; ', "
+        f"CASE WHEN size(_phrases) > 0 THEN concat('phrases: ', {_samples_sql('_phrases')}) END, "
+        f"CASE WHEN size(_urls) > 0 THEN concat('urls: ', {urls}) END)",
+        f"CASE WHEN size(_phrases) = 0 AND size(_urls) > 0 THEN {R.URL_ONLY_SEVERITY} "
+        f"ELSE {R.DETECTOR_SEVERITY['Data Exfiltration']} END",
     )
-    severity = F.when(
-        (F.size(phrases) == 0) & (F.size(urls) > 0), R.URL_ONLY_SEVERITY
-    ).otherwise(R.DETECTOR_SEVERITY[name])
-    return detection(name, (F.size(phrases) > 0) | (F.size(urls) > 0), severity, evidence)
 
 
 def _exfiltration_phrases(find: X.Anchored) -> Column:
@@ -91,30 +102,32 @@ HIDDEN_CLASS = (
 )
 
 
-def _hidden_characters(text: Column, matched: Column) -> Column:
-    """Evidence: count, then code point and 0-based position of the first hits."""
-    name = "Invisible Characters"
-    hits = F.regexp_extract_all(text, F.lit(HIDDEN_CLASS), F.lit(0))
-    pieces = F.split(text, HIDDEN_CLASS, R.MAX_MATCH_SAMPLES + 1)
-
-    def place(char: Column, i: Column) -> Column:
-        before = F.aggregate(
-            F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda n, piece: n + F.length(piece)
-        )
-        return F.concat(X.code_point_label(char), F.lit("@"), (before + i).cast("string"))
-
-    places = F.transform(F.slice(hits, 1, R.MAX_MATCH_SAMPLES), place)
-    evidence = F.concat(
-        F.size(hits).cast("string"), F.lit(" character(s): "), F.array_join(places, "; ")
+def _hidden_sql() -> str:
+    """Evidence: count, then code point and 0-based position of the first hits.
+
+    The text between hits gives their positions: hit number i comes after the
+    first i + 1 pieces and i hits."""
+    hidden = X.sql_text(HIDDEN_CLASS)
+    hits = f"regexp_extract_all(description, {hidden}, 0)"
+    pieces = f"split(description, {hidden}, {R.MAX_MATCH_SAMPLES + 1})"
+    digits = "hex(ascii(c))"
+    label = f"CASE WHEN length({digits}) < 4 THEN lpad({digits}, 4, '0') ELSE {digits} END"
+    position = f"aggregate(slice({pieces}, 1, i + 1), 0, (n, piece) -> n + length(piece)) + i"
+    places = (
+        f"transform(slice({hits}, 1, {R.MAX_MATCH_SAMPLES}), "
+        f"(c, i) -> concat('U+', {label}, '@', CAST({position} AS STRING)))"
+    )
+    return _detection_sql(
+        "Invisible Characters",
+        "_hidden",
+        f"concat(CAST(size({hits}) AS STRING), ' character(s): ', array_join({places}, '; '))",
     )
-    return detection(name, matched, R.DETECTOR_SEVERITY[name], evidence)
 
 
 # The JVM recurses once per repetition of a backtracking group; possessive
 # repetition finds the same runs in a loop, whatever the length of a hex dump.
 _HEX_RUN = R.HEX_RUN.replace(r"\s*", r"\s*+") + "+"
 
-
 # Every base64 run starts at a word boundary, with + or /, or behind a word
 # character that is no base64 letter; testing the starts only is much cheaper
 # than trying a run at every character.
@@ -133,10 +146,11 @@ def _count(text: Column, low: Column, anchor: str, pattern: str) -> Column:
     return F.when(F.contains(low, F.lit(anchor)), found).otherwise(0)
 
 
-def _obfuscation_parts(runs: Column, hex_runs: Column, escapes: Column, entities: Column) -> Column:
-    """What was found, one text per sub-check."""
+def _readable_samples() -> Column:
+    """Decoded texts of the base64 runs that are readable; only rows with a run
+    pay for decoding."""
     readable = F.filter(
-        F.transform(runs, X.decoded_base64),
+        F.transform("_runs", X.decoded_base64),
         lambda t: t.isNotNull() & (F.length(t) > R.MIN_DECODED_CHARS) & X.is_printable(t),
     )
     samples = F.transform(
@@ -145,50 +159,35 @@ def _obfuscation_parts(runs: Column, hex_runs: Column, escapes: Column, entities
             F.lit("base64 of '"), F.left(t, F.lit(R.MAX_DECODED_CHARS)), F.lit("...'")
         ),
     )
-    counted = F.array_compact(
-        F.array(
-            F.when(hex_runs > 0, F.concat(F.lit("hex runs: "), hex_runs.cast("string"))),
-            F.when(
-                escapes > R.MIN_ESCAPES,
-                F.concat(F.lit("unicode escapes: "), escapes.cast("string")),
-            ),
-            F.when(
-                entities > R.MIN_ESCAPES,
-                F.concat(F.lit("html entities: "), entities.cast("string")),
-            ),
-        )
-    )
-    return F.concat(samples, counted)
+    return F.when(F.size("_runs") > 0, samples).otherwise(X.empty_strings())
 
 
-def _obfuscation(parts: Column) -> Column:
-    name = "Obfuscated Payloads"
-    return detection(
-        name, F.size(parts) > 0, R.DETECTOR_SEVERITY[name], F.array_join(parts, "; ")
-    )
-
-
-def _anomalies(tool_name: Column, text: Column, comments: Column, newlines: Column) -> Column:
-    name = "Description Anomalies"
-    size = F.length(text)
-    ratio = F.try_divide(size, F.length(tool_name))
-    evidence = F.concat_ws(
-        "; ",
-        F.when(size > R.MAX_DESCRIPTION_CHARS, F.concat(F.lit("length "), size.cast("string"))),
-        F.when(comments > 0, F.concat(F.lit("html comments: "), comments.cast("string"))),
-        F.when(newlines > 0, F.concat(F.lit("newline blocks: "), newlines.cast("string"))),
-        F.when(
-            ratio > R.MAX_NAME_RATIO,
-            F.concat(F.lit("length/name ratio "), F.bround(ratio).cast("bigint").cast("string")),
-        ),
+def _obfuscation_sql() -> str:
+    found = (
+        "concat_ws('; ', _samples, "
+        "CASE WHEN _hex > 0 THEN concat('hex runs: ', CAST(_hex AS STRING)) END, "
+        f"CASE WHEN _escapes > {R.MIN_ESCAPES} THEN concat('unicode escapes: ', CAST(_escapes AS STRING)) END, "
+        f"CASE WHEN _entities > {R.MIN_ESCAPES} THEN concat('html entities: ', CAST(_entities AS STRING)) END)"
     )
     matched = (
-        (size > R.MAX_DESCRIPTION_CHARS)
-        | (comments > 0)
-        | (newlines > 0)
-        | F.coalesce(ratio > R.MAX_NAME_RATIO, F.lit(False))
+        f"(size(_samples) > 0 OR _hex > 0 OR _escapes > {R.MIN_ESCAPES} OR _entities > {R.MIN_ESCAPES})"
+    )
+    return _detection_sql("Obfuscated Payloads", matched, found)
+
+
+def _anomalies_sql() -> str:
+    size = "length(description)"
+    ratio = f"try_divide({size}, length(tool_name))"
+    long, tall = f"{size} > {R.MAX_DESCRIPTION_CHARS}", f"{ratio} > {R.MAX_NAME_RATIO}"
+    return _detection_sql(
+        "Description Anomalies",
+        f"({long} OR _comments > 0 OR _newlines > 0 OR coalesce({tall}, false))",
+        "concat_ws('; ', "
+        f"CASE WHEN {long} THEN concat('length ', CAST({size} AS STRING)) END, "
+        "CASE WHEN _comments > 0 THEN concat('html comments: ', CAST(_comments AS STRING)) END, "
+        "CASE WHEN _newlines > 0 THEN concat('newline blocks: ', CAST(_newlines AS STRING)) END, "
+        f"CASE WHEN {tall} THEN concat('length/name ratio ', CAST(CAST(bround({ratio}) AS BIGINT) AS STRING)) END)",
     )
-    return detection(name, matched, R.DETECTOR_SEVERITY[name], evidence)
 
 
 #: Text rules by detector; their anchors are tested once per text.
@@ -224,21 +223,16 @@ _STEPS: dict[str, dict[str, Callable[[X.Anchored], Column]]] = {
     "SSRF / Internal Access": {"_internal": lambda f: f.find_all_rules(R.INTERNAL_ACCESS)},
 }
 
-_REGISTRY: dict[str, Detector] = {
-    "Prompt Injection": lambda n, d, low: _from_matches("Prompt Injection", F.col("_injection")),
-    "Data Exfiltration": lambda n, d, low: _exfiltration(F.col("_phrases"), F.col("_urls")),
-    "Cross-Tool Manipulation": lambda n, d, low: _from_matches(
-        "Cross-Tool Manipulation", F.col("_cross")
-    ),
-    "Invisible Characters": lambda n, d, low: _hidden_characters(d, F.col("_hidden")),
-    "Obfuscated Payloads": lambda n, d, low: _obfuscation(F.col("_parts")),
-    "Description Anomalies": lambda n, d, low: _anomalies(
-        n, d, F.col("_comments"), F.col("_newlines")
-    ),
-    "Dangerous Commands": lambda n, d, low: _from_matches("Dangerous Commands", F.col("_commands")),
-    "SSRF / Internal Access": lambda n, d, low: _from_matches(
-        "SSRF / Internal Access", F.col("_internal")
-    ),
+#: Detection of each detector over its step columns, in registry order.
+_REGISTRY: dict[str, str] = {
+    "Prompt Injection": _matches_sql("Prompt Injection", "_injection"),
+    "Data Exfiltration": _exfiltration_sql(),
+    "Cross-Tool Manipulation": _matches_sql("Cross-Tool Manipulation", "_cross"),
+    "Invisible Characters": _hidden_sql(),
+    "Obfuscated Payloads": _obfuscation_sql(),
+    "Description Anomalies": _anomalies_sql(),
+    "Dangerous Commands": _matches_sql("Dangerous Commands", "_commands"),
+    "SSRF / Internal Access": _matches_sql("SSRF / Internal Access", "_internal"),
 }
 
 DETECTOR_NAMES = tuple(_REGISTRY)
@@ -278,22 +272,18 @@ def with_detections(
     find = X.Anchored("description", "_low", [r for n in names for r in _RULES.get(n, ())])
     flags = find.flags()
     steps = {step: build(find) for n in names for step, build in _STEPS.get(n, {}).items()}
-    parts = {}
-    if "Obfuscated Payloads" in names:
-        parts["_parts"] = _obfuscation_parts(
-            F.col("_runs"), F.col("_hex"), F.col("_escapes"), F.col("_entities")
-        )
-    dets = [_REGISTRY[n](name, text, low) for n in names]
+    later = {"_samples": _readable_samples()} if "Obfuscated Payloads" in names else {}
+    dets = [F.expr(_REGISTRY[n]) for n in names]
     dets += [build(name, text, low) for build in (extra or {}).values()]
     prepared = (
         normalise_tools(tools)
         .withColumn("_low", X.folded(text))
         .withColumns(flags)
         .withColumns(steps)
-        .withColumns(parts)
+        .withColumns(later)
     )
     return compute_once(
-        prepared, {column: F.array(*dets)}, drop=("_low", *flags, *steps, *parts)
+        prepared, {column: F.array(*dets)}, drop=("_low", *flags, *steps, *later)
     )
 
 
