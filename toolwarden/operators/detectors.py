@@ -98,7 +98,7 @@ def _assigned_ranges() -> str:
 
 #: Format and private-use characters, and unassigned ones, above ASCII.
 HIDDEN_CLASS = (
-    r"[[\p{Cf}\p{Co}&&[^\x00-\x7F]][\p{Cn}&&[^" + _assigned_ranges() + r"]]]"
+    r"[\x{80}-\x{10FFFF}&&[\p{Cf}\p{Co}[\p{Cn}&&[^" + _assigned_ranges() + r"]]]]"
 )
 
 
@@ -128,16 +128,9 @@ def _hidden_sql() -> str:
 # repetition finds the same runs in a loop, whatever the length of a hex dump.
 _HEX_RUN = R.HEX_RUN.replace(r"\s*", r"\s*+") + "+"
 
-# Every base64 run starts at a word boundary, with + or /, or behind a word
-# character that is no base64 letter; testing the starts only is much cheaper
-# than trying a run at every character.
-_RUN_START = r"\b[A-Za-z0-9+/]{20}|[+/_\x{80}-\x{10FFFF}][A-Za-z0-9+/]{19}"
-
-
 def _base64_runs(text: Column) -> Column:
     return F.when(
-        F.rlike(text, F.lit(_RUN_START)),
-        F.regexp_extract_all(text, F.lit(R.BASE64_RUN), F.lit(0)),
+        X.has_base64_run(text, 20), F.regexp_extract_all(text, F.lit(R.BASE64_RUN), F.lit(0))
     ).otherwise(X.empty_strings())
 
 
@@ -176,8 +169,7 @@ def _obfuscation_sql() -> str:
 
 
 def _anomalies_sql() -> str:
-    size = "length(description)"
-    ratio = f"try_divide({size}, length(tool_name))"
+    size, ratio = "_size", "_ratio"
     long, tall = f"{size} > {R.MAX_DESCRIPTION_CHARS}", f"{ratio} > {R.MAX_NAME_RATIO}"
     return _detection_sql(
         "Description Anomalies",
@@ -216,6 +208,8 @@ _STEPS: dict[str, dict[str, Callable[[X.Anchored], Column]]] = {
         "_entities": lambda f: _count(f.text, f.low, "&#x", R.HTML_ENTITY),
     },
     "Description Anomalies": {
+        "_size": lambda f: F.length(f.text),
+        "_ratio": lambda f: F.try_divide(F.length(f.text), F.length("tool_name")),
         "_comments": lambda f: _count(f.text, f.text, R.COMMENT_OPENER, R.COMMENT_OPENER),
         "_newlines": lambda f: _count(f.text, f.text, "\n" * 10, R.NEWLINE_BLOCK),
     },

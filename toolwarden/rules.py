@@ -54,25 +54,25 @@ PROMPT_INJECTION = _rules(
     (r"disregard\s+all\s+previous", "vious", "disregard"),
     (r"forget\s+all\s+previous", "vious", "forget"),
     (r"override\s+all\s+previous", "vious", "override"),
-    (r"you\s+must\s+always\s+execute", "lways", "execute"),
+    (r"you\s+must\s+always\s+execute", "ways", "execute"),
     (r"you\s+are\s+now\s+a\b", "now", "you"),
     (r"you\s+are\s+no\s+longer", "you", "longer"),
     (r"system\s*prompt\s*:", "prompt", ":"),
-    (r"new\s+instructions\s*:", "nstructions", "new", ":"),
+    (r"new\s+instructions\s*:", "uctions", "new", ":"),
     (r"<system>", "<sys"),
-    (r"\[INST\]", "inst]", "["),
-    (r"\[/INST\]", "inst]", "[/"),
+    (r"\[INST\]", "]", "[inst]"),
+    (r"\[/INST\]", "]", "[/inst]"),
     (r"<<SYS>>", "<sys", "<<sys>>"),
     (r"human:\n", ":\n", "human:"),
     (r"assistant:\n", ":\n", "assistant:"),
-    (r"IMPORTANT:\s*always", "lways", "important:"),
+    (r"IMPORTANT:\s*always", "ways", "important:"),
     (r"CRITICAL:\s*you\s+must", "must", "critical:"),
     (r"do\s+not\s+tell\s+the\s+user", "user", "tell"),
     (r"hide\s+this\s+from\s+the\s+user", "user", "hide"),
     (r"\bsecretly\b", "cretly"),
     (r"without\s+the\s+user\s+knowing", "user", "knowing"),
-    (r"before\s+responding\s+to\s+the\s+user", "respon", "user"),
-    (r"after\s+every\s+response", "respon", "every"),
+    (r"before\s+responding\s+to\s+the\s+user", "spon", "user"),
+    (r"after\s+every\s+response", "spon", "every"),
     (r"you\s+are\s+DAN\b", "you", "dan"),
     (r"Do\s+Anything\s+Now", "now", "anything"),
     (r"act\s+as\s+if\s+you\s+have\s+no\s+restrictions", "you", "restrictions"),
@@ -83,7 +83,7 @@ PROMPT_INJECTION = _rules(
     (r"bypass\s+(your|all|safety|content)\s+(filters?|restrictions?|guidelines?|rules?)", "bypass", ("filter", "restriction", "guideline", "rule")),
     (r"ignore\s+(your|all|safety|content)\s+(filters?|restrictions?|guidelines?|rules?)", "gnore", ("filter", "restriction", "guideline", "rule")),
     (r"from\s+now\s+on\s+you\s+(will|must|should|are)", "now", "from", "you"),
-    (r"respond\s+without\s+(any\s+)?(restrictions?|filters?|limitations?)", "respon", "without"),
+    (r"respond\s+without\s+(any\s+)?(restrictions?|filters?|limitations?)", "spon", "without"),
 )
 
 DATA_EXFILTRATION = _rules(
@@ -102,8 +102,8 @@ DATA_EXFILTRATION = _rules(
     (r"phone\s+home", "phone", "home"),
     (r"!\[.*?\]\(https?://", "://", "!["),
     (r"render\s+(this|an?|the)\s+(image|img|markdown)", "render", ("image", "img", "markdown")),
-    (r"display\s+(this|an?|the)\s+(image|img|markdown)", "display", ("image", "img", "markdown")),
-    (r"include\s+(this|an?|the)\s+(image|img)\s+in\s+(your|the)\s+response", "respon", "include"),
+    (r"display\s+(this|an?|the)\s+(image|img|markdown)", "play", ("image", "img", "markdown")),
+    (r"include\s+(this|an?|the)\s+(image|img)\s+in\s+(your|the)\s+response", "spon", "include"),
     (r"\?\w*=(data|token|key|secret|session|cookie|credential|password|chat|history|context)", "?", "="),
 )
 EXTERNAL_URL = Rule(r"https?://[^\s\"\'>]+", (("://",),), ignore_case=False)
@@ -111,15 +111,15 @@ IMAGE_LINK = Rule(r"!\[[^\]]*\]\(https?://[^\)]+\)", (("://",), ("](http",)), ig
 
 CROSS_TOOL = _rules(
     (r"(before|after)\s+(using|calling|running|executing)\s+(this|any|another)\s+tool", "tool", ("before", "after")),
-    (r"(first|always)\s+(call|use|run|execute|invoke)", ("first", "lways")),
+    (r"(first|always)\s+(call|use|run|execute|invoke)", ("first", "ways")),
     (r"must\s+(call|use|run|execute|invoke)\s+\w+\s+(tool|function|method)", "must", ("tool", "function", "method")),
     (r"chain\s+with", "chain", "with"),
     (r"pipe\s+(output|result)\s+to", "pipe", ("output", "result")),
     (r"redirect\s+(output|result)\s+to", "redirect", ("output", "result")),
     (r"depends\s+on\s+calling", "calling", "depends"),
     (r"requires\s+(calling|executing|running)", "quires", ("calling", "executing", "running")),
-    (r"trigger\s+the\s+\w+\s+(tool|function|endpoint)", "trigger", "the"),
-    (r"also\s+(call|invoke|trigger|run)", "also", ("call", "invoke", "trigger", "run")),
+    (r"trigger\s+the\s+\w+\s+(tool|function|endpoint)", "gger", "trigger"),
+    (r"also\s+(call|invoke|trigger|run)", "lso", ("call", "invoke", "trigger", "run")),
 )
 
 DANGEROUS_COMMANDS = _rules(
@@ -132,10 +132,10 @@ DANGEROUS_COMMANDS = _rules(
     (r"\bsubprocess\b", "bprocess"),
     (r"\b__import__\b", "_", "__import__"),
     (r"\bchmod\s+777\b", "chmod"),
-    (r"\bsudo\s+", "sudo"),
+    (r"\bsudo\s+", "udo"),
     (r"\b/etc/passwd\b", "/etc/", "passwd"),
     (r"\b/etc/shadow\b", "/etc/", "shadow"),
-    (r"\benv\s+var", "env", "var"),
+    (r"\benv\s+var", "var", "env"),
     (r"\bAPI_KEY\b", "_", "api_key"),
     (r"\bSECRET_KEY\b", "_", "secret_key"),
     (r"\bACCESS_TOKEN\b", "_", "access_token"),
@@ -163,7 +163,7 @@ INTERNAL_ACCESS = _rules(
     ),
     (
         r"\b(internal|admin|management)\s+(api|endpoint|service|server|panel|console)\b",
-        ("internal", "admin", "management"),
+        ("internal", "dmin", "management"),
         ("api", "endpoint", "service", "server", "panel", "console"),
     ),
     (r"/latest/meta-data", "/latest/", "meta-data"),
