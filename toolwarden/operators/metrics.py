@@ -152,19 +152,32 @@ def _item(name: str, label: Column | None = None, key: str = "") -> Column:
     )
 
 
+def _labels() -> Column:
+    """Label map of a counted row; empty without a label."""
+    return F.when(
+        F.col("label_key") != "", F.create_map(F.col("label_key"), F.col("label"))
+    ).otherwise(F.create_map().cast("map<string,string>"))
+
+
+_BOUNDS = (*[str(b) for b in R.SCORE_BUCKETS], "+Inf")
+
+
 def scan_metric_counts(scanned: DataFrame, warn_threshold: int = R.WARN_THRESHOLD) -> DataFrame:
-    """Counters of the catalog scan as (name, label_key, label, value)."""
+    """Counters of the catalog scan as (name, label_key, label, value), the
+    cumulative score buckets among them; one pass over the scan."""
     blocked, score = F.col("blocked"), F.col("risk_score")
+    bounds = F.array(
+        *[F.when(score <= b, str(b)) for b in R.SCORE_BUCKETS[:-1]],
+        *[F.lit(b) for b in _BOUNDS[-2:]],
+    )
     items = F.concat(
-        F.array(
-            _item("tools_scanned_total"),
-            _item("risk_score", score_bucket(score), "bucket"),
-        ),
+        F.array(_item("tools_scanned_total"), _item(_PER_SERVER, F.col("server_name"))),
         F.when(blocked, F.array(_item("tools_blocked_total"))).otherwise(F.array()),
         F.when(~blocked & (score >= warn_threshold), F.array(_item("tools_warned_total"))).otherwise(
             F.array()
         ),
         F.when(score < warn_threshold, F.array(_item("tools_safe_total"))).otherwise(F.array()),
+        F.transform(F.array_compact(bounds), lambda le: _item("risk_score_bucket", le, "le")),
         F.transform(
             "detections.pattern_name", lambda p: _item("detections_total", p, "pattern")
         ),
@@ -176,6 +189,29 @@ def scan_metric_counts(scanned: DataFrame, warn_threshold: int = R.WARN_THRESHOL
     )
 
 
+def scan_metrics(scanned: DataFrame, warn_threshold: int = R.WARN_THRESHOLD) -> DataFrame:
+    """The catalog counters as ``(name, labels, value)``, with zeros."""
+    zeros = scanned.sparkSession.createDataFrame(
+        [(name, "", "") for name in _COUNTERS] + [("risk_score_bucket", "le", b) for b in _BOUNDS],
+        "name STRING, label_key STRING, label STRING",
+    ).withColumn("value", F.lit(0).cast("bigint"))
+    # One row per server becomes one scan.
+    scan = F.col("name") == _PER_SERVER
+    counts = scan_metric_counts(scanned, warn_threshold).select(
+        F.when(scan, "scans_total").otherwise(F.col("name")).alias("name"),
+        "label_key",
+        F.when(scan, "").otherwise(F.col("label")).alias("label"),
+        F.when(scan, F.lit(1).cast("bigint")).otherwise(F.col("value")).alias("value"),
+    )
+    return (
+        counts.unionByName(zeros)
+        .groupBy("name", "label_key", "label")
+        .agg(F.sum("value").cast("double").alias("value"))
+        .select("name", _labels().alias("labels"), "value")
+    )
+
+
+_PER_SERVER = "server"
 _COUNTERS = (
     "scans_total",
     "tools_scanned_total",
@@ -195,7 +231,6 @@ def metrics_table(
     durations: DataFrame,
 ) -> DataFrame:
     """All metrics as ``(name, labels, value)``; counters without events are 0."""
-    spark = scanned.sparkSession
     empty_labels = F.create_map().cast("map<string,string>")
 
     def rows(one_row: DataFrame, **columns: str) -> DataFrame:
@@ -207,46 +242,6 @@ def metrics_table(
         )
         return one_row.select(F.inline(items)).select("name", empty_labels.alias("labels"), "value")
 
-    counts = scan_metric_counts(scanned)
-    zeros = spark.createDataFrame(
-        [(name, "", "") for name in _COUNTERS if name != "scans_total"]
-        + [("risk_score", "bucket", b) for b in BUCKETS],
-        "name STRING, label_key STRING, label STRING",
-    ).withColumn("value", F.lit(0).cast("bigint"))
-    counts = (
-        counts.unionByName(zeros)
-        .groupBy("name", "label_key", "label")
-        .agg(F.sum("value").alias("value"))
-    )
-    # Cumulative buckets: a handful of rows, whatever the input.
-    bound = F.when(F.lit(False), "")
-    for name, le in zip(BUCKETS, R.SCORE_BUCKETS):
-        bound = bound.when(F.col("label") == name, str(le))
-    targets = F.filter(
-        F.array(*[F.lit(str(b)) for b in R.SCORE_BUCKETS], F.lit("+Inf")),
-        lambda le: (le == F.lit("+Inf")) | (le.try_cast("int") >= F.col("_bound").cast("int")),
-    )
-    histogram = (
-        counts.where("name = 'risk_score'")
-        .withColumn("_bound", bound)
-        .select(F.explode(targets).alias("le"), "value")
-        .groupBy("le")
-        .agg(F.sum("value").cast("double").alias("value"))
-        .select(
-            F.lit("risk_score_bucket").alias("name"),
-            F.create_map(F.lit("le"), F.col("le")).alias("labels"),
-            "value",
-        )
-    )
-    labels = F.when(
-        F.col("label_key") != "", F.create_map(F.col("label_key"), F.col("label"))
-    ).otherwise(empty_labels)
-    scan_rows = counts.where("name <> 'risk_score'").select(
-        "name", labels.alias("labels"), F.col("value").cast("double").alias("value")
-    )
-    scans = rows(
-        scanned.select("server_name").distinct().agg(F.count("*").alias("n")), scans_total="n"
-    )
     findings = findings_by_type(responses).select(
         F.lit("response_findings_total").alias("name"),
         F.create_map(F.lit("type"), F.col("finding_type")).alias("labels"),
@@ -275,8 +270,8 @@ def metrics_table(
         scan_duration_seconds_max="max_seconds",
         scan_duration_seconds_count="samples",
     )
-    table = scans
-    for part in (scan_rows, findings, histogram, timing, switch, overrides, semantic):
+    table = scan_metrics(scanned)
+    for part in (findings, timing, switch, overrides, semantic):
         table = table.unionByName(part)
     return table
 

@@ -275,31 +275,34 @@ oracle(
 )
 
 
+_BOUNDS = "(VALUES ('25', 25), ('50', 50), ('75', 75), ('100', 100), ('+Inf', 1000)) b(le, bound)"
+
+
 def _metric_rows() -> str:
     from toolwarden.sources.metrics_text import HELP
 
     names = (
-        "tools_scanned_total", "tools_blocked_total", "tools_warned_total", "tools_safe_total", "detections_total",
+        "scans_total", "tools_scanned_total", "tools_blocked_total", "tools_warned_total", "tools_safe_total", "detections_total",
+        "risk_score_bucket",
     )
     counts = (
         "metric_counts AS ("
-        "SELECT 'tools_scanned_total' AS name, '' AS label, count(*) AS n FROM scan UNION ALL "
-        "SELECT 'tools_blocked_total', '', count(*) FROM scan WHERE blocked UNION ALL "
+XX, count(*) FROM scan WHERE blocked UNION ALL "
         "SELECT 'tools_warned_total', '', count(*) FROM scan WHERE NOT blocked AND risk_score >= 26 UNION ALL "
         "SELECT 'tools_safe_total', '', count(*) FROM scan WHERE risk_score < 26 UNION ALL "
         "SELECT 'detections_total', concat('{pattern=\"', p, '\"}'), count(*) "
-        "FROM (SELECT unnest(patterns) AS p FROM scan) GROUP BY p)"
+        "FROM (SELECT unnest(patterns) AS p FROM scan) GROUP BY p UNION ALL "
+        "SELECT 'risk_score_bucket', concat('{le=\"', b.le, '\"}'), "
+        f"(SELECT count(*) FROM scan WHERE risk_score <= b.bound) FROM {_BOUNDS})"
     )
-    shown = "shown AS (SELECT * FROM metric_counts WHERE n > 0)"
     head = " UNION ALL ".join(
-        f"SELECT '{n}' AS name, {part} AS part, '# {word} toolwarden_{n} {value}' AS line "
-        f"WHERE '{n}' IN (SELECT name FROM shown)"
+        f"SELECT '{n}' AS name, {part} AS part, '# {word} toolwarden_{n} {value}' AS line"
         for n in names
         for part, word, value in ((0, "HELP", HELP[n][1]), (1, "TYPE", HELP[n][0]))
     )
     return (
-        f"{SCAN}, {counts}, {shown} {head} UNION ALL "
-        "SELECT name, 2, concat('toolwarden_', name, label, ' ', n) FROM shown"
+        f"{SCAN}, {counts} {head} UNION ALL "
+        "SELECT name, 2, concat('toolwarden_', name, label, ' ', n) FROM metric_counts"
     )
 
 

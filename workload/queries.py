@@ -209,15 +209,7 @@ def src_audit_replay(spark, sf_dir):
 
 @query
 def sink_metrics_text(spark, sf_dir):
-    scanned = _scan(spark, sf_dir)
-    rows = M.scan_metric_counts(scanned).select(
-        "name",
-        F.when(F.col("label_key") != "", F.create_map("label_key", "label"))
-        .otherwise(F.create_map().cast("map<string,string>"))
-        .alias("labels"),
-        F.col("value").cast("double").alias("value"),
-    )
-    return MT.metric_lines(rows.where("name <> 'risk_score'")).select("name", "part", "line")
+    return MT.metric_lines(M.scan_metrics(_scan(spark, sf_dir))).select("name", "part", "line")
 
 
 @query
@@ -836,6 +828,13 @@ def _stream(spark, sf_dir, name) -> DataFrame:
     )
 
 
+def _text_stream(spark, sf_dir, name) -> DataFrame:
+    """A stream of texts, spread like its table if that has too few splits."""
+    stream, cores = _stream(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    few = V.table(spark, sf_dir, name).rdd.getNumPartitions() < cores
+    return stream.repartition(2 * cores) if few else stream
+
+
 def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:
     path, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
     J.run_to_files(stream, path, checkpoint)
@@ -844,14 +843,14 @@ def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_scan_catalog(spark, sf_dir):
-    tools = V.seed_catalog(_stream(spark, sf_dir, "documents"))
+    tools = V.seed_catalog(_text_stream(spark, sf_dir, "documents"))
     scanned = J.scan_catalog(tools).select("tool_id", "risk_score", "risk_level", "blocked")
     return _streamed(spark, scanned, "stream-scan")
 
 
 @query
 def stream_scan_responses(spark, sf_dir):
-    answers = V.seed_responses(_stream(spark, sf_dir, "conversations"))
+    answers = V.seed_responses(_text_stream(spark, sf_dir, "conversations"))
     scanned = J.scan_and_redact(answers).select("response_id", "item_pos", "risk_level", "content")
     return _streamed(spark, scanned, "stream-responses")
 
@@ -891,7 +890,7 @@ def stream_session_validity(spark, sf_dir):
 def stream_counters(spark, sf_dir):
     path, checkpoint = fresh_path(spark, "counters"), fresh_path(spark, "counters-checkpoint")
     J.run_counters(
-        J.pattern_counters(V.seed_catalog(_stream(spark, sf_dir, "documents"))), path, checkpoint
+        J.pattern_counters(V.seed_catalog(_text_stream(spark, sf_dir, "documents"))), path, checkpoint
     )
     states = spark.read.parquet(path)
     latest = states.agg(F.max("batch_id").alias("batch_id"))
@@ -925,7 +924,7 @@ def stream_kill_switch(spark, sf_dir):
     def read_switch() -> bool:
         return M.kill_switch_counters(_controls(spark, sf_dir), "request_id").first()["enabled"]
 
-    tools = V.seed_catalog(_stream(spark, sf_dir, "documents")).select("tool_id", "tool_name")
+    tools = V.seed_catalog(_text_stream(spark, sf_dir, "documents")).select("tool_id", "tool_name")
     J.switched_catalog(tools, read_switch, path, checkpoint)
     return spark.read.parquet(path).select("tool_id", "tool_name")
 
@@ -933,7 +932,7 @@ def stream_kill_switch(spark, sf_dir):
 @query
 def stream_audit_sink(spark, sf_dir):
     path, checkpoint = fresh_path(spark, "audit-stream"), fresh_path(spark, "audit-checkpoint")
-    tools = V.seed_catalog(_stream(spark, sf_dir, "documents"))
+    tools = V.seed_catalog(_text_stream(spark, sf_dir, "documents"))
     stamped = tools.withColumn(
         "timestamp", F.timestamp_seconds(F.lit(1704067200) + (F.col("tool_id") % 3) * 86400)
     ).withColumn("scan_id", F.col("server_name"))
