@@ -287,7 +287,9 @@ def _metric_rows() -> str:
     )
     counts = (
         "metric_counts AS ("
-XX, count(*) FROM scan WHERE blocked UNION ALL "
+        "SELECT 'scans_total' AS name, '' AS label, count(DISTINCT server_name) AS n FROM scan UNION ALL "
+        "SELECT 'tools_scanned_total', '', count(*) FROM scan UNION ALL "
+        "SELECT 'tools_blocked_total', '', count(*) FROM scan WHERE blocked UNION ALL "
         "SELECT 'tools_warned_total', '', count(*) FROM scan WHERE NOT blocked AND risk_score >= 26 UNION ALL "
         "SELECT 'tools_safe_total', '', count(*) FROM scan WHERE risk_score < 26 UNION ALL "
         "SELECT 'detections_total', concat('{pattern=\"', p, '\"}'), count(*) "
