@@ -78,7 +78,7 @@ def test_metrics_text(spark, tmp_path):
     ):
         assert line in lines, line
     assert lines.index("# HELP x_scans_total Catalog scans") + 2 == lines.index("x_scans_total 1")
-    stats = M.firewall_stats(scanned, answers, controls, "id").first()
+    stats = M.overall_stats(scanned, answers, controls, "id").first()
     assert stats.total_tools_blocked == 7 and stats.findings_by_type == {"aws_access_key": 1} and stats.kill_switch_enabled
 
 

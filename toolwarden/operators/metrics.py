@@ -280,7 +280,7 @@ def _equals(value: str) -> Callable[[Column], Column]:
     return lambda x: x == F.lit(value)
 
 
-def firewall_stats(
+def overall_stats(
     scanned: DataFrame, responses: DataFrame, controls: DataFrame, control_tie: str
 ) -> DataFrame:
     """Totals, detections, response totals and switch state in one row.

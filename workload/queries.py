@@ -752,7 +752,7 @@ def metrics_table(spark, sf_dir):
 
 @query
 def agg_firewall_stats(spark, sf_dir):
-    stats = M.firewall_stats(
+    stats = M.overall_stats(
         _scan(spark, sf_dir), _responses(spark, sf_dir), _controls(spark, sf_dir), "request_id"
     )
     return stats.withColumns(
