@@ -11,8 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"sink_markdown_report"}
+    assert set(oracles) == set(queries)
 
 
 @pytest.fixture(scope="module")

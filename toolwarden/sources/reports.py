@@ -27,9 +27,16 @@ def _number(column: str) -> Column:
 
 
 def _placed(section: int, order: Column, lines: Column) -> Column:
-    """Lines of one section as structs that carry their place."""
-    return F.transform(
+    """Lines of one section as structs that carry their place; a line break
+    inside a name or a sample is written as ``\\n``."""
+    one_line = F.transform(
         lines,
+        lambda line: F.replace(
+            F.replace(line, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")
+        ),
+    )
+    return F.transform(
+        one_line,
         lambda line, i: F.struct(
             F.lit(section).alias("section"),
             order.cast("bigint").alias("tool_order"),

@@ -310,6 +310,40 @@ def _metric_rows() -> str:
 
 oracle("sink_metrics_text", _metric_rows())
 
+
+
+def _markdown() -> str:
+    head = (
+        "list_concat(['# Tool Catalog Security Report', '', concat('**Server:** ', server_name), "
+        "concat('**Max Risk Score:** ', max_risk_score), '', '## Summary', '', '| Metric | Count |', '|--------|-------|', "
+        "concat('| Total Tools Scanned | ', total_tools, ' |'), concat('| Tools Blocked | ', tools_blocked, ' |'), "
+        "concat('| Tools Warned | ', tools_warned, ' |'), concat('| Tools Safe | ', tools_safe, ' |'), ''], "
+        "CASE WHEN tools_blocked > 0 THEN ['**ALERT:** Dangerous tools were found and blocked.', ''] ELSE [] END, "
+        "['## Tools', '', '| Tool | Risk Score | Level | Status | Detections |', "
+        "'|------|-----------|-------|--------|------------|', '', '## Findings', '', '## Recommendations', ''], "
+        "CASE WHEN tools_blocked > 0 THEN ['1. Review every blocked tool with the maintainers of its server.', "
+        "'2. Remove or clean the descriptions that were flagged.', "
+        "'3. Check the source code of the server for planted instructions.', "
+        "'4. Put the server on the block list until this is settled.'] "
+        "ELSE ['No critical issue was found. Keep monitoring.'] END)"
+    )
+    tool = (
+        "list_concat([concat('| ', tool_name, ' | ', risk_score, ' | ', risk_level, ' | ', "
+        f"{_STATUS}, ' | ', CASE WHEN len(hits) > 0 THEN array_to_string(patterns, ', ') ELSE 'None' END, ' |')], "
+        "CASE WHEN len(hits) > 0 THEN list_concat([concat('### ', tool_name, ' (Score: ', risk_score, ')'), ''], "
+        "list_transform(hits, lambda h: concat('- **', h.name, '** (severity ', h.severity, '): ', h.evidence)), ['']) "
+        "ELSE [] END)"
+    )
+    return (
+        f"{SCAN}, reports AS (SELECT server_name, {_REPORT} FROM scan GROUP BY server_name), "
+        f"blocks AS (SELECT server_name, {head} AS lines FROM reports UNION ALL SELECT server_name, {tool} FROM scan), "
+        "lines AS (SELECT server_name, unnest(lines) AS line FROM blocks) "
+        "SELECT server_name, replace(replace(line, chr(10), '\\n'), chr(13), '\\r') AS line FROM lines"
+    )
+
+
+oracle("sink_markdown_report", _markdown())
+
 # --- policy ------------------------------------------------------------------------
 
 oracle(
