@@ -62,8 +62,8 @@ def test_duplicate_and_nameless_tools(spark):
     rows = [("twin", "Clean."), ("twin", "jailbreak"), (None, "jailbreak"), (None, "Clean."), ("solo", "Clean.")]
     catalog = tools(spark, rows)
     scanned = S.scan_tools(catalog)
-    for row_id in (None, ["tool_pos"]):
-        kept = S.filter_catalog(catalog, scanned, row_id=row_id).select("tool_pos").collect()
+    for options in ({}, {"row_id": ["tool_pos"]}, {"write_names": True}):
+        kept = S.filter_catalog(catalog, scanned, **options).select("tool_pos").collect()
         assert [r.tool_pos for r in kept] == [4]
     strict = S.filter_catalog(catalog, scanned, strict_names=True).select("tool_pos").collect()
     assert sorted(r.tool_pos for r in strict) == [2, 3, 4]
@@ -79,6 +79,17 @@ def test_hot_name_is_spread(spark):
     assert used.count() > 8
 
 
+def test_written_names_avoid_the_shuffle(spark, monkeypatch):
+    from toolwarden.plans import skew
+
+    catalog = tools(spark, DEMO)
+    for limit, broadcast in ((100, True), (6, False)):
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+        kept = S.filter_catalog(catalog, S.scan_tools(catalog), row_id=["tool_pos"], write_names=True)
+        assert ("broadcast" in kept._jdf.queryExecution().logical().toString().lower()) == broadcast
+        assert [r.tool_name for r in kept.collect()] == ["format_text"]
+
+
 def test_empty_catalog(spark):
     scanned = S.scan_tools(tools(spark, []))
     assert scanned.count() == 0 and S.scan_report(scanned).count() == 0

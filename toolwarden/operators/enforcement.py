@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from toolwarden import rules as R
 from toolwarden.operators.detectors import enabled_detectors
 from toolwarden.operators.policy import decide, with_server_thresholds
-from toolwarden.operators.scoring import blocked_names, scan_tools
+from toolwarden.operators.scoring import blocked_names, prepared_names, scan_tools
 from toolwarden.plans.asof import latest_before
 from toolwarden.plans.skew import lookup_join
 from toolwarden.sources.policy_config import Policy
@@ -51,17 +51,20 @@ def enforce_catalog(
     policy: Policy,
     server_thresholds: bool = True,
     row_id: list[str] | None = None,
+    write_names: bool = False,
 ) -> DataFrame:
     """Tools that are delivered: not blocked by policy, and either their name is
-    not blocked by the scan or the policy allows them (``readded``)."""
+    not blocked by the scan or the policy allows them (``readded``).
+    ``row_id`` and ``write_names`` act as in ``filter_catalog``."""
     offered = decide(tools, policy, use_score=False).where(F.col("policy.action") != "block")
     offered = offered.withColumn("tool_name", F.coalesce("tool_name", F.lit("unknown")))
     scanned = judge_catalog(tools, policy, server_thresholds)
-    hits = blocked_names(scanned).withColumn("_hit", F.lit(True))
+    names, small = prepared_names(blocked_names(scanned), write_names)
+    hits = names.withColumn("_hit", F.lit(True))
     allowed = F.col("policy.action") == "allow"
     hit = F.coalesce("_hit", F.lit(False))
     return (
-        lookup_join(offered, hits, ["server_name", "tool_name"], salt_on=row_id)
+        lookup_join(offered, hits, ["server_name", "tool_name"], salt_on=row_id, small=small)
         .where(~hit | allowed)
         .withColumn("readded", hit & allowed)
         .drop("_hit")

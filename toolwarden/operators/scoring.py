@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from toolwarden import rules as R
 from toolwarden.operators.detectors import with_detections
-from toolwarden.plans.skew import anti_join_keys
+from toolwarden.plans.skew import anti_join_keys, fits_broadcast
+from toolwarden.plans.workspace import written
 
 
 def risk_score(severities: Column) -> Column:
@@ -85,11 +86,20 @@ def blocked_names(scanned: DataFrame) -> DataFrame:
     return scanned.where("blocked").select("server_name", "tool_name").distinct()
 
 
+def prepared_names(names: DataFrame, write: bool) -> tuple[DataFrame, bool]:
+    """The names, written if wanted, and whether they were measured as small."""
+    if not write:
+        return names, False
+    table = written(names, "blocked-names")
+    return table, fits_broadcast(table, ["server_name", "tool_name"])
+
+
 def filter_catalog(
     tools: DataFrame,
     scanned: DataFrame,
     strict_names: bool = False,
     row_id: list[str] | None = None,
+    write_names: bool = False,
 ) -> DataFrame:
     """Tools that stay: all whose name is not blocked on their server, so that
     duplicates of a blocked name fall together.
@@ -98,14 +108,18 @@ def filter_catalog(
     A tool without a name is treated as ``unknown`` and removed with it; with
     ``strict_names`` raw names are compared and such a tool stays.  ``row_id``
     names columns that identify a tool row; copies of one name are then spread
-    over tasks.
+    over tasks.  ``write_names`` runs the scan now and writes the blocked names
+    to the shared folder; while they are few they are broadcast, and no text is
+    shuffled.
     """
     name = F.col("tool_name") if strict_names else F.coalesce("tool_name", F.lit("unknown"))
+    names, small = prepared_names(blocked_names(scanned), write_names)
     return anti_join_keys(
         tools.withColumn("_name", name),
-        blocked_names(scanned).withColumnRenamed("tool_name", "_name"),
+        names.withColumnRenamed("tool_name", "_name"),
         ["server_name", "_name"],
         salt_on=row_id,
+        small=small,
     ).drop("_name")
 
 

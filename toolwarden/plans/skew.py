@@ -16,6 +16,15 @@ SALTS = 16
 
 #: Rows up to which a side of known size may be broadcast (short rows only).
 BROADCAST_ROWS = 100_000
+#: Bytes of text up to which a written table may be broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def fits_broadcast(table: DataFrame, columns: list[str]) -> bool:
+    """Measure a written table: are its rows and texts few enough to broadcast?"""
+    text = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
+    row = table.agg(F.count("*").alias("n"), F.sum(text.cast("bigint")).alias("size")).first()
+    return row["n"] <= BROADCAST_ROWS and (row["size"] or 0) <= BROADCAST_BYTES
 
 
 def _salted(left: DataFrame, right: DataFrame, salt_on: list[str], salts: int):
@@ -33,15 +42,17 @@ def lookup_join(
     how: str = "left",
     salt_on: list[str] | None = None,
     right_rows: int | None = None,
+    small: bool = False,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join to a table that has one row per key.
 
-    ``right_rows`` is the known row count of the right side, if there is one.
+    ``right_rows`` is the known row count of the right side, if there is one;
+    ``small`` says that :func:`fits_broadcast` measured it.
     ``salt_on`` names the columns that identify a left row; without them the
     join is left to adaptive skew handling.
     """
-    if right_rows is not None and right_rows <= BROADCAST_ROWS:
+    if small or (right_rows is not None and right_rows <= BROADCAST_ROWS):
         return left.join(F.broadcast(right), keys, how)
     if not salt_on:
         return left.join(right, keys, how)
@@ -50,14 +61,11 @@ def lookup_join(
 
 
 def anti_join_keys(
-    left: DataFrame, keys_frame: DataFrame, keys: list[str], salt_on: list[str] | None = None
+    left: DataFrame,
+    keys_frame: DataFrame,
+    keys: list[str],
+    salt_on: list[str] | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Left rows whose key is not listed."""
-    return lookup_join(left, keys_frame, keys, "left_anti", salt_on)
-
-
-def semi_join_keys(
-    left: DataFrame, keys_frame: DataFrame, keys: list[str], salt_on: list[str] | None = None
-) -> DataFrame:
-    """Left rows whose key is listed."""
-    return lookup_join(left, keys_frame, keys, "left_semi", salt_on)
+    return lookup_join(left, keys_frame, keys, "left_anti", salt_on, small=small)

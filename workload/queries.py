@@ -309,7 +309,8 @@ def scan_report(spark, sf_dir):
 @query
 def filter_catalog(spark, sf_dir):
     tools = V.catalog(spark, sf_dir)
-    return S.filter_catalog(tools, S.scan_tools(tools), row_id=["tool_id"]).select(
+    kept = S.filter_catalog(tools, S.scan_tools(tools), row_id=["tool_id"], write_names=True)
+    return kept.select(
         "tool_id", "server_name", "tool_name"
     )
 
@@ -415,7 +416,10 @@ def policy_first_match(spark, sf_dir):
 
 @query
 def enforce_catalog(spark, sf_dir):
-    return E.enforce_catalog(V.catalog(spark, sf_dir), policy(), row_id=["tool_id"]).select(
+    delivered = E.enforce_catalog(
+        V.catalog(spark, sf_dir), policy(), row_id=["tool_id"], write_names=True
+    )
+    return delivered.select(
         "tool_id", "server_name", "tool_name", "readded"
     )
 
