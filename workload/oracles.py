@@ -62,7 +62,7 @@ matches AS (
       ELSE [] END AS hidden,
     list_filter(list_transform(regexp_extract_all(description, {_B64}),
       lambda x: {_DECODED}),
-      lambda t: t IS NOT NULL AND length(t) > 5 AND NOT regexp_matches(replace(t, ' ', ''), '[\\p{{C}}\\p{{Z}}]')) AS readable,
+      lambda t: t IS NOT NULL AND length(t) > 5 AND NOT regexp_matches(t, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{P}}\\p{{S}} ]')) AS readable,
     len(regexp_extract_all(description, {text(R.HEX_RUN)})) AS hex_runs,
     len(regexp_extract_all(description, {text(R.UNICODE_ESCAPE)})) AS escapes,
     len(regexp_extract_all(description, {text(R.HTML_ENTITY)})) AS entities,
