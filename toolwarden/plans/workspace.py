@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +12,13 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session that names none gets a temporary folder; on a cluster
-    a folder of one machine would be lost with it."""
+    Where it is unset, as in tests, a folder in the session's warehouse, which
+    the driver and all executors reach as well.  Work tables stay until their
+    owner removes the folder."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="toolwarden-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/toolwarden_work"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
