@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from toolwarden.plans.workspace import shared_folder
 
@@ -107,3 +111,33 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         if labels.where("component <> was").isEmpty():
             return labels.select("node", "component")
         labels = labels.select("node", "component")
+
+
+def free_name(wanted: str, names: list[str]) -> str:
+    """``wanted``, lengthened until no column has that name."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def appended(df: DataFrame, fields: T.StructType, compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """All columns of ``df`` and those that ``compute`` gives for each Arrow batch.
+
+    ``compute`` gets a record batch and returns one list or array per field.
+    Rows stay where they are: no shuffle, and a batch is the only state."""
+    schema = T.StructType([*df.schema.fields, *fields.fields])
+    types = [to_arrow_type(f.dataType) for f in fields.fields]
+    names = [f.name for f in fields.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            added = [
+                a if isinstance(a, pa.Array) else pa.array(a, t)
+                for a, t in zip(compute(batch), types, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *added], names=[*batch.schema.names, *names]
+            )
+
+    return df.mapInArrow(run, schema)
