@@ -215,13 +215,13 @@ HITS = T.StructType([
 
 def search(graphs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for ``queries`` (``query_id, vector``)."""
-    shards = graphs.select("shard").distinct().withColumn("d", F.floor(F.col("shard") / 4_000_000_000))
+    targets = graphs.select(F.col("shard").alias("target")).distinct().withColumn("d", F.floor(F.col("target") / 4_000_000_000))
     blocks = max(1, -(-queries.count() // QUERIES))
     asked = queries.withColumn("d", F.size("vector").cast("long")).withColumn(
         "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     )
     # The stated query set, in blocks, against every shard.
-    left = asked.join(shards, "d").select("shard", "block", "query_id", "vector")
+    left = asked.join(F.broadcast(targets), "d").select("target", F.col("block").alias("part"), "query_id", "vector")
     right = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(asked_rows: pa.Table, held: pa.Table) -> pa.Table:
@@ -249,7 +249,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.float64()]
         return pa.table([pa.array(out[n], t) for n, t in zip(HITS.names, types, strict=True)], names=HITS.names)
 
-    hits = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, HITS)
+    hits = left.groupBy("target", "part").cogroup(right.groupBy("shard", "block")).applyInArrow(run, HITS)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
