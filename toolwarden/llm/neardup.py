@@ -14,13 +14,16 @@ their full sets.  At a similarity of exactly 0.75 fewer than ``MATCHES`` of
 * *Prefix*: of *m* shared postings, two documents with ``MATCHES`` in common
   share one of the *m - MATCHES + 1* rarest, so only these are joined.
 * *Merging*: each posting list first links its members to its smallest member.
-  Members that are in one component by then need no comparison.  Whatever
-  crosses components is compared pair by pair within length limits, in blocks
-  of a list, where only pairs that agree often enough leave a block.  So a large
-  group of near copies costs its size, and no link between components is lost.
+  Members that are in one component by then need no comparison.  What still
+  crosses components is compared within the limits that lengths set: pairs of
+  short lists by a join, long lists in blocks, each pair under its first common
+  posting, and only links that connect something leave a block.  So a group of
+  near copies costs its size, and no link between components is lost.  What
+  costs more than its size is a long list of documents that are nearly, but not
+  linked: its blocks are compared with each other, in as many tasks.
 
 Links are confirmed on the full sets (as 64-bit shingle hashes).  Only
-documents in a candidate pair are read a second time.
+documents that may have a partner are read a second time.
 
 Defined results: a text without words (or NULL) has an empty set and stands
 alone; with one to four words the whole sequence is its only shingle; repeated
@@ -48,8 +51,10 @@ SHINGLE = 5
 PERCENT = 75
 COORDINATES = 96
 MATCHES = 51
-#: Rows of one side of a block of a posting list.
-BLOCK = 256
+#: Posting lists of more members choose their first partner at random, and are compared in blocks.
+LONG = 16
+#: Members of a block, on average.
+BLOCK = 512
 #: Words hashed at a time, and words remembered.
 WORDS_AT_ONCE = 1 << 17
 CACHE = 500_000
@@ -104,12 +109,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     out = np.empty((COORDINATES, len(sets)), np.uint32)
     for k in range(COORDINATES):
         out[k] = np.minimum.reduceat((flat ^ xor[k]) * times[k], starts) >> np.uint64(32)
-    return out.T
-
-
-def _tokens(signature: np.ndarray) -> np.ndarray:
-    """Coordinate and value as one number."""
-    return (np.arange(COORDINATES, dtype=np.int64)[None, :] << 32) | signature.astype(np.int64)
+    return np.ascontiguousarray(out.T)
 
 
 def _fingerprint(hashes: np.ndarray) -> tuple[int, int]:
@@ -120,7 +120,7 @@ def _fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("rid", T.LongType()),
     T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()),
-    T.StructField("f2", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType())),
+    T.StructField("f2", T.LongType()), T.StructField("signature", T.ArrayType(T.IntegerType())),
 ])
 
 
@@ -130,7 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         nonlocal row
         full = [s for s in sets if len(s)]
-        values = iter(_tokens(signatures(full))) if full else iter(())
+        values = iter(signatures(full).view(np.int32)) if full else iter(())
         prints = [_fingerprint(s) if len(s) else (None, None) for s in sets]
         rids = list(range(row, row + len(sets)))
         row += len(sets)
@@ -139,7 +139,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(ids, pa.int64()), pa.array(rids, pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                pa.array([next(values) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([next(values) if len(s) else None for s in sets], pa.list_(pa.int32())),
             ],
             names=SIGNED.names,
         )
@@ -167,26 +167,27 @@ def _shared(tokens: DataFrame) -> DataFrame:
 
 def postings(classes: DataFrame) -> DataFrame:
     """``rid, token, df, rank, m``: shared postings, rarest first, of documents that may have a partner."""
-    tokens = classes.select("rid", F.explode("tokens").alias("token"))
+    coordinates = classes.select("rid", F.posexplode("signature").alias("k", "v"))
+    tokens = coordinates.select("rid", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v") + (1 << 31)).alias("token"))
     first = stored(_shared(tokens).select("rid", "token"), "shared")
     return stored(_shared(first).select("rid", "token", "df", "m"), "postings")
 
 
 def _prefix(live: DataFrame) -> DataFrame:
-    """The m - MATCHES + 1 rarest postings of each document."""
+    """``rid, prefix``: the m - MATCHES + 1 rarest postings of each document."""
     rare = F.array_sort(F.collect_list(F.struct("df", "token")))
     lists = live.groupBy("rid").agg(rare.alias("p"))  # at most COORDINATES each
     cut = F.slice("p", 1, F.size("p") - (MATCHES - 1))
-    return lists.select("rid", F.explode(F.transform(cut, lambda x: x.token)).alias("token"))
+    return lists.select("rid", F.transform(cut, lambda x: x.token).alias("prefix"))
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose lengths allow a link and whose signatures agree in MATCHES coordinates."""
-    one = classes.select(F.col("rid").alias("a"), F.col("n_shingles").alias("n_a"), F.col("tokens").alias("t_a"))
-    two = classes.select(F.col("rid").alias("b"), F.col("n_shingles").alias("n_b"), F.col("tokens").alias("t_b"))
+    one = classes.select(F.col("rid").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("t_a"))
+    two = classes.select(F.col("rid").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("t_b"))
     met = pairs.join(one, "a").join(two, "b").where(
         (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-        & (F.size(F.array_intersect("t_a", "t_b")) >= MATCHES)
+        & (F.size(F.filter(F.zip_with("t_a", "t_b", lambda x, y: x == y), lambda same: same)) >= MATCHES)
     )
     return met.select("a", "b")
 
@@ -205,20 +206,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(hashes):
                 f1, f2 = _fingerprint(hashes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id], pa.int64()), pa.array([f1], pa.int64()), pa.array([f2], pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))],
+                    [pa.array([doc_id], pa.int64()), pa.array([f1], pa.int64()), pa.array([f2], pa.int64()), pa.array([np.sort(hashes.view(np.int64))], pa.list_(pa.int64()))],
                     names=_SETS.names,
                 )
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs that are linked on their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    wanted = classes.join(wanted, "rid").select("rid", "doc_id", "f1", "f2")
+def full_sets(rids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rid, shingles``: the full sets of some classes, from a second reading of their documents."""
+    wanted = classes.join(rids, "rid").select("rid", "doc_id", "f1", "f2")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    full = texts.mapInArrow(_sets, _SETS).join(wanted, ["doc_id", "f1", "f2"]).dropDuplicates(["rid"])
-    full = stored(full.select("rid", "shingles"), "sets")
-    one = full.select(F.col("rid").alias("a"), F.col("shingles").alias("s_a"))
-    two = full.select(F.col("rid").alias("b"), F.col("shingles").alias("s_b"))
+    found = texts.mapInArrow(_sets, _SETS).join(wanted, ["doc_id", "f1", "f2"]).dropDuplicates(["rid"])
+    return stored(found.select("rid", "shingles"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that are linked on their full sets."""
+    one = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("s_a"))
+    two = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("s_b"))
     same = F.size(F.array_intersect("s_a", "s_b"))
     return (
         pairs.join(one, "a").join(two, "b")
@@ -227,47 +231,106 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks of a posting list that are of different components, of fitting
-    length, and agree in MATCHES coordinates."""
-    for batch in batches:
-        columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        for i in range(batch.num_rows):
-            left, right = columns["left"][i].as_py(), columns["right"][i].as_py()
-            t_l, t_r = (np.array([x["tokens"] for x in side], np.int64) for side in (left, right))
-            n_l, n_r = (np.array([x["n_shingles"] for x in side]) for side in (left, right))
-            c_l, c_r = (np.array([x["component"] for x in side]) for side in (left, right))
-            r_l, r_r = (np.array([x["rid"] for x in side]) for side in (left, right))
-            a, b = [], []
-            for k in range(len(left)):
-                fits = (
-                    (c_r != c_l[k])
-                    & (np.minimum(n_r, n_l[k]) * 100 >= np.maximum(n_r, n_l[k]) * PERCENT)
-                )
-                near = np.flatnonzero(fits)
-                if len(near):
-                    near = near[(t_r[near] == t_l[k]).sum(axis=1) >= MATCHES]
-                    # Of each component one agreeing pair could fail on the full sets: keep all.
-                    a.extend([r_l[k]] * len(near))
-                    b.extend(r_r[near])
-            if a:
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
-
-
-def _crossing(prefix: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Agreeing pairs across components that share a posting."""
-    named = prefix.join(parts, "rid", "left").select("rid", "token", F.coalesce("component", "rid").alias("component"))
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, one after the other, and the end of each list."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = whole.value_lengths().to_numpy(zero_copy_only=False)
+    return whole.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+
+
+class _Side:
+    """A block of a posting list as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.rid, self.component, self.size = (table[n].to_numpy().copy() for n in ("rid", "component", "n_shingles"))
+        self.signature = _lists(table["signature"])[0].reshape(len(self.rid), -1)
+        flat, ends = _lists(table["prefix"])
+        self.posted = np.zeros((len(self.rid), COORDINATES), bool)
+        self.posted[np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), flat >> 32] = True
+        self.shingles, self.ends = _lists(table["shingles"])
+        self.starts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
+
+
+def _linked(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between two blocks of a posting list that connect different components.
+
+    A pair that shares several postings is looked at under the first coordinate only."""
+    a, b = [], []
+    if left.num_rows and right.num_rows:
+        one, two = _Side(left), _Side(right)
+        own = left["token"][0].as_py() >> 32
+        same_block = left["block"][0].as_py() == right["block"][0].as_py()
+        for k in range(len(one.rid)):
+            fits = (two.component != one.component[k]) & (
+                np.minimum(two.size, one.size[k]) * 100 >= np.maximum(two.size, one.size[k]) * PERCENT
+            )
+            if same_block:
+                fits &= two.rid > one.rid[k]
+            near = np.flatnonzero(fits)
+            agree = two.signature[near] == one.signature[k]
+            near, agree = near[keep := agree.sum(axis=1) >= MATCHES], agree[keep]
+            near = near[(agree & two.posted[near] & one.posted[k]).argmax(axis=1) == own]
+            if not len(near):
+                continue
+            mine = one.shingles[one.starts[k] : one.ends[k]]
+            sizes = two.size[near]
+            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            flat = np.concatenate([two.shingles[two.starts[j] : two.ends[j]] for j in near])
+            place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            common = np.add.reduceat((mine[place] == flat).astype(np.int64), at)
+            for j in near[common * 100 >= (len(mine) + sizes - common) * PERCENT]:
+                from_, to = two.component[j], one.component[k]
+                if from_ != to:
+                    a.append(min(one.rid[k], two.rid[j]))
+                    b.append(max(one.rid[k], two.rid[j]))
+                    two.component[two.component == from_] = to
+                    one.component[one.component == from_] = to
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _hubs(lists: DataFrame) -> DataFrame:
+    """``token, a``: the member that the others of a posting list are compared with first.  Long
+    lists, which often have the same members, take different ones."""
+    drawn = F.min(F.struct(F.xxhash64("token", "rid").alias("h"), "rid"))
+    of = lists.groupBy("token").agg(F.count("*").alias("size"), F.min("rid").alias("least"), drawn.alias("drawn"))
+    return of.select("token", F.when(F.col("size") > LONG, F.col("drawn.rid")).otherwise(F.col("least")).alias("a"))
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _crossing(lists: DataFrame, prefix: DataFrame, parts: DataFrame, slim: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components between members of one posting list."""
+    named = lists.join(parts, "rid", "left").select("rid", "token", F.coalesce("component", "rid").alias("component"))
     mixed = (
         named.groupBy("token")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
         .where("lo <> hi")
     )
-    # Short lists: pairs directly.  Long ones: blocks, dealt by a hash of the member.
-    member = named.join(mixed.select("token", "size"), "token").withColumn(
-        "blocks", F.ceil(F.col("size") / BLOCK).cast("int")
+    member = stored(named.join(mixed.select("token", "size"), "token"), "members")
+    # Short lists: at most LONG / 2 pairs a member.
+    short = member.where(F.col("size") <= LONG)
+    other = short.select("token", F.col("rid").alias("b"), F.col("component").alias("component_b"))
+    pairs = short.withColumnRenamed("rid", "a").join(other, "token").where("a < b AND component <> component_b")
+    few = _confirmed(stored(_agreeing(pairs.select("a", "b").distinct(), slim), "agreeing"), sets)
+    # Long lists: blocks of members with their full sets, dealt by a hash of the member.
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = (
+        member.where(F.col("size") > LONG)
+        .withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+        .join(slim.select("rid", "n_shingles", "signature"), "rid")
+        .join(prefix, "rid")
+        .join(sets, "rid")
     )
-    return member.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    rows = stored(rows, "blocks")
+    left = rows.withColumn("x", F.col("block")).withColumn("y", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = rows.withColumn("y", F.col("block")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    names = [F.col(c).alias(f"{c}_") for c in ("token", "x", "y")]
+    right = right.select(*names, *(F.col(c).alias(c) for c in rows.columns if c != "token"))
+    many = left.groupBy("token", "x", "y").cogroup(right.groupBy("token_", "x_", "y_")).applyInArrow(_linked, "a bigint, b bigint")
+    return few.union(many)
 
 
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -277,25 +340,15 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("f1", "f2")
         .agg(F.min("rid").alias("rid"), F.min("doc_id").alias("component_doc"))
     )
-    classes = stored(
-        signed.join(equal.select("rid", "component_doc"), "rid"), "classes"
-    )
+    classes = stored(signed.join(equal.select("rid", "component_doc"), "rid"), "classes")
+    slim = classes.select("rid", "n_shingles", "signature")
     prefix = stored(_prefix(postings(classes)), "prefix")
-    hubs = prefix.groupBy("token").agg(F.min("rid").alias("a"))
-    stars = prefix.join(hubs, "token").where("a < rid").select("a", F.col("rid").alias("b")).distinct()
-    slim = classes.select("rid", "doc_id", "f1", "f2", "n_shingles", "tokens")
-    star_links = stored(_confirmed(stored(_agreeing(stars, slim), "agreeing"), slim, docs), "links")
-    parts = components(star_links).withColumnRenamed("node", "rid")
-    member = _crossing(prefix, parts, slim)
-    sides = member.join(slim.select("rid", "n_shingles", "tokens"), "rid")
-    side = F.collect_list(F.struct("rid", "component", "n_shingles", "tokens"))
-    blocks = stored(sides.groupBy("token", "blocks", "block").agg(side.alias("side")), "blocks")
-    left = blocks.select("token", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), F.col("side").alias("left"))
-    right = blocks.select("token", F.col("block").alias("other"), F.col("side").alias("right"))
-    met = left.join(right, ["token", "other"]).select("left", "right")
-    crossing = met.mapInArrow(_blocks, "a bigint, b bigint").distinct()
-    more = _confirmed(stored(crossing, "crossing"), slim, docs)
-    return classes, star_links.union(more)
+    sets = full_sets(prefix.select("rid"), classes, docs)
+    lists = prefix.select("rid", F.explode("prefix").alias("token"))
+    stars = lists.join(_hubs(lists), "token").where("a <> rid").select(*_ordered("a", "rid")).distinct()
+    first = stored(_confirmed(stored(_agreeing(stars, slim), "agreeing"), sets), "links")
+    parts = components(first).withColumnRenamed("node", "rid")
+    return classes, first.union(_crossing(lists, prefix, parts, slim, sets))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
