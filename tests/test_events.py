@@ -78,14 +78,14 @@ def test_listing_messages(spark):
         "not json",
     ]
     out = EN.parse_listings(spark.createDataFrame([(v,) for v in values], "value STRING")).collect()
-    assert [(r.message_id, r.tool_pos, r.tool_name, r.description) for r in out] == [(1, 0, "a", "x"), (1, 1, None, "y")]
+    assert [(r.message_id, r.tool_pos, r.tool_name, r.description) for r in out] == [("1", 0, "a", "x"), ("1", 1, None, "y")]
     assert out[0].input_schema == '{"type":"object"}'
 
 
 def test_response_messages(spark):
     value = '{"id":5,"result":{"content":[{"type":"image","text":"i"},{"type":"text","text":""},{"type":"text","text":"hi"},{"type":"text"}]}}'
     out = EN.parse_responses(spark.createDataFrame([(value,)], "value STRING")).collect()
-    assert [(r.message_id, r.item_pos, r.content) for r in out] == [(5, 2, "hi")]
+    assert [(r.message_id, r.item_pos, r.content) for r in out] == [("5", 2, "hi")]
 
 
 def test_identity(spark):

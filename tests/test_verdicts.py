@@ -13,8 +13,8 @@ def replies(spark, rows):
 
 def test_parse(spark):
     rows = [
-        '{"malicious": true, "confidence": 90}',
-        '```json\n{"malicious": false, "confidence": 80}\n```',
+        '{"malicious": true, "confidence": 77}',
+        '```json\n{"malicious": false, "confidence": 61}\n```',
         '  ```\n{"malicious": true, "severity": 7, "categories": ["A", "B"], "reasoning": "r"}\n```  ',
         "sorry",
         '{"malicious": true',
@@ -23,7 +23,7 @@ def test_parse(spark):
     out = V.parse_replies(replies(spark, rows)).orderBy("cache_key").collect()
     assert [r.parsed for r in out] == [True, True, True, False, False, None]
     assert [r.malicious for r in out] == [True, False, True, False, False, None]
-    assert [r.confidence for r in out] == [90, 80, 0, 0, 0, None]
+    assert [r.confidence for r in out] == [77, 61, 0, 0, 0, None]
     assert out[2].categories == ["A", "B"] and out[0].categories == [] and out[5].categories is None
 
 
@@ -96,3 +96,26 @@ def test_combined(spark):
 def test_counters(spark):
     df = spark.createDataFrame([(True, False), (False, True)], "malicious BOOLEAN, cached BOOLEAN")
     assert tuple(V.semantic_counters(df).first()) == (2, 1, 1)
+
+
+def test_loose_replies(spark):
+    rows = [
+        '{"malicious": true, "confidence": 87.5, "severity": 90.0, "categories": "SPY"}',
+        '{"malicious": true, "confidence": "81", "severity": null, "categories": ["A", "B"]}',
+        '{"malicious": true, "confidence": "high", "categories": {"a": 1}}',
+        '{"malicious": false, "confidence": 99}',
+    ]
+    out = V.parse_replies(replies(spark, rows)).orderBy("cache_key").collect()
+    assert [r.malicious for r in out] == [True, True, True, False] and all(r.parsed for r in out)
+    assert [r.confidence for r in out] == [87, 81, 0, 99]
+    assert [r.severity for r in out] == [90, 0, 0, 0]
+    assert [r.categories for r in out][:2] == [["SPY"], ["A", "B"]]
+
+
+def test_latest_of_several_verdicts(spark):
+    verdicts = spark.createDataFrame(
+        [("k", False, 10, 0, [], "old", 1), ("k", True, 90, 80, ["A"], "new", 2)],
+        "cache_key STRING, malicious BOOLEAN, confidence INT, severity INT, categories ARRAY<STRING>, reasoning STRING, first_seen LONG",
+    )
+    rows = V.join_verdicts(spark.createDataFrame([("k", 1), ("x", 2)], "cache_key STRING, id INT"), verdicts).orderBy("id").collect()
+    assert [(r.id, r.malicious, r.reasoning) for r in rows] == [(1, True, "new"), (2, None, None)]

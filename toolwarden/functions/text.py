@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-from operator import or_
+import re
+import sys
+import unicodedata
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from toolwarden.rules import Rule
 
-#: Unicode classes for \s \w \d \b, and "." that stops at newlines only.
+#: Unicode classes for \d, and "." that stops at newlines only.
 CASE_SENSITIVE = "(?Ud)"
 IGNORE_CASE = "(?iUd)"
 
@@ -21,9 +23,69 @@ _FOLDING_LETTERS = "ſıİ\u212a"
 _FOLDED_TO = "siik"
 
 
+# What Python takes for white space and word characters, which is more and less than the JVM does:
+# the four separators count as space, joiners and combining marks do not count as letters.
+_SPACE = r"\s\x1C-\x1F"
+_WORD = r"\p{L}\p{N}_"
+_BOUNDARY = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+_PLAIN = {"s": f"[{_SPACE}]", "S": f"[^{_SPACE}]", "w": f"[{_WORD}]", "W": f"[^{_WORD}]", "b": _BOUNDARY}
+_IN_CLASS = {"s": _SPACE, "w": _WORD}
+
+
+def jvm_dialect(pattern: str) -> str:
+    """The same matches with the JVM's engine: its shorthand classes are spelled out."""
+    out, inside = [], False
+    for token in re.findall(r"\\.|.", pattern, re.DOTALL):
+        if token[0] == "\\":
+            out.append((_IN_CLASS if inside else _PLAIN).get(token[1], token))
+            continue
+        if token in "[]":
+            inside = token == "["
+        out.append(token)
+    return "".join(out)
+
+
 def spark_regex(rule: Rule) -> str:
     """The rule's expression in the dialect of the JVM."""
-    return (IGNORE_CASE if rule.ignore_case else CASE_SENSITIVE) + rule.pattern
+    return (IGNORE_CASE if rule.ignore_case else CASE_SENSITIVE) + jvm_dialect(rule.pattern)
+
+
+def code_point_ranges(test: Callable[[str], bool], low: int = 0) -> list[tuple[int, int]]:
+    """The code points that pass the test, as ranges; surrogates never do."""
+    ranges: list[tuple[int, int]] = []
+    for point in range(low, sys.maxunicode + 1):
+        if 0xD800 <= point <= 0xDFFF or not test(chr(point)):
+            continue
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1] = (ranges[-1][0], point)
+        else:
+            ranges.append((point, point))
+    return ranges
+
+
+def _class_body(ranges: Iterable[tuple[int, int]]) -> str:
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" if a < b else rf"\x{{{a:X}}}" for a, b in ranges)
+
+
+def range_class(ranges: list[tuple[int, int]]) -> str:
+    """A class of many ranges that the JVM tests quickly for ordinary text: characters in the long
+    stretches between the ranges are ruled out first."""
+    gaps = [(a[1] + 1, b[0] - 1) for a, b in zip(ranges, ranges[1:])]
+    long = [(0, ranges[0][0] - 1), *(g for g in gaps if g[1] - g[0] >= 64)]
+    long.sort(key=lambda g: g[0] - g[1] if g[0] > 0x3000 else -sys.maxunicode + g[0])
+    return f"[\\x{{0}}-\\x{{10FFFF}}&&[^{_class_body(long)}]&&[{_class_body(ranges)}]]"
+
+
+@lru_cache(maxsize=1)
+def hidden_class() -> str:
+    """Format, private-use and unassigned code points above ASCII, by Python's tables."""
+    return range_class(code_point_ranges(lambda c: unicodedata.category(c) in ("Cf", "Co", "Cn"), 0x80))
+
+
+@lru_cache(maxsize=1)
+def unprintable_class() -> str:
+    """What ``str.isprintable`` says no to."""
+    return range_class(code_point_ranges(lambda c: not c.isprintable()))
 
 
 def empty_strings() -> Column:
@@ -31,7 +93,13 @@ def empty_strings() -> Column:
 
 
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions) if conditions else F.lit(False)
+    """True if one of them is; a balanced tree, so that any number of them can be planned."""
+    if not conditions:
+        return F.lit(False)
+    while len(conditions) > 1:
+        pairs = zip(conditions[::2], conditions[1::2])
+        conditions = [a | b for a, b in pairs] + conditions[len(conditions) - len(conditions) % 2 :]
+    return conditions[0]
 
 
 def folded(text: Column) -> Column:
@@ -91,12 +159,6 @@ class Anchored:
         return F.expr(f"flatten(array({', '.join(self._find_all(r) for r in rules)}))")
 
 
-def quoted_list(matches: Column, limit: int) -> Column:
-    """First matches as ``'a', 'b'``."""
-    quoted = F.transform(F.slice(matches, 1, limit), lambda m: F.concat(F.lit("'"), m, F.lit("'")))
-    return F.array_join(quoted, ", ")
-
-
 def mask(value: Column, keep: int) -> Column:
     """Keep the first characters, star the rest; short values are starred whole."""
     size = F.length(value)
@@ -105,13 +167,6 @@ def mask(value: Column, keep: int) -> Column:
     )
 
 
-def code_point_label(char: Column) -> Column:
-    """``U+200B`` for a one-character string."""
-    digits = F.hex(F.ascii(char))
-    four_or_more = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
-    return F.concat(F.lit("U+"), four_or_more)
-
-
 # Anything but a letter or digit, as ranges: the JVM tests a negated class an
 # order of magnitude slower.
 _NO_ALNUM = r"[\x00-/:-@\[-`{-\x{10FFFF}]"
@@ -145,4 +200,4 @@ def decoded_base64(run: Column) -> Column:
 
 def is_printable(text: Column) -> Column:
     """No control, format, private, unassigned or separator character but space."""
-    return ~F.rlike(text, F.lit(r"[\p{C}\p{Z}&&[^ ]]"))
+    return ~F.rlike(text, F.lit(unprintable_class()))

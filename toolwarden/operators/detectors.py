@@ -92,22 +92,12 @@ def _exfiltration_phrases(find: X.Anchored) -> Column:
     return F.concat(find.find_all_rules(R.DATA_EXFILTRATION), first_image)
 
 
-def _assigned_ranges() -> str:
-    return "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in R.ASSIGNED_SINCE_UNICODE_13)
-
-
-#: Format and private-use characters, and unassigned ones, above ASCII.
-HIDDEN_CLASS = (
-    r"[\x{80}-\x{10FFFF}&&[\p{Cf}\p{Co}[\p{Cn}&&[^" + _assigned_ranges() + r"]]]]"
-)
-
-
 def _hidden_sql() -> str:
     """Evidence: count, then code point and 0-based position of the first hits.
 
     The text between hits gives their positions: hit number i comes after the
     first i + 1 pieces and i hits."""
-    hidden = X.sql_text(HIDDEN_CLASS)
+    hidden = X.sql_text(X.hidden_class())
     hits = f"regexp_extract_all(description, {hidden}, 0)"
     pieces = f"split(description, {hidden}, {R.MAX_MATCH_SAMPLES + 1})"
     digits = "hex(ascii(c))"
@@ -135,7 +125,7 @@ def _base64_runs(text: Column) -> Column:
 
 
 def _count(text: Column, low: Column, anchor: str, pattern: str) -> Column:
-    found = F.regexp_count(text, F.lit(X.CASE_SENSITIVE + pattern))
+    found = F.regexp_count(text, F.lit(X.CASE_SENSITIVE + X.jvm_dialect(pattern)))
     return F.when(F.contains(low, F.lit(anchor)), found).otherwise(0)
 
 
@@ -200,7 +190,7 @@ _STEPS: dict[str, dict[str, Callable[[X.Anchored], Column]]] = {
         "_urls": lambda f: f.find_all(R.EXTERNAL_URL),
     },
     "Cross-Tool Manipulation": {"_cross": lambda f: f.find_all_rules(R.CROSS_TOOL)},
-    "Invisible Characters": {"_hidden": lambda f: F.rlike(f.text, F.lit(HIDDEN_CLASS))},
+    "Invisible Characters": {"_hidden": lambda f: F.rlike(f.text, F.lit(X.hidden_class()))},
     "Obfuscated Payloads": {
         "_runs": lambda f: _base64_runs(f.text),
         "_hex": lambda f: _count(f.text, f.low, "0x", _HEX_RUN),

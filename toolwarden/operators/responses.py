@@ -1,12 +1,11 @@
 """Secrets, personal data and data leaks in tool responses; redaction.
 
 Findings of a response are an array in its row: finding, rating and redacting
-are one narrow projection.  Only the JSON test of long responses needs Python.
+are one narrow projection in the JVM.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,38 +80,31 @@ def _leak_findings(finding: R.FindingRule, matches: Column) -> Column:
     return F.transform(matches, build)
 
 
-def _json_test():
-    """Arrow-batched ``json.loads`` test; NULL input is not JSON."""
+# A JSON document starts like this; nothing else is parsed.
+_JSON_START = r"\A[ \t\r\n]*+(?:[\[{\"0-9-]|true|false|null)"
+# Strings as JSON writes them; what is left of a document has neither quotes nor control characters.
+_JSON_STRING = r'"(?:[^"\\\x00-\x1F]++|\\["\\/bfnrt]|\\u[0-9A-Fa-f]{4})*+"'
+_NO_JSON_REST = r"['\"\x00-\x08\x0B\x0C\x0E-\x1F/]|\x{FEFF}"
 
-    @F.pandas_udf("boolean")
-    def is_json(texts: pd.Series) -> pd.Series:
-        import json
 
-        def test(value) -> bool:
-            if value is None:
-                return False
-            try:
-                json.loads(value)
-            except (ValueError, RecursionError):
-                return False
-            return True
+def is_json(text: Column) -> Column:
+    """Is the text one JSON value?
 
-        return texts.map(test)
-
-    return is_json
-
-
-# A JSON document starts like this; prose is not handed to Python.
-_JSON_START = r"\A[ \t\r\n]*(?:[\[{\"0-9-]|true|false|null|NaN|Infinity)"
+    A value followed by anything would end the array or the object it is put
+    into; no rest can end both.  The parser of the engine is more lenient with
+    strings, so these are tested on their own."""
+    one_item = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    one_field = F.size(F.json_object_keys(F.concat(F.lit('{"a":'), text, F.lit("}")))) == 1
+    rest = F.regexp_replace(text, _JSON_STRING, "")
+    strict = ~F.rlike(rest, F.lit(_NO_JSON_REST))
+    return F.coalesce(strict & one_item & one_field, F.lit(False))
 
 
 def with_json_dump(responses: DataFrame, column: str = "_json_dump") -> DataFrame:
     """Mark responses that are one long JSON document."""
     content = F.col("content")
-    candidate = F.when(
-        (F.length(content) > R.JSON_DUMP_MIN_CHARS) & F.rlike(content, F.lit(_JSON_START)), content
-    )
-    return responses.withColumn(column, _json_test()(candidate))
+    candidate = (F.length(content) > R.JSON_DUMP_MIN_CHARS) & F.rlike(content, F.lit(_JSON_START))
+    return responses.withColumn(column, F.when(candidate, is_json(content)).otherwise(False))
 
 
 def with_findings(
@@ -215,10 +207,13 @@ def public_findings() -> Column:
 
 def redact_responses(scanned: DataFrame) -> DataFrame:
     """Replace every occurrence of each critical finding, in order, by its type."""
+    critical = F.filter(
+        "findings", lambda f: (f.severity >= R.CRITICAL_SEVERITY) & (f.evidence != F.lit(""))
+    )
+    # A value is replaced once, however often it was found.
+    values = F.array_distinct(F.transform(critical, lambda f: F.struct(f.evidence, f.finding_type)))
     redacted = F.reduce(
-        F.filter(
-            "findings", lambda f: (f.severity >= R.CRITICAL_SEVERITY) & (f.evidence != F.lit(""))
-        ),
+        values,
         F.col("content"),
         lambda text, f: F.replace(
             text, f.evidence, F.concat(F.lit("[REDACTED:"), f.finding_type, F.lit("]"))

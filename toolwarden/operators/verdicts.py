@@ -40,14 +40,12 @@ def with_key(tools: DataFrame) -> DataFrame:
 def distinct_texts(tools: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Each (name, description) once, without those that have a stored verdict.
     Copies are combined before the shuffle."""
-    texts = (
-        with_key(normalise_tools(tools))
-        .groupBy("cache_key")
-        .agg(F.first("tool_name").alias("tool_name"), F.first("description").alias("description"))
+    texts = with_key(normalise_tools(tools))
+    if stored is not None:  # before texts move
+        texts = anti_join_keys(texts, stored.select("cache_key").distinct(), ["cache_key"])
+    return texts.groupBy("cache_key").agg(
+        F.first("tool_name").alias("tool_name"), F.first("description").alias("description")
     )
-    if stored is None:
-        return texts
-    return anti_join_keys(texts, stored.select("cache_key").distinct(), ["cache_key"])
 
 
 def with_cached_flag(
@@ -93,7 +91,10 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     """Verdict fields of the replies, with defaults for absent ones.
 
     A reply that is no JSON object yields a verdict that is not malicious and
-    ``parsed = false`` (not to be stored); a NULL reply yields NULLs.
+    ``parsed = false`` (not to be stored); a NULL reply yields NULLs.  Fields are
+    read loosely: numbers may have a fraction (cut off) or stand in quotes, one
+    category may stand without a list, and a field that cannot be read takes its
+    default without discarding the others.
     """
     body = F.trim(unfenced(F.col("reply")))
     looks_whole = F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))
@@ -102,20 +103,32 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     answered = F.col("reply").isNotNull()
     parsed = answered & looks_whole & F.col("_v").isNotNull() & F.col("_v._corrupt").isNull()
 
-    def default(field: str, value: Column) -> Column:
-        return F.when(answered, F.coalesce(F.when(F.col("parsed"), F.col(f"_v.{field}")), value))
+    def default(read: Column, value: Column) -> Column:
+        return F.when(answered, F.coalesce(F.when(F.col("parsed"), read), value))
+
+    def number(field: str) -> Column:
+        value = F.expr(f"try_cast(_v.{field} AS DOUBLE)")
+        return F.when(~F.isnan(value), F.expr(f"try_cast(try_cast(_v.{field} AS DOUBLE) AS INT)"))
+
+    said = F.lower(F.trim(F.col("_v.malicious")))
+    # Anything but an empty, zero or false value speaks for malice.
+    malicious = F.when(said.isNotNull(), ~said.isin("false", "0", "0.0", "", "null", "[]", "{}"))
+    listed = F.from_json(F.col("_v.categories"), "array<string>")
+    categories = F.when(F.startswith(F.ltrim("_v.categories"), F.lit("[")), listed).otherwise(
+        F.when(F.col("_v.categories").isNotNull(), F.array("_v.categories"))
+    )
 
     return (
         replies.withColumn("_v", fields)
         .withColumn("parsed", F.when(answered, F.coalesce(parsed, F.lit(False))))
         .withColumns(
             {
-                "malicious": default("malicious", F.lit(False)),
-                "confidence": default("confidence", F.lit(0)),
-                "severity": default("severity", F.lit(0)),
-                "categories": default("categories", F.array().cast("array<string>")),
+                "malicious": default(malicious, F.lit(False)),
+                "confidence": default(number("confidence"), F.lit(0)),
+                "severity": default(number("severity"), F.lit(0)),
+                "categories": default(categories, F.array().cast("array<string>")),
                 "reasoning": default(
-                    "reasoning",
+                    F.col("_v.reasoning"),
                     F.when(F.col("parsed"), F.lit("")).otherwise(F.lit("reply could not be parsed")),
                 ),
             }
@@ -161,9 +174,12 @@ VERDICT_FIELDS = ("malicious", "confidence", "severity", "categories", "reasonin
 def join_verdicts(
     tools: DataFrame, verdicts: DataFrame, row_id: list[str] | None = None
 ) -> DataFrame:
-    """Add the verdict columns; NULL where there is no verdict."""
-    fields = verdicts.select("cache_key", *VERDICT_FIELDS)
-    return lookup_join(tools, fields, ["cache_key"], salt_on=row_id)
+    """Add the verdict columns; NULL where there is no verdict.  Of several verdicts of
+    a key the latest counts (by ``first_seen`` if there is one)."""
+    latest = F.col("first_seen") if "first_seen" in verdicts.columns else F.lit(0)
+    fields = F.struct(*VERDICT_FIELDS)
+    one = verdicts.groupBy("cache_key").agg(F.max_by(fields, F.struct(latest, F.xxhash64(fields))).alias("_v"))
+    return lookup_join(tools, one.select("cache_key", "_v.*"), ["cache_key"], salt_on=row_id)
 
 
 def with_semantic(

@@ -171,15 +171,6 @@ INTERNAL_ACCESS = _rules(
     (r"\.internal(\.|\b)", "internal", ".internal"),
 )
 
-# Hidden characters: format, private-use and unassigned code points above ASCII.
-# The Unicode tables of the JVM may be older than the text, so blocks that were
-# assigned after Unicode 13 are not taken for "unassigned" (as code point ranges).
-ASSIGNED_SINCE_UNICODE_13 = (
-    (0x1F000, 0x1FBFF),
-    (0x2EBF0, 0x2EE5D),
-    (0x31350, 0x323AF),
-)
-
 # Obfuscated payloads.
 BASE64_RUN = r"[A-Za-z0-9+/]{20,}={0,2}"
 HEX_RUN = r"(?:0x[0-9a-fA-F]{2}\s*){4,}"

@@ -13,28 +13,20 @@ FINDING = (
     "redacted_evidence:string>"
 )
 
-#: Policy outcome.
-POLICY_DECISION = "struct<action:string,reason:string,rule_name:string>"
-
 #: List-tools message.  The input schema of a tool is kept as raw JSON.
 LIST_TOOLS_ENVELOPE = (
-    "jsonrpc STRING, id BIGINT, "
+    "jsonrpc STRING, id STRING, "
     "result STRUCT<tools: ARRAY<STRUCT<name: STRING, description: STRING, inputSchema: STRING>>>"
 )
 
 #: Call-tool message.
 CALL_TOOL_ENVELOPE = (
-    "jsonrpc STRING, id BIGINT, "
+    "jsonrpc STRING, id STRING, "
     "result STRUCT<content: ARRAY<STRUCT<type: STRING, text: STRING>>>"
 )
 
-#: Reply of a semantic scorer.
-VERDICT_REPLY = (
-    "malicious BOOLEAN, confidence INT, severity INT, categories ARRAY<STRING>, reasoning STRING"
-)
-
-#: Stored verdict.
-VERDICT = "cache_key STRING, " + VERDICT_REPLY
+#: Reply of a semantic scorer, every field as the text it was written in.
+VERDICT_REPLY = "malicious STRING, confidence STRING, severity STRING, categories STRING, reasoning STRING"
 
 #: Audit lines: one per scanned server, one per scanned tool.
 AUDIT_REPORT = (

@@ -236,13 +236,13 @@ _REQ = f"WITH requests AS ({V.REQUESTS_SQL})"
 
 oracle(
     "src_tool_catalog",
-    f"{_CAT} SELECT server_name, tool_id AS message_id, 0 AS tool_pos, tool_name, description "
+    f"{_CAT} SELECT server_name, CAST(tool_id AS VARCHAR) AS message_id, 0 AS tool_pos, tool_name, description "
     "FROM catalog WHERE tool_id % 7 <> 6 UNION ALL "
-    "SELECT server_name, tool_id, 1, NULL, 'Says pong.' FROM catalog WHERE tool_id % 7 <> 6",
+    "SELECT server_name, CAST(tool_id AS VARCHAR), 1, NULL, 'Says pong.' FROM catalog WHERE tool_id % 7 <> 6",
 )
 oracle(
     "src_tool_responses",
-    f"{_RESP} SELECT response_id AS message_id, item_pos AS turn, 2 AS item_pos, content FROM responses "
+    f"{_RESP} SELECT CAST(response_id AS VARCHAR) AS message_id, item_pos AS turn, 2 AS item_pos, content FROM responses "
     "WHERE content <> ''",
 )
 _BLOCK = "((server_name = 'src1' AND lower(tool_name) LIKE 'tool!_1%' ESCAPE '!') OR lower(tool_name) = 'tool_7')"
@@ -689,7 +689,7 @@ oracle(
 )
 _SERVED = (
     "served AS (SELECT toxic = 1 AS malicious, n > 1 AS cached FROM (SELECT doc_id, row_number() OVER "
-    "(PARTITION BY text ORDER BY doc_id) AS n FROM documents) JOIN labels USING (doc_id))"
+    "(PARTITION BY text ORDER BY doc_id) AS n FROM documents) LEFT JOIN labels USING (doc_id))"
 )
 oracle(
     "agg_semantic_counters",

@@ -724,11 +724,11 @@ def agg_kill_switch(spark, sf_dir):
 
 
 def _served(spark, sf_dir) -> DataFrame:
-    """Verdicts served to the labelled documents, repeated texts from the store."""
+    """Verdicts served to all documents, repeated texts from the store; none without a label."""
     labels = V.table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("tool_id"), (F.col("toxic") == 1).alias("malicious")
     )
-    return VD.with_cached_flag(_offers(spark, sf_dir), "tool_id").join(labels, "tool_id")
+    return VD.with_cached_flag(_offers(spark, sf_dir), "tool_id").join(labels, "tool_id", "left")
 
 
 @query
