@@ -48,19 +48,21 @@ def test_markdown(spark, tmp_path):
     for name in sorted(glob.glob(path + "/server_name=srv/part-*")):
         lines += open(name, encoding="utf-8").read().splitlines()
     text = "\n".join(lines)
-    assert lines[0] == "# Tool Catalog Security Report" and "| Tools Blocked | 7 |" in lines
-    assert "| format_text | 0 | safe | SAFE | None |" in lines and "**ALERT:**" in text
-    order = [text.index(s) for s in ("## Summary", "## Tools", "## Findings", "### get_weather", "### run_diagnostics", "## Recommendations")]
-    assert order == sorted(order) and "### format_text" not in text
-    names = [line.split(" | ")[0] for line in lines if line.startswith("| ") and "dangerous" in line]
-    assert names == [f"| {r[0]}" for r in DEMO[:7]]
+    assert lines[0] == "# Tools of srv" and "8 tools: 7 withheld, 0 to look at, 1 without concern." in lines[2]
+    assert "- format_text: 0 (safe, safe)" in lines
+    order = [text.index(s) for s in ("# Tools of", "- get_weather: 100", "## Evidence", "\nget_weather\n", "\nrun_diagnostics\n", "## To do")]
+    assert order == sorted(order) and "\nformat_text\n" not in text
+    names = [line.split(":")[0] for line in lines if line.startswith("- ") and "dangerous, blocked" in line]
+    assert names == [f"- {r[0]}" for r in DEMO[:7]]
+    found = {k for r in DEMO for k in r[2]}
+    assert [k for k in RP.ADVICE if f"- {k}: {RP.ADVICE[k]}" in lines] == [k for k in RP.ADVICE if k in found]
 
 
 def test_line_breaks_stay_in_their_line(spark):
     scanned = S.scan_tools(tools(spark, [("a\nb", "human:\nx")]))
     lines = [r.line for r in RP.markdown_lines(scanned, "tool_pos").collect()]
     assert not any("\n" in line for line in lines)
-    assert "- **Prompt Injection** (severity 85): 1 match(es): 'human:\\n'" in lines
+    assert "  - Prompt Injection, 85: 1 match(es): 'human:\\n'" in lines
 
 
 def test_metrics_text(spark, tmp_path):

@@ -1,10 +1,12 @@
 import datetime as dt
+import random
 
 from data import DEMO, contents, tools
 from pyspark.sql import functions as F
 from test_events import START, replay
 
 from toolwarden.operators import scoring as S
+from toolwarden.operators import sessions as SE
 from toolwarden.streaming import jobs as J
 
 
@@ -49,14 +51,49 @@ def events(spark):
 def test_sessions_over_batches(spark, tmp_path):
     rows, df = events(spark)
     source = tmp_path / "in"
-    checkpoint, out, state = str(tmp_path / "cp"), str(tmp_path / "out"), str(tmp_path / "state")
+    checkpoint, out = str(tmp_path / "cp"), str(tmp_path / "out")
     for lo in range(0, 120, 40):  # three arrivals, each its own run
         df.where(f"request_id >= {lo} AND request_id < {lo + 40}").coalesce(1).write.mode("append").parquet(str(source))
-        J.session_validity(stream(spark, df, source), "session", out, state, checkpoint)
-    got = {r.request_id: r.valid for r in spark.read.parquet(out).collect()}
+        J.session_validity(stream(spark, df, source), "session", out, checkpoint)
+    got = {r.request_id: r.valid for r in J.latest_results(spark, out, ["session", "alone"]).collect()}
     assert got == replay(rows)
 
 
+def test_late_rows_string_sessions_and_long_gaps(spark, tmp_path):
+    """Openings that come after the requests they precede, and a session of a day."""
+    at = [START + dt.timedelta(hours=h) for h in range(30)]
+    rows = [
+        (1, at[1], "s-1", "tools/list"), (2, at[2], None, "tools/list"), (3, at[26], "s-2", "tools/call"),  # first batch
+        (4, at[0], "s-1", "initialize"), (5, at[3], "s-2", "initialize"), (6, at[4], "s-3", "tools/call"),  # second
+        (7, at[27], "s-1", "tools/call"), (8, at[28], "s-1", "close"), (9, at[29], "s-1", "tools/call"),  # third
+    ]
+    df = spark.createDataFrame(rows, "request_id BIGINT, ts TIMESTAMP, session STRING, method STRING")
+    source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    for lo in (1, 4, 7):
+        df.where(f"request_id >= {lo} AND request_id < {lo + 3}").coalesce(1).write.mode("append").parquet(str(source))
+        J.session_validity(stream(spark, df, source), "session", out, checkpoint)
+    got = {r.request_id: r.valid for r in J.latest_results(spark, out, ["session", "alone"]).collect()}
+    assert got == replay(rows) and got[1] and got[3] and got[7] and not got[9]
+
+
+def test_correlation_over_batches_equals_batch(spark, tmp_path):
+    """Ids repeat between clients and over time; some requests come late, some clients are NULL."""
+    rng, rows = random.Random(3), []
+    for i in range(150):
+        ts = START + dt.timedelta(seconds=rng.randint(0, 7200))
+        rows.append((i, str(rng.randint(1, 6)), rng.choice(["a", "b", None]), ts, rng.choice(["x", "y"]), rng.random() < 0.5))
+    schema = "n INT, request_id STRING, client STRING, ts TIMESTAMP, method STRING, is_answer BOOLEAN"
+    df = spark.createDataFrame(rows, schema)
+    source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    for lo in range(0, 150, 50):
+        df.where(f"n >= {lo} AND n < {lo + 50}").coalesce(1).write.mode("append").parquet(str(source))
+        J.correlate_stream(stream(spark, df, source), ["client"], out, checkpoint)
+    want = SE.correlate(df.where("NOT is_answer").drop("is_answer"), df.where("is_answer").drop("is_answer"), ["client"])
+    pick = lambda frame: sorted((r.n, r.method, r.matched) for r in frame.collect())
+    got = pick(J.latest_results(spark, out, ["client", "request_id"]))
+    assert got == pick(want) and len(got) == sum(r[-1] for r in rows) and any(r[2] for r in got)
+
+
 def test_routes_and_counters(spark, tmp_path):
     _, df = events(spark)
     source = landing(df, tmp_path / "in")
@@ -75,11 +112,12 @@ def test_routes_and_counters(spark, tmp_path):
 def test_rate_windows(spark, tmp_path):
     _, df = events(spark)
     source = landing(df, tmp_path / "in", 1)
-    J.run_to_files(J.rate_windows(stream(spark, df, source)), str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = spark.read.parquet(str(tmp_path / "out"))
-    closed = START + dt.timedelta(minutes=45)
-    want = df.where(F.col("ts") < F.lit(closed)).count()
-    assert got.where(F.col("window_start") < F.lit(closed)).agg(F.sum("requests")).first()[0] == want
+    for _ in range(2):  # the second arrival is as late as the first was early
+        J.rate_windows(stream(spark, df, source), str(tmp_path / "out"), str(tmp_path / "cp"))
+        landing(df, tmp_path / "in", 1)
+    got = {(r.window_start, r.method): r.requests for r in J.summed_rates(spark, str(tmp_path / "out")).collect()}
+    want = df.groupBy(F.date_trunc("minute", "ts").alias("w"), "method").count().collect()
+    assert got == {(r.w, r.method): 2 * r["count"] for r in want}
 
 
 def test_texts_once(spark, tmp_path):
@@ -87,7 +125,9 @@ def test_texts_once(spark, tmp_path):
         "ts", F.to_timestamp(F.lit("2024-01-01"))
     )
     source = landing(catalog, tmp_path / "in")
-    J.run_to_files(J.new_texts(stream(spark, catalog, source)), str(tmp_path / "o1"), str(tmp_path / "c1"))
+    for _ in range(2):
+        J.new_texts(stream(spark, catalog, source), str(tmp_path / "o1"), str(tmp_path / "c1"))
+        landing(catalog, tmp_path / "in", 1)
     assert spark.read.parquet(str(tmp_path / "o1")).count() == 3
     near = J.new_texts_within_watermark(stream(spark, catalog, source)).select("cache_key")
     J.run_to_files(near, str(tmp_path / "o2"), str(tmp_path / "c2"))

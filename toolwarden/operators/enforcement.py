@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolwarden import rules as R
 from toolwarden.operators.detectors import enabled_detectors
 from toolwarden.operators.policy import decide, with_server_thresholds
-from toolwarden.operators.scoring import blocked_names, prepared_names, scan_tools
-from toolwarden.plans.asof import latest_before
+from toolwarden.operators.scoring import LISTING, blocked_names, prepared_names, scan_tools
 from toolwarden.plans.skew import lookup_join
 from toolwarden.sources.policy_config import Policy
 
@@ -52,19 +53,20 @@ def enforce_catalog(
     server_thresholds: bool = True,
     row_id: list[str] | None = None,
     write_names: bool = False,
+    by: Sequence[str] = LISTING,
 ) -> DataFrame:
     """Tools that are delivered: not blocked by policy, and either their name is
     not blocked by the scan or the policy allows them (``readded``).
-    ``row_id`` and ``write_names`` act as in ``filter_catalog``."""
+    ``row_id``, ``write_names`` and ``by`` act as in ``filter_catalog``."""
     offered = decide(tools, policy, use_score=False).where(F.col("policy.action") != "block")
     offered = offered.withColumn("tool_name", F.coalesce("tool_name", F.lit("unknown")))
     scanned = judge_catalog(tools, policy, server_thresholds)
-    names, small = prepared_names(blocked_names(scanned), write_names)
+    names, small = prepared_names(blocked_names(scanned, by), write_names)
     hits = names.withColumn("_hit", F.lit(True))
     allowed = F.col("policy.action") == "allow"
     hit = F.coalesce("_hit", F.lit(False))
     return (
-        lookup_join(offered, hits, ["server_name", "tool_name"], salt_on=row_id, small=small)
+        lookup_join(offered, hits, [*by, "tool_name"], salt_on=row_id, small=small)
         .where(~hit | allowed)
         .withColumn("readded", hit & allowed)
         .drop("_hit")
@@ -107,28 +109,49 @@ def policy_overrides(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count_if(F.col("policy.action") != "default").alias("policy_overrides"))
 
 
+def switch_by_bucket(rows_until: DataFrame, controls: DataFrame, bucket_seconds: int) -> DataFrame:
+    """``_bucket, _carried, _writes``: for every time bucket from the first write to the last row,
+    the state that it starts with and the (moment, state) pairs written in it."""
+    bucket = F.floor(F.unix_micros("ts") / (bucket_seconds * 1_000_000))
+    written = (
+        controls.where("ts IS NOT NULL")
+        .groupBy("ts")
+        .agg(F.max("enabled").alias("enabled"))
+        .groupBy(bucket.alias("_bucket"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("at"), "enabled"))).alias("_writes"))
+    )
+    # One entry per bucket with a write, in time order: as many as hours, not as writes or rows.
+    left = F.element_at("_writes", -1)["enabled"]
+    marks = written.select("_bucket", left.alias("left")).unionByName(
+        rows_until.select("_bucket", F.lit(None).cast("boolean").alias("left"))
+    )
+    line = marks.agg(F.array_sort(F.collect_list(F.struct("_bucket", "left"))).alias("line"))
+    first, last = F.col("_s")["_bucket"] + 1, F.get("line", F.col("_i") + 1)["_bucket"]
+    carried = (
+        line.select("line", F.posexplode("line").alias("_i", "_s"))
+        .where(F.col("_s")["left"].isNotNull() & (last >= first))
+        .select(F.explode(F.sequence(first, last)).alias("_bucket"), F.col("_s")["left"].alias("_carried"))
+    )
+    return written.join(carried, "_bucket", "full")
+
+
 def switch_state(
-    rows: DataFrame,
-    controls: DataFrame,
-    ts: str = "ts",
-    row_id: str = "request_id",
-    bucket_seconds: int = 3600,
+    rows: DataFrame, controls: DataFrame, ts: str = "ts", bucket_seconds: int = 3600
 ) -> DataFrame:
-    """State of the kill switch when each row happened: the last control
-    write (``ts``, ``enabled``) before it, off without one."""
+    """State of the kill switch when each row happened: the last control write
+    (``ts``, ``enabled``) up to its moment, off without one.
+
+    Rows look their moment up among the few writes of their time bucket; they
+    are neither sorted nor carried through a window, so a bucket may hold any
+    share of them."""
     kept = rows.columns
-    events = rows.withColumn("_set", F.lit(None).cast("boolean")).withColumn("_data", F.lit(1))
-    writes = controls.select(
-        F.col("ts").alias(ts), F.col("enabled").alias("_set"), F.lit(0).alias("_data")
-    )
-    merged = events.unionByName(writes, allowMissingColumns=True)
+    bucketed = rows.withColumn("_bucket", F.floor(F.unix_micros(F.col(ts)) / (bucket_seconds * 1_000_000)))
+    newest = bucketed.agg(F.max("_bucket").alias("_bucket")).where("_bucket IS NOT NULL")
+    known = bucketed.join(switch_by_bucket(newest, controls, bucket_seconds), "_bucket", "left")
+    at = F.col(ts)
     # A write at the very moment of a row takes effect for it.
-    state = latest_before(
-        merged, [], F.struct(ts, "_data", row_id), F.col("_set"), ts, bucket_seconds, "_state"
-    )
-    return state.where("_data = 1").select(
-        *kept, F.coalesce("_state", F.lit(False)).alias("kill_switch")
-    )
+    before = F.try_element_at(F.filter("_writes", lambda w: w["at"] <= at), F.lit(-1))["enabled"]
+    return known.select(*kept, F.coalesce(before, "_carried", F.lit(False)).alias("kill_switch"))
 
 
 def kill_switch_filter(rows: DataFrame, enabled: bool | Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,9 +81,12 @@ def scan_report(
     )
 
 
-def blocked_names(scanned: DataFrame) -> DataFrame:
-    """Names that fall on each server."""
-    return scanned.where("blocked").select("server_name", "tool_name").distinct()
+LISTING = ("server_name",)
+
+
+def blocked_names(scanned: DataFrame, by: Sequence[str] = LISTING) -> DataFrame:
+    """Names that fall in each listing (``by``)."""
+    return scanned.where("blocked").select(*by, "tool_name").distinct()
 
 
 def prepared_names(names: DataFrame, write: bool) -> tuple[DataFrame, bool]:
@@ -91,7 +94,7 @@ def prepared_names(names: DataFrame, write: bool) -> tuple[DataFrame, bool]:
     if not write:
         return names, False
     table = written(names, "blocked-names")
-    return table, fits_broadcast(table, ["server_name", "tool_name"])
+    return table, fits_broadcast(table, [c for c, t in table.dtypes if t == "string"])
 
 
 def filter_catalog(
@@ -100,9 +103,12 @@ def filter_catalog(
     strict_names: bool = False,
     row_id: list[str] | None = None,
     write_names: bool = False,
+    by: Sequence[str] = LISTING,
 ) -> DataFrame:
-    """Tools that stay: all whose name is not blocked on their server, so that
-    duplicates of a blocked name fall together.
+    """Tools that stay: all whose name is not blocked in their listing, so that
+    duplicates of a blocked name fall together.  ``by`` names the columns that
+    tell listings apart: by default the server, and with the message id or scan
+    id added each message by itself, as when messages are filtered one by one.
 
     The texts are scanned once, on the side that yields the few blocked names.
     A tool without a name is treated as ``unknown`` and removed with it; with
@@ -113,11 +119,11 @@ def filter_catalog(
     shuffled.
     """
     name = F.col("tool_name") if strict_names else F.coalesce("tool_name", F.lit("unknown"))
-    names, small = prepared_names(blocked_names(scanned), write_names)
+    names, small = prepared_names(blocked_names(scanned, by), write_names)
     return anti_join_keys(
         tools.withColumn("_name", name),
         names.withColumnRenamed("tool_name", "_name"),
-        ["server_name", "_name"],
+        [*by, "_name"],
         salt_on=row_id,
         small=small,
     ).drop("_name")
@@ -131,15 +137,15 @@ def scan_gate(scanned: DataFrame, flag: str = "blocked", by: str = "server_name"
 
 
 def exposure_diff(
-    tools: DataFrame, scanned: DataFrame, row_id: list[str] | None = None
+    tools: DataFrame, scanned: DataFrame, row_id: list[str] | None = None, by: Sequence[str] = LISTING
 ) -> DataFrame:
-    """Tools per server before and after filtering, and how many are hidden."""
-    before = tools.groupBy("server_name").agg(F.count("*").alias("direct_tools"))
-    after = filter_catalog(tools, scanned, row_id=row_id).groupBy("server_name").agg(
+    """Tools per listing before and after filtering, and how many are hidden."""
+    before = tools.groupBy(*by).agg(F.count("*").alias("direct_tools"))
+    after = filter_catalog(tools, scanned, row_id=row_id, by=by).groupBy(*by).agg(
         F.count("*").alias("protected_tools")
     )
-    return before.join(after, "server_name", "left").select(
-        "server_name",
+    return before.join(after, list(by), "left").select(
+        *by,
         "direct_tools",
         F.coalesce("protected_tools", F.lit(0).cast("bigint")).alias("protected_tools"),
         (F.col("direct_tools") - F.coalesce("protected_tools", F.lit(0))).alias("hidden_tools"),

@@ -62,11 +62,10 @@ def with_session_validity(
     method = F.col("method")
     change = F.when(method == OPEN_METHOD, F.lit(True)).when(method == CLOSE_METHOD, F.lit(False))
     state = latest_before(
-        requests, [session], F.struct("ts", row_id), change, "ts", bucket_seconds, "_open"
-    )
-    valid = (
-        method.isin(OPEN_METHOD, CLOSE_METHOD)
-        | F.col(session).isNull()
-        | F.coalesce("_open", F.lit(False))
-    )
-    return state.withColumn("valid", valid).drop("_open")
+        requests.where(F.col(session).isNotNull()),
+        [session], F.struct("ts", row_id), change, "ts", bucket_seconds, "_open",
+    )
+    valid = F.coalesce(method.isin(OPEN_METHOD, CLOSE_METHOD), F.lit(False)) | F.coalesce("_open", F.lit(False))
+    # Any number of rows may carry no session; they take no part in the state.
+    free = requests.where(F.col(session).isNull()).withColumn("valid", F.lit(True))
+    return state.withColumn("valid", valid).drop("_open").unionByName(free)

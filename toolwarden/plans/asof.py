@@ -32,15 +32,21 @@ def latest_before(
         Window.unboundedPreceding, -1
     )
     carried = last_of_bucket.select(
-        *keys, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carried")
+        *[F.col(k).alias(f"_of_{k}") for k in keys],
+        F.col("_bucket").alias("_of_bucket"),
+        F.last("_last", ignorenulls=True).over(before).alias("_carried"),
     )
+    # NULL is a key like any other.
+    same = F.col("_bucket") == F.col("_of_bucket")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     within = Window.partitionBy(*keys, "_bucket").orderBy("_order").rowsBetween(
         Window.unboundedPreceding, -1
     )
     return (
-        rows.join(carried, [*keys, "_bucket"], "left")
+        rows.join(carried, same, "left")
         .withColumn(
             column, F.coalesce(F.last("_value", ignorenulls=True).over(within), F.col("_carried"))
         )
-        .drop("_bucket", "_value", "_order", "_carried")
+        .drop("_bucket", "_value", "_order", "_carried", "_of_bucket", *[f"_of_{k}" for k in keys])
     )

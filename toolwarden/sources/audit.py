@@ -37,13 +37,22 @@ def audit_reports(
     warn_threshold: int | Column = R.WARN_THRESHOLD,
     identity: Column | None = None,
 ) -> DataFrame:
-    """Audit lines of the scans; the identity is absent from a line without one."""
+    """Audit lines of the scans.  The identity belongs to a scan, so any of its rows has it;
+    it is absent from a line without one."""
     keys = ("scan_id", "timestamp", "server_name")
     report = scan_report(scanned, warn_threshold, keys)
     if identity is not None:
+        # A map cannot be compared; its entries can, and are the same in all rows of a scan.
+        entries = F.array_sort(F.map_entries(identity))
+        of = scanned.groupBy(*keys).agg(F.max(entries).alias("_entries"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        of = of.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_entries")
+        report = report.join(of, same, "left").drop(*[f"_of_{k}" for k in keys])
         report = report.withColumn(
-            "gateway_identity", F.when(F.size(identity) > 0, identity)
-        )
+            "gateway_identity", F.when(F.size("_entries") > 0, F.map_from_entries("_entries"))
+        ).drop("_entries")
     return report.withColumn("date", F.to_date("timestamp"))
 
 

@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 from toolwarden import rules as R
 from toolwarden.operators.scoring import scan_report, scan_status
 
-_ADVICE_BLOCKED = (
-    "1. Review every blocked tool with the maintainers of its server.",
-    "2. Remove or clean the descriptions that were flagged.",
-    "3. Check the source code of the server for planted instructions.",
-    "4. Put the server on the block list until this is settled.",
-)
-_ADVICE_CLEAN = ("No critical issue was found. Keep monitoring.",)
+#: What to do about each kind of finding.
+ADVICE = {
+    "Prompt Injection": "Reword texts that address the agent; a description says what its tool does.",
+    "Data Exfiltration": "Name the hosts that may receive data, and drop links that carry any.",
+    "Cross-Tool Manipulation": "Leave the choice of tools to the agent; strike orders to call others.",
+    "Invisible Characters": "Publish plain text without characters that nobody can see.",
+    "Obfuscated Payloads": "Write encoded passages out, or leave them away.",
+    "Description Anomalies": "Shorten the text; comments and empty blocks do not belong in it.",
+    "Dangerous Commands": "Keep commands and names of secrets out of the text.",
+    "SSRF / Internal Access": "Point to public addresses only.",
+    R.SEMANTIC: "Have a person read the text that the scorer objected to.",
+}
+NO_ADVICE = "Nothing."
 
 
 def _number(column: str) -> Column:
@@ -52,55 +58,41 @@ def markdown_lines(scanned: DataFrame, order: str, warn_threshold: int = R.WARN_
     The scan is read twice (totals and lines); hand in a written scan result
     rather than a running scan."""
     report = scan_report(scanned, warn_threshold)
+    # Sets of detector names: as many as there are combinations, however many tools a server has.
+    kinds = scanned.groupBy("server_name").agg(
+        F.array_distinct(F.flatten(F.collect_set("detections.pattern_name"))).alias("_kinds")
+    )
+    report = report.join(kinds, "server_name")
     none = F.lit(-1)
-    head = F.array_compact(
+    counts = F.concat(
+        F.lit("Worst score "), _number("max_risk_score"), F.lit(f" of {R.MAX_SCORE}. "), _number("total_tools"),
+        F.lit(" tools: "), _number("tools_blocked"), F.lit(" withheld, "), _number("tools_warned"),
+        F.lit(" to look at, "), _number("tools_safe"), F.lit(" without concern."),
+    )
+    head = F.array(F.concat(F.lit("# Tools of "), F.col("server_name")), F.lit(""), counts, F.lit(""))
+    findings_head = F.array(F.lit(""), F.lit("## Evidence"), F.lit(""))
+    advice = F.array_compact(
         F.array(
-            F.lit("# Tool Catalog Security Report"),
-            F.lit(""),
-            F.concat(F.lit("**Server:** "), F.col("server_name")),
-            F.concat(F.lit("**Max Risk Score:** "), _number("max_risk_score")),
-            F.lit(""),
-            F.lit("## Summary"),
-            F.lit(""),
-            F.lit("| Metric | Count |"),
-            F.lit("|--------|-------|"),
-            F.concat(F.lit("| Total Tools Scanned | "), _number("total_tools"), F.lit(" |")),
-            F.concat(F.lit("| Tools Blocked | "), _number("tools_blocked"), F.lit(" |")),
-            F.concat(F.lit("| Tools Warned | "), _number("tools_warned"), F.lit(" |")),
-            F.concat(F.lit("| Tools Safe | "), _number("tools_safe"), F.lit(" |")),
-            F.lit(""),
-            F.when(F.col("tools_blocked") > 0, "**ALERT:** Dangerous tools were found and blocked."),
-            F.when(F.col("tools_blocked") > 0, ""),
-            F.lit("## Tools"),
-            F.lit(""),
-            F.lit("| Tool | Risk Score | Level | Status | Detections |"),
-            F.lit("|------|-----------|-------|--------|------------|"),
+            *[F.when(F.array_contains("_kinds", k), F.lit(f"- {k}: {text}")) for k, text in ADVICE.items()]
         )
     )
-    findings_head = F.array(F.lit(""), F.lit("## Findings"), F.lit(""))
-    advice = F.when(
-        F.col("tools_blocked") > 0, F.array(*[F.lit(a) for a in _ADVICE_BLOCKED])
-    ).otherwise(F.array(*[F.lit(a) for a in _ADVICE_CLEAN]))
-    tail = F.concat(F.array(F.lit("## Recommendations"), F.lit("")), advice)
+    advice = F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit(NO_ADVICE)))
+    tail = F.concat(F.array(F.lit(""), F.lit("## To do"), F.lit("")), advice)
 
     names = F.array_join("detections.pattern_name", ", ")
     row = F.concat(
-        F.lit("| "), F.col("tool_name"), F.lit(" | "), _number("risk_score"), F.lit(" | "),
-        F.col("risk_level"), F.lit(" | "), scan_status(F.col("risk_score"), F.col("blocked")),
-        F.lit(" | "), F.when(F.size("detections") > 0, names).otherwise("None"), F.lit(" |"),
-    )
-    tool_head = F.array(
-        F.concat(F.lit("### "), F.col("tool_name"), F.lit(" (Score: "), _number("risk_score"), F.lit(")")),
-        F.lit(""),
-    )
+        F.lit("- "), F.col("tool_name"), F.lit(": "), _number("risk_score"), F.lit(" ("), F.col("risk_level"),
+        F.lit(", "), F.lower(scan_status(F.col("risk_score"), F.col("blocked"))), F.lit(")"),
+        F.when(F.size("detections") > 0, F.concat(F.lit(", "), names)).otherwise(""),
+    )
+    tool_head = F.array(F.col("tool_name"))
     bullets = F.transform(
         "detections",
         lambda d: F.concat(
-            F.lit("- **"), d.pattern_name, F.lit("** (severity "), d.severity.cast("string"),
-            F.lit("): "), d.evidence,
+            F.lit("  - "), d.pattern_name, F.lit(", "), d.severity.cast("string"), F.lit(": "), d.evidence
         ),
     )
-    details = F.concat(tool_head, bullets, F.array(F.lit("")))
+    details = F.concat(tool_head, bullets)
     per_server = F.concat(
         _placed(0, none, head), _placed(2, none, findings_head), _placed(4, none, tail)
     )

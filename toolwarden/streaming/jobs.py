@@ -1,28 +1,29 @@
 """Streaming jobs over catalogs, responses and request events.
 
-Stateless scans are the batch transforms applied to a stream.  State is used
-where rows must meet across batches: sessions, correlation, deduplication and
-windowed rates, each bounded by a watermark or a timeout.  Sinks are file sinks
-or idempotent ``foreachBatch`` writes, so a restart neither loses nor repeats rows.
+Stateless scans are the batch transforms applied to a stream.  Where rows must
+meet across batches (sessions, correlation, deduplication, rates), the state is
+a table in the shared folder, so rows may come as late as they like and nothing
+expires.  Sinks are file sinks or idempotent ``foreachBatch`` writes, so a
+restart neither loses nor repeats rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from toolwarden.operators import metrics as M
 from toolwarden.operators.detectors import normalise_tools
-from toolwarden.operators.enforcement import kill_switch_filter
+from toolwarden.operators.enforcement import enforce_catalog, kill_switch_filter
 from toolwarden.operators.responses import redact_responses, scan_responses
 from toolwarden.operators.scoring import scan_tools
-from toolwarden.operators.sessions import CLOSE_METHOD, OPEN_METHOD, with_route, with_session_validity
+from toolwarden.operators.sessions import correlate, with_route, with_session_validity
 from toolwarden.operators.verdicts import with_key
 from toolwarden.sources.audit import audit_results
-
-LATENESS = "10 minutes"
+from toolwarden.sources.policy_config import Policy
 
 
 def run_to_files(
@@ -77,73 +78,79 @@ def routed_sinks(messages: DataFrame, path: str, checkpoint: str) -> None:
     run_batches(messages, handle, checkpoint)
 
 
-def correlate_stream(
-    requests: DataFrame, responses: DataFrame, within: str = "10 minutes", lateness: str = LATENESS
-) -> DataFrame:
-    """Left-outer interval join: a response takes the method of the request with
-    its id up to ``within`` before; unmatched ones keep theirs and leave when
-    the watermark passes."""
-    asked = requests.withWatermark("ts", lateness).select(
-        F.col("request_id").alias("_id"), F.col("ts").alias("_asked"), F.col("method").alias("_method")
-    )
-    answers = responses.withWatermark("ts", lateness)
-    near = F.expr(f"request_id = _id AND _asked <= ts AND _asked >= ts - INTERVAL {within}")
-    return answers.join(asked, near, "left_outer").select(
-        *[c for c in responses.columns if c != "method"],
-        F.coalesce("_method", "method").alias("method"),
-        F.col("_id").isNotNull().alias("matched"),
-    )
-
-
-def session_validity(
-    requests: DataFrame,
-    session: str,
+def replayed(
+    stream: DataFrame,
+    keys: list[str],
+    judge: Callable[[DataFrame], DataFrame],
     path: str,
-    state_path: str,
     checkpoint: str,
-    ttl: str = "INTERVAL 1 HOUR",
 ) -> None:
-    """Validity per request, with the open sessions in a state table.
+    """Run a batch operator whose rows depend on others of their key over a stream.
 
-    A batch starts from the sessions that the batch before left open, put in
-    front of its rows as openings, and runs the batch operator, so a session
-    with most of the requests is still cut into time buckets.  State older than
-    ``ttl`` of event time is dropped.  Every batch replaces its own folders.
+    Every batch is logged below ``path/log``; then the keys that it touched are
+    judged anew over all that is logged of them, below ``path/results``, so a
+    row that comes late corrects what was said before, and the result does not
+    depend on where batches end.  Nothing expires; state is a table, not memory.
+    Batches replace their own folders, so a repeated one changes nothing.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("request_id", "ts", session, "method")
-        if batch_id > 0:
-            before = spark.read.schema(f"{session} BIGINT, ts TIMESTAMP").parquet(
-                f"{state_path}/batch_id={batch_id - 1}"
-            )
-            rows = rows.unionByName(
-                before.select(
-                    F.lit(None).cast("bigint").alias("request_id"),
-                    "ts",
-                    session,
-                    F.lit(OPEN_METHOD).alias("method"),
-                )
-            )
-        judged = with_session_validity(rows, session, "request_id")
-        judged.where("request_id IS NOT NULL").drop("method").write.mode("overwrite").parquet(
-            f"{path}/batch_id={batch_id}"
+        spark, schema = batch.sparkSession, batch.schema
+        with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+        batch.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+        touched = (
+            spark.read.schema(schema).parquet(f"{path}/log/batch_id={batch_id}").select(*keys).distinct()
         )
-        changes = rows.where(F.col("method").isin(OPEN_METHOD, CLOSE_METHOD))
-        newest = rows.agg(F.max("ts").alias("_newest"))
-        left_open = (
-            changes.where(F.col(session).isNotNull())
-            .groupBy(session)
-            .agg(F.max_by(F.struct("method", "ts"), F.struct("ts", "request_id")).alias("_last"))
-            .where(F.col("_last.method") == OPEN_METHOD)
-            .select(session, "_last.ts")
-            .join(newest, F.col("ts") >= F.col("_newest") - F.expr(ttl))
-            .drop("_newest")
+        if touched.isEmpty():
+            return
+        logged = spark.read.schema(with_batch).parquet(f"{path}/log")
+        logged = logged.where(F.col("batch_id") <= batch_id).drop("batch_id")
+        now = touched.select([F.col(k).alias(f"_now_{k}") for k in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_now_{k}"))
+        judge(logged.join(now, same, "left_semi")).write.mode("overwrite").parquet(
+            f"{path}/results/batch_id={batch_id}"
         )
-        left_open.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
 
-    run_batches(requests, handle, checkpoint)
+    run_batches(stream, handle, checkpoint)
+
+
+def latest_results(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What a replayed job says now: of every key the rows of the last batch that judged it."""
+    results = spark.read.parquet(f"{path}/results")
+    last = results.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.max("batch_id").alias("_last"))
+    same = F.col("batch_id") == F.col("_last")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return results.join(last, same, "left_semi").drop("batch_id")
+
+
+def correlate_stream(messages: DataFrame, client: list[str], path: str, checkpoint: str) -> None:
+    """The batch correlation over a stream of requests and answers (``is_answer``): an answer
+    takes the method of the latest unanswered request of its client and id.  Read the
+    answers with :func:`latest_results` by client and ``request_id``."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        requests = rows.where("NOT is_answer").drop("is_answer")
+        return correlate(requests, rows.where("is_answer").drop("is_answer"), client)
+
+    replayed(messages, [*client, "request_id"], judge, path, checkpoint)
+
+
+def session_validity(
+    requests: DataFrame, session: str, path: str, checkpoint: str, row_id: str = "request_id"
+) -> None:
+    """The batch rule over a stream: a request is valid if its session was opened before it and
+    not closed since, however long ago.  Requests without a session are valid at once and are
+    not looked at again.  Read with :func:`latest_results` by session."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        return with_session_validity(rows, session, row_id)
+
+    # Requests without a session are keys of their own.
+    alone = F.when(F.col(session).isNull(), F.col(row_id))
+    replayed(requests.withColumn("alone", alone), [session, "alone"], judge, path, checkpoint)
 
 
 def pattern_counters(tools: DataFrame) -> DataFrame:
@@ -162,33 +169,55 @@ def run_counters(counters: DataFrame, path: str, checkpoint: str) -> None:
     run_batches(counters, handle, checkpoint, mode="complete")
 
 
-def rate_windows(
-    requests: DataFrame, window: str = "1 minute", slide: str | None = None, lateness: str = LATENESS
-) -> DataFrame:
-    """Requests per window and method; later rows than ``lateness`` are dropped."""
+def rate_windows(requests: DataFrame, path: str, checkpoint: str, window: str = "1 minute", slide: str | None = None) -> None:
+    """Requests per window and method: every batch adds its counts, so late rows count and the
+    newest windows are there.  Read with :func:`summed_rates`."""
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
-    return (
-        requests.withWatermark("ts", lateness)
-        .groupBy(span.alias("_w"), "method")
-        .agg(F.count("*").alias("requests"))
-        .select(F.col("_w.start").alias("window_start"), "method", "requests")
-    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(span.alias("_w"), "method").agg(F.count("*").alias("requests"))
+        counts.select(F.col("_w.start").alias("window_start"), "method", "requests").write.mode(
+            "overwrite"
+        ).parquet(f"{path}/batch_id={batch_id}")
+
+    run_batches(requests, handle, checkpoint)
 
 
-def new_texts_within_watermark(tools: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
+def summed_rates(spark: SparkSession, path: str) -> DataFrame:
+    """Requests per window and method over all batches so far."""
+    return spark.read.parquet(path).groupBy("window_start", "method").agg(F.sum("requests").alias("requests"))
+
+
+def new_texts_within_watermark(tools: DataFrame, ts: str = "ts", lateness: str = "10 minutes") -> DataFrame:
     """Each text once within the watermark delay (bounded state)."""
     return (
         with_key(normalise_tools(tools)).withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["cache_key"])
     )
 
 
-def new_texts(tools: DataFrame) -> DataFrame:
-    """Each text once, for good (state grows with the distinct texts)."""
-    return (
-        with_key(normalise_tools(tools))
-        .select("cache_key", "tool_name", "description")
-        .dropDuplicates(["cache_key"])
-    )
+def new_texts(tools: DataFrame, path: str, checkpoint: str) -> None:
+    """Each text once, for good.  The keys seen so far are the table that is written, not state
+    in memory; texts move only if their key is new."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        keyed = with_key(normalise_tools(batch)).select("cache_key", "tool_name", "description")
+        if batch_id > 0:
+            seen = batch.sparkSession.read.schema("cache_key STRING, batch_id BIGINT").parquet(path)
+            keyed = keyed.join(seen.where(F.col("batch_id") < batch_id), "cache_key", "left_anti")
+        keyed.dropDuplicates(["cache_key"]).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    run_batches(tools, handle, checkpoint)
+
+
+def enforced_catalog(tools: DataFrame, policy: Policy, by: list[str], path: str, checkpoint: str) -> None:
+    """What each listing of a stream delivers: policy, scan, filter by blocked names of the
+    same listing (``by``), and what the policy lets through again.  A listing is one message
+    and so comes in one batch; ``by`` must tell messages apart if a server sends several."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        enforce_catalog(batch, policy, by=by).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    run_batches(tools, handle, checkpoint)
 
 
 def switched_catalog(

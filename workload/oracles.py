@@ -265,7 +265,14 @@ _DAY = "CAST(DATE '2024-01-01' + CAST(tool_id % 3 AS INTEGER) AS DATE)"
 oracle(
     "sink_audit_jsonl",
     f"{SCAN} SELECT concat(server_name, '-', strftime({_DAY}, '%Y%m%d')) AS scan_id, server_name, "
-    f"strftime({_DAY}, '%Y-%m-%d') AS date, {_REPORT} FROM scan GROUP BY 1, 2, 3",
+    f"strftime({_DAY}, '%Y-%m-%d') AS date, CASE WHEN CAST(substr(server_name, 4) AS INTEGER) % 2 = 0 "
+    f"THEN concat('{{\"user\":\"u-', server_name, '\"}}') END AS identity, {_REPORT} FROM scan GROUP BY 1, 2, 3, 4",
+)
+oracle(
+    "filter_listings",
+    f"{SCAN} SELECT server_name, CAST(tool_id AS VARCHAR) AS message_id, 0 AS tool_pos, tool_name FROM scan "
+    "WHERE tool_id % 7 <> 6 AND NOT blocked UNION ALL "
+    "SELECT server_name, CAST(tool_id AS VARCHAR), 1, NULL FROM scan WHERE tool_id % 7 <> 6",
 )
 oracle(
     "src_audit_replay",
@@ -312,32 +319,39 @@ oracle("sink_metrics_text", _metric_rows())
 
 
 
+_TO_DO = {
+    "Prompt Injection": "Reword texts that address the agent; a description says what its tool does.",
+    "Data Exfiltration": "Name the hosts that may receive data, and drop links that carry any.",
+    "Cross-Tool Manipulation": "Leave the choice of tools to the agent; strike orders to call others.",
+    "Invisible Characters": "Publish plain text without characters that nobody can see.",
+    "Obfuscated Payloads": "Write encoded passages out, or leave them away.",
+    "Description Anomalies": "Shorten the text; comments and empty blocks do not belong in it.",
+    "Dangerous Commands": "Keep commands and names of secrets out of the text.",
+    "SSRF / Internal Access": "Point to public addresses only.",
+}
+
+
 def _markdown() -> str:
     head = (
-        "list_concat(['# Tool Catalog Security Report', '', concat('**Server:** ', server_name), "
-        "concat('**Max Risk Score:** ', max_risk_score), '', '## Summary', '', '| Metric | Count |', '|--------|-------|', "
-        "concat('| Total Tools Scanned | ', total_tools, ' |'), concat('| Tools Blocked | ', tools_blocked, ' |'), "
-        "concat('| Tools Warned | ', tools_warned, ' |'), concat('| Tools Safe | ', tools_safe, ' |'), ''], "
-        "CASE WHEN tools_blocked > 0 THEN ['**ALERT:** Dangerous tools were found and blocked.', ''] ELSE [] END, "
-        "['## Tools', '', '| Tool | Risk Score | Level | Status | Detections |', "
-        "'|------|-----------|-------|--------|------------|', '', '## Findings', '', '## Recommendations', ''], "
-        "CASE WHEN tools_blocked > 0 THEN ['1. Review every blocked tool with the maintainers of its server.', "
-        "'2. Remove or clean the descriptions that were flagged.', "
-        "'3. Check the source code of the server for planted instructions.', "
-        "'4. Put the server on the block list until this is settled.'] "
-        "ELSE ['No critical issue was found. Keep monitoring.'] END)"
+        "[concat('# Tools of ', server_name), '', concat('Worst score ', max_risk_score, ' of 100. ', total_tools, ' tools: ', "
+        "tools_blocked, ' withheld, ', tools_warned, ' to look at, ', tools_safe, ' without concern.'), '', "
+        "'', '## Evidence', '', '', '## To do', '']"
     )
     tool = (
-        "list_concat([concat('| ', tool_name, ' | ', risk_score, ' | ', risk_level, ' | ', "
-        f"{_STATUS}, ' | ', CASE WHEN len(hits) > 0 THEN array_to_string(patterns, ', ') ELSE 'None' END, ' |')], "
-        "CASE WHEN len(hits) > 0 THEN list_concat([concat('### ', tool_name, ' (Score: ', risk_score, ')'), ''], "
-        "list_transform(hits, lambda h: concat('- **', h.name, '** (severity ', h.severity, '): ', h.evidence)), ['']) "
-        "ELSE [] END)"
+        f"list_concat([concat('- ', tool_name, ': ', risk_score, ' (', risk_level, ', ', lower({_STATUS}), ')', "
+        "CASE WHEN len(hits) > 0 THEN concat(', ', array_to_string(patterns, ', ')) ELSE '' END)], "
+        "CASE WHEN len(hits) > 0 THEN list_concat([tool_name], "
+        "list_transform(hits, lambda h: concat('  - ', h.name, ', ', h.severity, ': ', h.evidence))) ELSE [] END)"
+    )
+    to_do = " UNION ALL ".join(
+        f"SELECT server_name, {text(f'- {k}: {v}')} FROM scan WHERE list_contains(patterns, {text(k)}) GROUP BY server_name"
+        for k, v in _TO_DO.items()
     )
     return (
         f"{SCAN}, reports AS (SELECT server_name, {_REPORT} FROM scan GROUP BY server_name), "
         f"blocks AS (SELECT server_name, {head} AS lines FROM reports UNION ALL SELECT server_name, {tool} FROM scan), "
-        "lines AS (SELECT server_name, unnest(lines) AS line FROM blocks) "
+        f"lines AS (SELECT server_name, unnest(lines) AS line FROM blocks UNION ALL {to_do} UNION ALL "
+        "SELECT server_name, 'Nothing.' FROM scan GROUP BY server_name HAVING max(len(hits)) = 0) "
         "SELECT server_name, replace(replace(line, chr(10), '\\n'), chr(13), '\\r') AS line FROM lines"
     )
 
@@ -577,6 +591,13 @@ oracle(
     "contains(description, 'Ignore all previous') AS bad FROM catalog) SELECT cache_key, bad AS malicious, "
     "CASE WHEN bad THEN 90 ELSE 95 END AS confidence, CASE WHEN bad THEN 85 ELSE 0 END AS severity FROM keyed",
 )
+oracle(
+    "verdict_score_stored",
+    f"{_CAT}, keyed AS (SELECT sha256(concat(tool_name, ':', description)) AS cache_key, tool_id, "
+    "contains(description, 'Ignore all previous') AS bad FROM catalog) SELECT DISTINCT cache_key, bad AS malicious, "
+    "CASE WHEN bad THEN 90 ELSE 95 END AS confidence, CASE WHEN bad THEN 85 ELSE 0 END AS severity FROM keyed "
+    "WHERE cache_key NOT IN (SELECT cache_key FROM keyed WHERE tool_id % 2 = 0)",
+)
 # Reply kinds: 0 and 1 whole, 2 unparsable, 3 malicious flag only, 4 no reply.
 _VERDICTS = """verdicts AS (
   SELECT doc_id, CASE k WHEN 4 THEN NULL ELSE k <> 2 END AS parsed,
@@ -795,19 +816,18 @@ oracle(
 oracle(
     "stream_correlate",
     f"{_REQ} SELECT CASE WHEN method = 'other' THEN -1 - request_id ELSE request_id END AS request_id, "
-    "CASE WHEN method = 'other' THEN 'tools/call' ELSE method END AS method, method <> 'other' AS matched FROM requests "
-    "WHERE ts + INTERVAL 30 SECOND < (SELECT max(ts) - INTERVAL 1 HOUR FROM requests)",
+    "CASE WHEN method = 'other' THEN 'tools/call' ELSE method END AS method, method <> 'other' AS matched FROM requests",
 )
 oracle(
     "stream_method_route",
     f"{_REQ} SELECT request_id, method, CASE method WHEN 'tools/list' THEN 'catalog' WHEN 'tools/call' THEN 'response' "
     "ELSE 'pass' END AS route FROM requests",
 )
+oracle("stream_enforce_catalog", _ORACLES["enforce_catalog"])
 oracle("stream_counters", _ORACLES["agg_detections_by_pattern"])
 oracle(
     "stream_rate_window",
-    f"{_REQ} SELECT strftime(ts, '%Y-%m-%d') AS day, method, count(*) AS requests FROM requests "
-    "WHERE ts < (SELECT date_trunc('day', max(ts)) FROM requests) GROUP BY 1, 2",
+    f"{_REQ} SELECT strftime(ts, '%Y-%m-%d') AS day, method, count(*) AS requests FROM requests GROUP BY 1, 2",
 )
 oracle("stream_verdict_dedup", "SELECT DISTINCT sha256(concat('tool:', text)) AS cache_key FROM documents")
 oracle(

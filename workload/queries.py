@@ -177,7 +177,11 @@ def src_gateway_identity(spark, sf_dir):
 def _audited(spark, sf_dir) -> DataFrame:
     scanned = _scan(spark, sf_dir)
     ts = F.timestamp_seconds(F.lit(1704067200) + (F.col("tool_id") % 3) * 86400)
-    return scanned.withColumn("timestamp", ts).withColumn(
+    # Even servers were asked by a known user, the others without identity.
+    known = F.substring("server_name", 4, 9).cast("int") % 2 == 0
+    user = F.create_map(F.lit("user"), F.concat(F.lit("u-"), F.col("server_name")))
+    identity = F.when(known, user).otherwise(F.create_map().cast("map<string,string>"))
+    return scanned.withColumn("timestamp", ts).withColumn("identity", identity).withColumn(
         "scan_id", F.concat(F.col("server_name"), F.lit("-"), F.date_format("timestamp", "yyyyMMdd"))
     )
 
@@ -185,7 +189,7 @@ def _audited(spark, sf_dir) -> DataFrame:
 def _audit_log(spark, sf_dir) -> str:
     path = fresh_path(spark, "audit")
     lines = written(_audited(spark, sf_dir).drop("description"), "audited")
-    AU.log_scan(lines, path)
+    AU.log_scan(lines, path, F.col("identity"))
     return path
 
 
@@ -195,6 +199,7 @@ def sink_audit_jsonl(spark, sf_dir):
     return reports.select(
         "scan_id", "server_name", F.col("date").cast("string").alias("date"), "total_tools",
         "tools_blocked", "tools_warned", "tools_safe", "max_risk_score",
+        F.to_json("gateway_identity").alias("identity"),
     )
 
 
@@ -315,6 +320,14 @@ def filter_catalog(spark, sf_dir):
     )
 
 
+@query
+def filter_listings(spark, sf_dir):
+    """Every list-tools message filtered by itself."""
+    tools = EN.parse_listings(listing_messages(spark, sf_dir))
+    listing = ["server_name", "message_id"]
+    return S.filter_catalog(tools, S.scan_tools(tools), by=listing).select(*listing, "tool_pos", "tool_name")
+
+
 @query
 def scan_gate(spark, sf_dir):
     return S.scan_gate(_scan(spark, sf_dir, block_threshold=100))
@@ -602,6 +615,15 @@ def verdict_score(spark, sf_dir):
     return replies.select("cache_key", "malicious", "confidence", "severity")
 
 
+@query
+def verdict_score_stored(spark, sf_dir):
+    """Only texts that no even tool has are scored: the others have a stored verdict."""
+    tools = V.catalog(spark, sf_dir)
+    stored = VD.with_key(tools.where("tool_id % 2 = 0")).select("cache_key")
+    replies = VD.parse_replies(VD.score_texts(VD.distinct_texts(tools, stored), _stub()))
+    return replies.select("cache_key", "malicious", "confidence", "severity")
+
+
 @query
 def verdict_parse(spark, sf_dir):
     return VD.parse_replies(verdict_replies(spark, sf_dir)).select(
@@ -861,16 +883,14 @@ def stream_scan_responses(spark, sf_dir):
 
 @query
 def stream_correlate(spark, sf_dir):
-    """Rows that are closed: an hour before the last request."""
-    events = V.seed_requests(_stream(spark, sf_dir, "events"))
-    requests = events.select("request_id", "ts", "method")
-    answers = replies(V.seed_requests(_stream(spark, sf_dir, "events"))).drop("user_id")
-    joined = _streamed(spark, J.correlate_stream(requests, answers), "stream-correlate")
-    last = V.requests(spark, sf_dir).agg(F.max("ts").alias("_last"))
-    return (
-        joined.join(last, F.col("ts") < F.col("_last") - F.expr("INTERVAL 1 HOUR"))
-        .select("request_id", "method", "matched")
-    )
+    """Requests and answers in one stream; every answer of the table."""
+    path, checkpoint = fresh_path(spark, "correlated"), fresh_path(spark, "correlated-checkpoint")
+    columns = ["request_id", "user_id", "ts", "method"]
+    asked = V.seed_requests(_stream(spark, sf_dir, "events")).select(*columns)
+    answered = replies(V.seed_requests(_stream(spark, sf_dir, "events"))).select(*columns)
+    messages = asked.withColumn("is_answer", F.lit(False)).union(answered.withColumn("is_answer", F.lit(True)))
+    J.correlate_stream(messages, ["user_id"], path, checkpoint)
+    return J.latest_results(spark, path, ["user_id", "request_id"]).select("request_id", "method", "matched")
 
 
 @query
@@ -883,11 +903,10 @@ def stream_method_route(spark, sf_dir):
 
 @query
 def stream_session_validity(spark, sf_dir):
-    path, state = fresh_path(spark, "sessions"), fresh_path(spark, "sessions-state")
-    checkpoint = fresh_path(spark, "sessions-checkpoint")
-    events = V.seed_requests(_stream(spark, sf_dir, "events"))
-    J.session_validity(events, "user_id", path, state, checkpoint)
-    return spark.read.parquet(path).select("request_id", "valid")
+    path, checkpoint = fresh_path(spark, "sessions"), fresh_path(spark, "sessions-checkpoint")
+    events = V.seed_requests(_stream(spark, sf_dir, "events")).select("request_id", "ts", "user_id", "method")
+    J.session_validity(events, "user_id", path, checkpoint)
+    return J.latest_results(spark, path, ["user_id", "alone"]).select("request_id", "valid")
 
 
 @query
@@ -903,21 +922,31 @@ def stream_counters(spark, sf_dir):
 
 @query
 def stream_rate_window(spark, sf_dir):
-    """Closed daily windows."""
-    events = V.seed_requests(_stream(spark, sf_dir, "events"))
-    windows = _streamed(spark, J.rate_windows(events, "1 day"), "stream-rates")
-    last = V.requests(spark, sf_dir).agg(F.date_trunc("day", F.max("ts")).alias("_last"))
-    return windows.join(last, F.col("window_start") < F.col("_last")).select(
+    """Requests per day and method, the open day included."""
+    path, checkpoint = fresh_path(spark, "rates"), fresh_path(spark, "rates-checkpoint")
+    J.rate_windows(V.seed_requests(_stream(spark, sf_dir, "events")), path, checkpoint, "1 day")
+    return J.summed_rates(spark, path).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "method", "requests"
     )
 
 
 @query
 def stream_verdict_dedup(spark, sf_dir):
+    path, checkpoint = fresh_path(spark, "texts"), fresh_path(spark, "texts-checkpoint")
     offers = _stream(spark, sf_dir, "documents").select(
         F.lit("tool").alias("tool_name"), F.col("text").alias("description")
     )
-    return _streamed(spark, J.new_texts(offers).select("cache_key"), "stream-dedup")
+    J.new_texts(offers, path, checkpoint)
+    return spark.read.parquet(path).select("cache_key")
+
+
+@query
+def stream_enforce_catalog(spark, sf_dir):
+    """What every listing delivers, by policy and scan."""
+    path, checkpoint = fresh_path(spark, "enforced"), fresh_path(spark, "enforced-checkpoint")
+    tools = V.seed_catalog(_text_stream(spark, sf_dir, "documents"))
+    J.enforced_catalog(tools, policy(), ["server_name"], path, checkpoint)
+    return spark.read.parquet(path).select("tool_id", "server_name", "tool_name", "readded")
 
 
 @query
