@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from data import DEMO, tools
@@ -110,7 +111,7 @@ def test_enforcement(spark):
         {"policies": {"blocklist": [{"tool_name": "banned*"}], "allowlist": [{"tool_name": "kettle"}]}}
     )
     catalog = tools(spark, rows)
-    delivered = {r.tool_name: r.readded for r in E.enforce_catalog(catalog, rules, row_id=["tool_pos"]).collect()}
+    delivered = {r.tool_name: r.readded for r in E.enforce_catalog(catalog, rules).collect()}
     assert delivered == {"good_tool": False, "kettle": True}
     judged = E.judge_catalog(catalog, rules)
     summary = E.enforcement_summary(judged).first()
@@ -180,3 +181,29 @@ def test_kill_switch(spark):
     state = {r.request_id: r.kill_switch for r in E.switch_state(rows, controls).collect()}
     assert state == {0: False, 1: True, 2: True, 3: False}
     assert E.kill_switch_filter(rows, True).count() == 0 and E.kill_switch_filter(rows, False).count() == 4
+
+
+def test_thousands_of_rules(spark):
+    """Plain and glob rules in numbers that one condition per rule would not survive."""
+    plain = tuple((f"tool_{i}", f"server_{i}") for i in range(10_000))
+    globs = tuple((f"job_{i}_*", f"host_{i}*") for i in range(3_000))
+    rules = Policy(blocklist=plain + globs, allowlist=(*globs[:50], ("*", "free")))
+    catalog = tools(spark, [("TOOL_77", ""), ("tool_77", ""), ("job_2999_x", ""), ("job_5_", ""), ("other", "")])
+    servers = F.element_at(F.array(*[F.lit(s) for s in ("server_77", "server_78", "HOST_2999a", "host_5", "free")]), F.col("tool_pos") + 1)
+    catalog = catalog.withColumn("server_name", servers)
+    start = time.time()
+    rows = P.decide(catalog, rules).orderBy("tool_pos").collect()
+    assert [r.policy.action for r in rows] == ["block", "default", "block", "block", "allow"]
+    name, server = F.col("tool_name"), F.col("server_name")
+    matched = catalog.select("tool_pos", P.first_match(name, server, rules.blocklist).alias("m")).orderBy("tool_pos").collect()
+    assert [r.m for r in matched] == [77, None, 12_999, 10_005, None]
+    assert time.time() - start < 60
+
+
+def test_rules_match_servers_without_name(spark):
+    catalog = tools(spark, [("a", ""), ("b", "")], server=None)
+    got = catalog.select(
+        P.is_listed(F.col("tool_name"), F.col("server_name"), (("a", "*"),)).alias("x"),
+        P.is_listed(F.col("tool_name"), F.col("server_name"), (("*", "s*"), ("b*", "*"))).alias("y"),
+    ).collect()
+    assert [(r.x, r.y) for r in got] == [(True, False), (False, True)]

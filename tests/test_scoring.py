@@ -18,7 +18,7 @@ def test_demo_catalog(spark):
     assert (report.total_tools, report.tools_blocked, report.tools_warned, report.tools_safe) == (8, 7, 0, 1)
     assert report.max_risk_score == 100
     assert S.scan_gate(scanned).first().exit_code == 1
-    kept = S.filter_catalog(tools(spark, DEMO), scanned, row_id=["tool_pos"])
+    kept = S.filter_catalog(tools(spark, DEMO), scanned)
     assert [r.tool_name for r in kept.collect()] == ["format_text"]
     diff = S.exposure_diff(tools(spark, DEMO), scanned).first()
     assert (diff.direct_tools, diff.protected_tools, diff.hidden_tools) == (8, 1, 7)
@@ -62,7 +62,7 @@ def test_duplicate_and_nameless_tools(spark):
     rows = [("twin", "Clean."), ("twin", "jailbreak"), (None, "jailbreak"), (None, "Clean."), ("solo", "Clean.")]
     catalog = tools(spark, rows)
     scanned = S.scan_tools(catalog)
-    for options in ({}, {"row_id": ["tool_pos"]}, {"write_names": True}):
+    for options in ({}, {"write_names": True}):
         kept = S.filter_catalog(catalog, scanned, **options).select("tool_pos").collect()
         assert [r.tool_pos for r in kept] == [4]
     strict = S.filter_catalog(catalog, scanned, strict_names=True).select("tool_pos").collect()
@@ -73,7 +73,7 @@ def test_hot_name_is_spread(spark):
     """One name on one server holds a third of the rows."""
     rows = [("hot", "Clean.")] * 100 + [(f"t{i}", "jailbreak" if i % 2 else "Clean.") for i in range(200)]
     catalog = tools(spark, rows)
-    kept = S.filter_catalog(catalog, S.scan_tools(catalog), row_id=["tool_pos"])
+    kept = S.filter_catalog(catalog, S.scan_tools(catalog))
     assert kept.count() == 200
     used = kept.where("tool_name = 'hot'").select(F.pmod(F.xxhash64("tool_pos"), F.lit(16)).alias("s")).distinct()
     assert used.count() > 8
@@ -85,7 +85,7 @@ def test_written_names_avoid_the_shuffle(spark, monkeypatch):
     catalog = tools(spark, DEMO)
     for limit, broadcast in ((100, True), (6, False)):
         monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
-        kept = S.filter_catalog(catalog, S.scan_tools(catalog), row_id=["tool_pos"], write_names=True)
+        kept = S.filter_catalog(catalog, S.scan_tools(catalog), write_names=True)
         assert ("broadcast" in kept._jdf.queryExecution().logical().toString().lower()) == broadcast
         assert [r.tool_name for r in kept.collect()] == ["format_text"]
 
@@ -117,4 +117,4 @@ def test_scan_plan_is_narrow(spark):
         ._jdf.queryExecution().optimizedPlan().toString()
     )
     assert "Python" not in plan and "Repartition" not in plan
-    assert plan.count("ignore\\s+prior") == 1
+    assert plan.count("+prior") == 1

@@ -51,13 +51,12 @@ def enforce_catalog(
     tools: DataFrame,
     policy: Policy,
     server_thresholds: bool = True,
-    row_id: list[str] | None = None,
     write_names: bool = False,
     by: Sequence[str] = LISTING,
 ) -> DataFrame:
     """Tools that are delivered: not blocked by policy, and either their name is
     not blocked by the scan or the policy allows them (``readded``).
-    ``row_id``, ``write_names`` and ``by`` act as in ``filter_catalog``."""
+    ``write_names`` and ``by`` act as in ``filter_catalog``."""
     offered = decide(tools, policy, use_score=False).where(F.col("policy.action") != "block")
     offered = offered.withColumn("tool_name", F.coalesce("tool_name", F.lit("unknown")))
     scanned = judge_catalog(tools, policy, server_thresholds)
@@ -66,7 +65,7 @@ def enforce_catalog(
     allowed = F.col("policy.action") == "allow"
     hit = F.coalesce("_hit", F.lit(False))
     return (
-        lookup_join(offered, hits, [*by, "tool_name"], salt_on=row_id, small=small)
+        lookup_join(offered, hits, [*by, "tool_name"], small=small)
         .where(~hit | allowed)
         .withColumn("readded", hit & allowed)
         .drop("_hit")

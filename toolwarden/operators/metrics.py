@@ -132,15 +132,22 @@ def kill_switch_counters(controls: DataFrame, tie: str) -> DataFrame:
     )
 
 
-def rates_per_minute(scans: DataFrame, step: str = "5 seconds") -> DataFrame:
-    """Scans and blocked tools of the trailing minute, per scrape time."""
+def rates_per_minute(scans: DataFrame, step_seconds: int = 5) -> DataFrame:
+    """Scans and blocked tools of the trailing minute, per scrape time.
+
+    Rows are counted per step first; only the counts are handed on to the
+    scrapes of the following minute."""
+    step = step_seconds * 1_000_000
+    slot = F.floor(F.unix_micros("ts") / step)
+    counts = scans.where("ts IS NOT NULL").groupBy(slot.alias("_slot")).agg(
+        F.count("*").alias("_n"), F.coalesce(F.sum("tools_blocked"), F.lit(0)).alias("_blocked")
+    )
+    ends = F.sequence(F.col("_slot") + 1, F.col("_slot") + 60 // step_seconds)
     return (
-        scans.groupBy(F.window("ts", "1 minute", step).alias("_w"))
-        .agg(
-            F.count("*").alias("scans_per_min"),
-            F.coalesce(F.sum("tools_blocked"), F.lit(0)).alias("blocked_per_min"),
-        )
-        .select(F.col("_w.end").alias("scrape_ts"), "scans_per_min", "blocked_per_min")
+        counts.select(F.explode(ends).alias("_end"), "_n", "_blocked")
+        .groupBy("_end")
+        .agg(F.sum("_n").alias("scans_per_min"), F.sum("_blocked").alias("blocked_per_min"))
+        .select(F.timestamp_micros(F.col("_end") * step).alias("scrape_ts"), "scans_per_min", "blocked_per_min")
     )
 
 

@@ -1,49 +1,78 @@
 """Policy decisions per tool: block list, allow list, length, server trust.
 
 List rules come from a configuration document and are compiled into the
-projection: plain names become hash sets and globs one expression per server
-glob, so matching is narrow at any rule count.  Server trust is a lookup by
+projection: plain names become hash sets and globs one expression, so matching
+is narrow at any rule count.  Server trust is a lookup by
 exact server name, broadcast while its row count allows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolwarden import rules as R
-from toolwarden.functions.glob import matches_any_glob, matches_glob
 from toolwarden.functions.net import in_trusted
-from toolwarden.functions.text import any_of
+from toolwarden.functions.text import IGNORE_CASE, any_of
 from toolwarden.plans.skew import lookup_join
 from toolwarden.sources.policy_config import ListRule, Policy
 
 
-def is_listed(name: Column, server: Column, rules: tuple[ListRule, ...]) -> Column:
-    """Do tool and server match a rule of the list?"""
-    by_server: dict[str, list[str]] = defaultdict(list)
-    for tool_glob, server_glob in rules:
-        by_server[server_glob].append(tool_glob)
-    return any_of(
-        [
-            matches_glob(server, server_glob) & matches_any_glob(name, tool_globs)
-            for server_glob, tool_globs in by_server.items()
-        ]
+# Separate the parts of what a rule is matched against; no name has them.
+_BETWEEN, _AFTER, _NO_SERVER = "\x00", "\x02", "\x01"
+
+
+def _pair(name: Column, server: Column) -> Column:
+    return F.concat(name, F.lit(_BETWEEN), F.coalesce(server, F.lit(_NO_SERVER)))
+
+
+def _pair_regex(rule: ListRule) -> str:
+    parts = ("[^\\x00-\\x02]*" + ("\\x01?" if glob == "*" else "") for glob in rule)
+    return "\\x00".join(
+        any_char.join(re.escape(literal) for literal in glob.split("*")) for any_char, glob in zip(parts, rule, strict=True)
     )
 
 
+def is_listed(name: Column, server: Column, rules: tuple[ListRule, ...]) -> Column:
+    """Do tool and server match a rule of the list?
+
+    Rules without a glob are two hash sets, all others one expression, so a list
+    of any length is planned at once."""
+    pairs, names, globs = set(), set(), []
+    for tool, srv in rules:
+        if "*" not in tool and "*" not in srv:
+            pairs.add(f"{tool.lower()}{_BETWEEN}{srv.lower()}")
+        elif "*" not in tool and srv == "*":
+            names.add(tool.lower())
+        else:
+            globs.append((tool, srv))
+    tests = []
+    if pairs:
+        tests.append(F.lower(_pair(name, server)).isin(sorted(pairs)))
+    if names:
+        tests.append(F.lower(name).isin(sorted(names)))
+    if globs:
+        body = "|".join(map(_pair_regex, dict.fromkeys(globs)))
+        tests.append(F.rlike(_pair(name, server), F.lit(f"{IGNORE_CASE}\\A(?:{body})\\z")))
+    return any_of(tests)
+
+
 def first_match(name: Column, server: Column, rules: tuple[ListRule, ...]) -> Column:
-    """Position of the first matching rule of the list; NULL without one."""
+    """Position of the first matching rule of the list; NULL without one.
+
+    Alternatives of an expression are tried in order, so the rules are one
+    expression; each one that matches runs on to its number in a list of all
+    numbers.  Only listed tools are tried."""
     if not rules:
         return F.lit(None).cast("int")
-    return F.coalesce(
-        *[
-            F.when(matches_glob(name, tool) & matches_glob(server, srv), F.lit(i))
-            for i, (tool, srv) in enumerate(rules)
-        ]
-    )
+    numbers = "#".join(map(str, range(len(rules))))
+    subject = F.concat(_pair(name, server), F.lit(f"{_AFTER}#{numbers}#"))
+    body = "|".join(f"{_pair_regex(r)}\\x02.*?#{i}(?=#)" for i, r in enumerate(rules))
+    found = F.regexp_extract(subject, f"{IGNORE_CASE}\\A(?:{body})", 0)
+    number = F.regexp_extract(found, r"#(\d+)\z", 1)
+    return F.when(is_listed(name, server, rules), F.when(number != "", number.cast("int")))
 
 
 def with_server_thresholds(tools: DataFrame, policy: Policy) -> DataFrame:

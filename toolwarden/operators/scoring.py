@@ -101,7 +101,6 @@ def filter_catalog(
     tools: DataFrame,
     scanned: DataFrame,
     strict_names: bool = False,
-    row_id: list[str] | None = None,
     write_names: bool = False,
     by: Sequence[str] = LISTING,
 ) -> DataFrame:
@@ -112,9 +111,8 @@ def filter_catalog(
 
     The texts are scanned once, on the side that yields the few blocked names.
     A tool without a name is treated as ``unknown`` and removed with it; with
-    ``strict_names`` raw names are compared and such a tool stays.  ``row_id``
-    names columns that identify a tool row; copies of one name are then spread
-    over tasks.  ``write_names`` runs the scan now and writes the blocked names
+    ``strict_names`` raw names are compared and such a tool stays.
+    ``write_names`` runs the scan now and writes the blocked names
     to the shared folder; while they are few they are broadcast, and no text is
     shuffled.
     """
@@ -124,7 +122,6 @@ def filter_catalog(
         tools.withColumn("_name", name),
         names.withColumnRenamed("tool_name", "_name"),
         [*by, "_name"],
-        salt_on=row_id,
         small=small,
     ).drop("_name")
 
@@ -137,11 +134,11 @@ def scan_gate(scanned: DataFrame, flag: str = "blocked", by: str = "server_name"
 
 
 def exposure_diff(
-    tools: DataFrame, scanned: DataFrame, row_id: list[str] | None = None, by: Sequence[str] = LISTING
+    tools: DataFrame, scanned: DataFrame, by: Sequence[str] = LISTING
 ) -> DataFrame:
     """Tools per listing before and after filtering, and how many are hidden."""
     before = tools.groupBy(*by).agg(F.count("*").alias("direct_tools"))
-    after = filter_catalog(tools, scanned, row_id=row_id, by=by).groupBy(*by).agg(
+    after = filter_catalog(tools, scanned, by=by).groupBy(*by).agg(
         F.count("*").alias("protected_tools")
     )
     return before.join(after, list(by), "left").select(

@@ -62,7 +62,7 @@ def with_cached_flag(
     else:
         first = first.withColumn("_known", F.lit(False))
     return (
-        lookup_join(slim, first, ["cache_key"], salt_on=[order])
+        lookup_join(slim, first, ["cache_key"])
         .withColumn("cached", F.coalesce("_known", F.lit(False)) | (F.col(order) > F.col("_first")))
         .drop("_first", "_known")
     )
@@ -172,24 +172,24 @@ VERDICT_FIELDS = ("malicious", "confidence", "severity", "categories", "reasonin
 
 
 def join_verdicts(
-    tools: DataFrame, verdicts: DataFrame, row_id: list[str] | None = None
+    tools: DataFrame, verdicts: DataFrame
 ) -> DataFrame:
     """Add the verdict columns; NULL where there is no verdict.  Of several verdicts of
     a key the latest counts (by ``first_seen`` if there is one)."""
     latest = F.col("first_seen") if "first_seen" in verdicts.columns else F.lit(0)
     fields = F.struct(*VERDICT_FIELDS)
     one = verdicts.groupBy("cache_key").agg(F.max_by(fields, F.struct(latest, F.xxhash64(fields))).alias("_v"))
-    return lookup_join(tools, one.select("cache_key", "_v.*"), ["cache_key"], salt_on=row_id)
+    return lookup_join(tools, one.select("cache_key", "_v.*"), ["cache_key"])
 
 
 def with_semantic(
-    detected: DataFrame, verdicts: DataFrame, row_id: list[str] | None = None
+    detected: DataFrame, verdicts: DataFrame
 ) -> DataFrame:
     """Append the semantic detection to ``detections``.  The text is reduced to
     its key before the join, so it is not shuffled."""
     keyed = with_key(detected).drop("description")
     return (
-        join_verdicts(keyed, verdicts, row_id)
+        join_verdicts(keyed, verdicts)
         .withColumn("detections", F.concat("detections", F.array(semantic_detection())))
         .drop(*VERDICT_FIELDS)
     )

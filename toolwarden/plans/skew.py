@@ -1,10 +1,10 @@
-"""Joins whose hot keys are spread over tasks.
+"""Joins to tables that have one row per key.
 
-The left side may hold a third of its rows under one key; the right side has
-one row per key.  Right rows are copied once per salt and left rows take a salt
-from their place in the input, so the rows of a hot key meet their partner in
-``salts`` tasks instead of one.  A right side whose row count is known to be
-small is broadcast and the left side is not shuffled at all.
+A key may hold a third of the left rows.  A right side that is known or measured
+to be small is broadcast, and the left side is not shuffled at all.  Otherwise
+both sides are shuffled by nothing but the join's own exchanges, so adaptive
+execution splits the partition of a hot key by its measured size and copies the
+right rows of that partition only; no side is copied ahead of need.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-
 #: Rows up to which a side of known size may be broadcast (short rows only).
 BROADCAST_ROWS = 100_000
 #: Bytes of text up to which a written table may be broadcast.
@@ -27,45 +25,23 @@ def fits_broadcast(table: DataFrame, columns: list[str]) -> bool:
     return row["n"] <= BROADCAST_ROWS and (row["size"] or 0) <= BROADCAST_BYTES
 
 
-def _salted(left: DataFrame, right: DataFrame, salt_on: list[str], salts: int):
-    salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
-    return (
-        left.withColumn("_salt", salt),
-        right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
-    )
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     how: str = "left",
-    salt_on: list[str] | None = None,
     right_rows: int | None = None,
     small: bool = False,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join to a table that has one row per key.
 
     ``right_rows`` is the known row count of the right side, if there is one;
-    ``small`` says that :func:`fits_broadcast` measured it.
-    ``salt_on`` names the columns that identify a left row; without them the
-    join is left to adaptive skew handling.
-    """
+    ``small`` says that :func:`fits_broadcast` measured it."""
     if small or (right_rows is not None and right_rows <= BROADCAST_ROWS):
-        return left.join(F.broadcast(right), keys, how)
-    if not salt_on:
-        return left.join(right, keys, how)
-    salted_left, salted_right = _salted(left, right, salt_on, salts)
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+        right = F.broadcast(right)
+    return left.join(right, keys, how)
 
 
-def anti_join_keys(
-    left: DataFrame,
-    keys_frame: DataFrame,
-    keys: list[str],
-    salt_on: list[str] | None = None,
-    small: bool = False,
-) -> DataFrame:
+def anti_join_keys(left: DataFrame, keys_frame: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
     """Left rows whose key is not listed."""
-    return lookup_join(left, keys_frame, keys, "left_anti", salt_on, small=small)
+    return lookup_join(left, keys_frame, keys, "left_anti", small=small)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HELP = {
@@ -26,6 +26,17 @@ HELP = {
 }
 
 
+#: Times are written with six digits, whole ones too.
+SECONDS = ("scan_duration_seconds_avg", "scan_duration_seconds_max")
+
+
+def _escaped(label: Column) -> Column:
+    """A label value as the text format wants it: it cannot end its line or its quotes."""
+    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        label = F.replace(label, F.lit(raw), F.lit(shown))
+    return label
+
+
 def metric_lines(metrics: DataFrame, prefix: str = "toolwarden_") -> DataFrame:
     """Lines in order: per metric HELP, TYPE, then the samples by label.
 
@@ -33,13 +44,14 @@ def metric_lines(metrics: DataFrame, prefix: str = "toolwarden_") -> DataFrame:
     Columns: ``name``, ``part`` (0 help, 1 type, 2 sample), ``sample``, ``line``.
     """
     value = F.col("value")
-    whole = value == F.floor(value)
+    seconds = F.col("name").isin(*SECONDS)
+    whole = (value == F.floor(value)) & ~seconds
     number = F.when(whole, value.cast("bigint").cast("string")).otherwise(
         F.format_string("%.6f", value)
     )
     pairs = F.transform(
         F.array_sort(F.map_entries("labels")),
-        lambda e: F.concat(e.key, F.lit('="'), F.replace(e.value, F.lit('"'), F.lit('\\"')), F.lit('"')),
+        lambda e: F.concat(e.key, F.lit('="'), _escaped(e.value), F.lit('"')),
     )
     labels = F.when(
         F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))

@@ -285,40 +285,6 @@ oracle(
 _BOUNDS = "(VALUES ('25', 25), ('50', 50), ('75', 75), ('100', 100), ('+Inf', 1000)) b(le, bound)"
 
 
-def _metric_rows() -> str:
-    from toolwarden.sources.metrics_text import HELP
-
-    names = (
-        "scans_total", "tools_scanned_total", "tools_blocked_total", "tools_warned_total", "tools_safe_total", "detections_total",
-        "risk_score_bucket",
-    )
-    counts = (
-        "metric_counts AS ("
-        "SELECT 'scans_total' AS name, '' AS label, count(DISTINCT server_name) AS n FROM scan UNION ALL "
-        "SELECT 'tools_scanned_total', '', count(*) FROM scan UNION ALL "
-        "SELECT 'tools_blocked_total', '', count(*) FROM scan WHERE blocked UNION ALL "
-        "SELECT 'tools_warned_total', '', count(*) FROM scan WHERE NOT blocked AND risk_score >= 26 UNION ALL "
-        "SELECT 'tools_safe_total', '', count(*) FROM scan WHERE risk_score < 26 UNION ALL "
-        "SELECT 'detections_total', concat('{pattern=\"', p, '\"}'), count(*) "
-        "FROM (SELECT unnest(patterns) AS p FROM scan) GROUP BY p UNION ALL "
-        "SELECT 'risk_score_bucket', concat('{le=\"', b.le, '\"}'), "
-        f"(SELECT count(*) FROM scan WHERE risk_score <= b.bound) FROM {_BOUNDS})"
-    )
-    head = " UNION ALL ".join(
-        f"SELECT '{n}' AS name, {part} AS part, '# {word} toolwarden_{n} {value}' AS line"
-        for n in names
-        for part, word, value in ((0, "HELP", HELP[n][1]), (1, "TYPE", HELP[n][0]))
-    )
-    return (
-        f"{SCAN}, {counts} {head} UNION ALL "
-        "SELECT name, 2, concat('toolwarden_', name, label, ' ', n) FROM metric_counts"
-    )
-
-
-oracle("sink_metrics_text", _metric_rows())
-
-
-
 _TO_DO = {
     "Prompt Injection": "Reword texts that address the agent; a description says what its tool does.",
     "Data Exfiltration": "Name the hosts that may receive data, and drop links that carry any.",
@@ -756,6 +722,43 @@ def _metrics_table() -> str:
 oracle("metrics_table", _metrics_table())
 
 
+def _metric_text() -> str:
+    help_ = {
+        "scans_total": "counter|Catalog scans", "tools_scanned_total": "counter|Tools scanned",
+        "tools_blocked_total": "counter|Tools blocked", "tools_warned_total": "counter|Tools with a warning",
+        "tools_safe_total": "counter|Safe tools", "detections_total": "counter|Detections by detector",
+        "response_findings_total": "counter|Response findings by type",
+        "risk_score_bucket": "gauge|Risk scores up to a bound",
+        "scan_duration_seconds_avg": "gauge|Average of the latest scan durations",
+        "scan_duration_seconds_max": "gauge|Maximum of the latest scan durations",
+        "scan_duration_seconds_count": "gauge|Number of the latest scan durations",
+        "kill_switch_enabled": "gauge|Whether the kill switch is on",
+        "kill_switch_activations_total": "counter|Writes that switched the kill switch on",
+        "policy_overrides_total": "counter|Policy decisions to block or allow",
+        "semantic_scans_total": "counter|Semantic scans", "semantic_detections_total": "counter|Malicious verdicts",
+        "semantic_cache_hits_total": "counter|Verdicts served from the store",
+    }
+    keys = {"detections_total": "pattern", "response_findings_total": "type", "risk_score_bucket": "le"}
+    key = "CASE name " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, k in keys.items()) + " END"
+    texts = " UNION ALL ".join(
+        f"SELECT '{n}' AS name, {part} AS part, '# {word} toolwarden_{n} {value}' AS line"
+        for n, both in help_.items()
+        for part, word, value in ((0, "HELP", both.split("|")[1]), (1, "TYPE", both.split("|")[0]))
+    )
+    number = (
+        "CASE WHEN name IN ('scan_duration_seconds_avg', 'scan_duration_seconds_max') THEN printf('%.6f', value) "
+        "ELSE CAST(CAST(value AS BIGINT) AS VARCHAR) END"
+    )
+    return (
+        f"WITH all_metrics AS ({_metrics_table()}) SELECT * FROM ({texts}) WHERE name IN (SELECT name FROM all_metrics) UNION ALL "
+        f"SELECT name, 2, concat('toolwarden_', name, CASE WHEN {key} IS NULL THEN '' "
+        f"ELSE concat('{{', {key}, '=\"', label, '\"}}') END, ' ', {number}) FROM all_metrics"
+    )
+
+
+oracle("sink_metrics_text", _metric_text())
+
+
 def _counts_json(rows: str) -> str:
     return (
         "(SELECT concat('{', string_agg(concat('\"', k, '\":', n), ',' ORDER BY k), '}') FROM "

@@ -214,7 +214,7 @@ def src_audit_replay(spark, sf_dir):
 
 @query
 def sink_metrics_text(spark, sf_dir):
-    return MT.metric_lines(M.scan_metrics(_scan(spark, sf_dir))).select("name", "part", "line")
+    return MT.metric_lines(_metrics(spark, sf_dir)).select("name", "part", "line")
 
 
 @query
@@ -314,7 +314,7 @@ def scan_report(spark, sf_dir):
 @query
 def filter_catalog(spark, sf_dir):
     tools = V.catalog(spark, sf_dir)
-    kept = S.filter_catalog(tools, S.scan_tools(tools), row_id=["tool_id"], write_names=True)
+    kept = S.filter_catalog(tools, S.scan_tools(tools), write_names=True)
     return kept.select(
         "tool_id", "server_name", "tool_name"
     )
@@ -336,7 +336,7 @@ def scan_gate(spark, sf_dir):
 @query
 def exposure_diff(spark, sf_dir):
     tools = V.catalog(spark, sf_dir)
-    return S.exposure_diff(tools, S.scan_tools(tools), row_id=["tool_id"])
+    return S.exposure_diff(tools, S.scan_tools(tools))
 
 
 @query
@@ -430,7 +430,7 @@ def policy_first_match(spark, sf_dir):
 @query
 def enforce_catalog(spark, sf_dir):
     delivered = E.enforce_catalog(
-        V.catalog(spark, sf_dir), policy(), row_id=["tool_id"], write_names=True
+        V.catalog(spark, sf_dir), policy(), write_names=True
     )
     return delivered.select(
         "tool_id", "server_name", "tool_name", "readded"
@@ -649,7 +649,7 @@ def verdict_retention(spark, sf_dir):
 @query
 def det_semantic(spark, sf_dir):
     tools = VD.with_key(V.catalog(spark, sf_dir)).select("tool_id", "cache_key")
-    joined = VD.join_verdicts(tools, _verdicts(spark, sf_dir), ["tool_id"])
+    joined = VD.join_verdicts(tools, _verdicts(spark, sf_dir))
     return joined.withColumn("_d", VD.semantic_detection()).select(
         "tool_id", "_d.severity", "_d.matched", "_d.evidence"
     )
@@ -658,14 +658,14 @@ def det_semantic(spark, sf_dir):
 @query
 def combined_verdict(spark, sf_dir):
     scanned = VD.with_key(_scan(spark, sf_dir)).select("tool_id", "cache_key", "risk_score", "blocked")
-    joined = VD.join_verdicts(scanned, _verdicts(spark, sf_dir), ["tool_id"])
+    joined = VD.join_verdicts(scanned, _verdicts(spark, sf_dir))
     return VD.combined_verdict(joined).select("tool_id", "combined_malicious", "combined_reason")
 
 
 @query
 def scan_with_semantic(spark, sf_dir):
     detected = D.with_detections(V.catalog(spark, sf_dir))
-    scored = S.score_detections(VD.with_semantic(detected, _verdicts(spark, sf_dir), ["tool_id"]))
+    scored = S.score_detections(VD.with_semantic(detected, _verdicts(spark, sf_dir)))
     return scored.select("tool_id", "risk_score", "blocked")
 
 
@@ -758,9 +758,8 @@ def agg_semantic_counters(spark, sf_dir):
     return VD.semantic_counters(_served(spark, sf_dir))
 
 
-@query
-def metrics_table(spark, sf_dir):
-    table = M.metrics_table(
+def _metrics(spark, sf_dir) -> DataFrame:
+    return M.metrics_table(
         _scan(spark, sf_dir),
         _responses(spark, sf_dir),
         _controls(spark, sf_dir),
@@ -769,7 +768,11 @@ def metrics_table(spark, sf_dir):
         _served(spark, sf_dir),
         _durations(spark, sf_dir),
     )
-    return table.select(
+
+
+@query
+def metrics_table(spark, sf_dir):
+    return _metrics(spark, sf_dir).select(
         "name",
         F.coalesce(F.array_join(F.map_values("labels"), ","), F.lit("")).alias("label"),
         F.round("value", 6).alias("value"),
