@@ -35,18 +35,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_results(row: str, names: list[str], results: dict[str, Column]) -> list[Column]:
-    """Columns of a packed row, each replaced by the result of the same name if there is one,
-    then the other results."""
+def carried(names: list[str]) -> list[Column]:
+    """The columns of a table under names that no step of an operator uses."""
+    return [F.col(f"`{n}`").alias(f"_in{i}") for i, n in enumerate(names)]
+
+
+def with_results(names: list[str], results: dict[str, Column]) -> list[Column]:
+    """The carried columns under their own names, each replaced by the result of the same name
+    if there is one, then the other results."""
     lower = {r.lower(): r for r in results}
     kept = [
-        results[lower[n.lower()]].alias(n) if n.lower() in lower else F.col(f"{row}.`{n}`").alias(n)
-        for n in names
+        results[lower[n.lower()]].alias(n) if n.lower() in lower else F.col(f"_in{i}").alias(n)
+        for i, n in enumerate(names)
     ]
     present = {n.lower() for n in names}
     return kept + [c.alias(n) for n, c in results.items() if n.lower() not in present]
 
 
+def new_text(names: list[str], text: Column) -> dict[str, Column]:
+    """A changed text, and its length if the table has one."""
+    changed = {"text": text}
+    if "n_chars" in names:
+        changed["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast("bigint")
+    return changed
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later expressions refer to but never evaluate again.
 

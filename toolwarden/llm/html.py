@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, with_results
+from .common import appended, carried, with_results
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -302,7 +302,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         texts = [main_text(h) for h in batch.column("page").to_pylist()]
         return [texts, [len(t) for t in texts]]
 
-    held = pages.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(f"`{html}`").alias("page"))
+    held = pages.select(*carried(names), F.col(f"`{html}`").alias("page"))
     fields = T.StructType().add("found", T.StringType()).add("chars", T.LongType())
     done = appended(held, fields, compute)
-    return done.select(*with_results("row", names, {"text": F.col("found"), "n_chars": F.col("chars")}))
+    return done.select(*with_results(names, {"text": F.col("found"), "n_chars": F.col("chars")}))

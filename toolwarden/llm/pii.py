@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, free_name, with_results
+from .common import appended, carried, new_text, with_results
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("email", "card", "phone", "ssn", "iban")
@@ -369,9 +369,7 @@ FOUND = T.StructType([
 ])
 
 
-def find(docs: DataFrame, text: str = "text", redact: bool = True) -> DataFrame:
-    """``docs`` with base counts, the digest of the base spans, all spans, and the redacted text."""
-    names = docs.columns
+def _found(docs: DataFrame, text: str, redact: bool) -> tuple[DataFrame, list[str]]:
     fields = FOUND.fields if redact else FOUND.fields[:-1]
 
     def compute(batch: pa.RecordBatch) -> list:
@@ -385,21 +383,18 @@ def find(docs: DataFrame, text: str = "text", redact: bool = True) -> DataFrame:
             columns.append([redacted(t, b + a) for t, b, a in zip(texts, base, added, strict=True)])
         return columns
 
-    held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(f"`{text}`").alias("body"))
-    done = appended(held, T.StructType(fields), compute)
-    return done.select(*with_results("row", names, {f.name: F.col(f.name) for f in fields}))
+    held = docs.select(*carried(docs.columns), F.col(f"`{text}`").alias("body"))
+    return appended(held, T.StructType(fields), compute), [f.name for f in fields]
+
+
+def find(docs: DataFrame, text: str = "text", redact: bool = True) -> DataFrame:
+    """``docs`` with base counts, the digest of the base spans, all spans, and the redacted text."""
+    done, results = _found(docs, text, redact)
+    return done.select(*with_results(docs.columns, {n: F.col(n) for n in results}))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: texts without personal data; a NULL text stays NULL."""
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), "text")
-    clean = find(held).select("doc", F.when(F.col("text").isNotNull(), F.col("redacted_text")).alias("clean"))
-    return clean.select(
-        *with_results(
-            "doc",
-            names,
-            {"text": F.col("clean")}
-            | ({"n_chars": F.coalesce(F.length("clean"), F.lit(0)).cast("bigint")} if "n_chars" in names else {}),
-        )
-    )
+    done, _ = _found(docs, "text", True)
+    clean = F.when(F.col("body").isNotNull(), F.col("redacted_text"))
+    return done.select(*with_results(docs.columns, new_text(docs.columns, clean)))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, once, with_results, words
+from .common import SPACE_RUN, SPACES, carried, new_text, once, with_results, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -78,14 +78,8 @@ def line_fails(x: Column) -> Column:
     )
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with its counts, ``clean_text`` (the lines that passed),
-    ``n_lost_words``, ``base_failed`` and ``kept``."""
-    names = docs.columns
-    rows = docs.select(
-        F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
-        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"),
-    )
+def _judged(docs: DataFrame, text: str) -> DataFrame:
+    rows = docs.select(*carried(docs.columns), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     rows = once(rows, words=words(F.col("body")), lines=F.split("body", "\n", -1))
     rows = once(
         rows,
@@ -150,24 +144,21 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT
     )
     loses = F.col("n_lost_words") * 100 > F.col("n_words") * MAX_LOST_PERCENT
-    counts = (
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "clean_text"
-    )
-    results = {c: F.col(c) for c in counts}
-    results |= {"base_failed": base_failed, "kept": ~(base_failed | loses)}
-    return rows.select(*with_results("row", names, results))
+    return rows.withColumns({"base_failed": base_failed, "kept": ~(base_failed | loses)})
+
+
+RESULTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "clean_text", "base_failed", "kept",
+)
+
+
+def judge(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Every row of ``docs`` with its counts, ``clean_text`` (the lines that passed),
+    ``n_lost_words``, ``base_failed`` and ``kept``."""
+    return _judged(docs, text).select(*with_results(docs.columns, {c: F.col(c) for c in RESULTS}))
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: accepted documents with the lines that passed."""
     names = docs.columns
-    judged = judge(docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), "text"))
-    taken = judged.where("kept").select("doc", "clean_text")
-    return taken.select(
-        *with_results(
-            "doc",
-            names,
-            {"text": F.col("clean_text")}
-            | ({"n_chars": F.length("clean_text").cast("bigint")} if "n_chars" in names else {}),
-        )
-    )
+    return _judged(docs, "text").where("kept").select(*with_results(names, new_text(names, F.col("clean_text"))))

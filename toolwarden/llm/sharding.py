@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import once, stored, with_results
+from .common import carried, once, stored, with_results
 
 BITS = 4
 SIDE = 1 << BITS
@@ -116,7 +116,7 @@ def place(docs: DataFrame, shards: int = SHARDS, with_text: bool = False) -> Dat
 
     text = F.coalesce(F.col("`text`"), F.lit(""))
     rows = docs.select(
-        F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
+        *carried(names),
         F.col("doc_id").cast("long").alias("id"),
         given("lang").alias("lang"),
         given("source").alias("source"),
@@ -166,4 +166,4 @@ def place(docs: DataFrame, shards: int = SHARDS, with_text: bool = False) -> Dat
         "size": F.col("size"), "text_crc32": F.col("crc"), "law": F.lit(LAW),
         "shard": shard.cast("int"), "slot": slot.cast("long"), "grown_shard": F.lit(None).cast("int"),
     }
-    return ranked.select(*with_results("row", names, results))
+    return ranked.select(*with_results(names, results))

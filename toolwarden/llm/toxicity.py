@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, free_name, stored, with_results
+from .common import appended, carried, stored, with_results
 
 FOLDS = 5
 #: Bound of the labelled sample.
@@ -242,24 +242,22 @@ class Scorer:
     calibration: Model | None = None
     constant: float = 0.0
 
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
-        names = docs.columns
-        if self.trees is None:
-            value = F.lit(self.constant)
-        else:
-            held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(f"`{text}`").alias("body"))
+    def scored(self, docs: DataFrame, text: str) -> DataFrame:
+        """The carried columns with ``score`` and ``predicted``."""
+        held = docs.select(*carried(docs.columns), F.col(f"`{text}`").alias("body"))
+        value = F.lit(self.constant)
+        if self.trees is not None:
             found = with_features(held, self.lexicon, "body", "seen").drop("body")
             raw = self.trees.transform(found.withColumn("features", array_to_vector("seen")))
-            raw = raw.select("row", vector_to_array("margins")[1].alias("margin"))
-            docs = self.calibration.transform(raw)
+            raw = raw.drop("seen", "features").withColumn("margin", vector_to_array("margins")[1])
+            held = self.calibration.transform(raw.drop("margins", "chances", "guess"))
             value = F.least(F.greatest(F.coalesce("calibrated", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-        results = {"score": value, "predicted": (value >= 0.5).cast("int")}
-        if self.trees is None:
-            held = free_name("row", names)
-            docs = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias(held))
-            return docs.select(*with_results(held, names, results))
-        return docs.select(*with_results("row", names, results))
+        return held.withColumn("score", value).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
+        results = {"score": F.col("score"), "predicted": F.col("predicted")}
+        return self.scored(docs, text).select(*with_results(docs.columns, results))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -286,6 +284,5 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pipeline's stage: documents that are not predicted toxic, unchanged."""
-    held = docs.select(F.struct("*").alias("doc"), "text")
-    scored = train(docs, labels).score(held)
-    return scored.where("predicted = 0").select("doc.*")
+    scored = train(docs, labels).scored(docs, "text")
+    return scored.where("predicted = 0").select(*with_results(docs.columns, {}))
