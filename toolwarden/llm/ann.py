@@ -31,6 +31,8 @@ from .common import stored
 
 SHARD = 8192
 QUERIES = 32_768
+#: Shard numbers of one vector length.
+SPREAD = 4_000_000_000
 DEGREE = 32
 BEAM_BUILD, BEAM_SEARCH = 64, 96
 ALPHA = 1.2
@@ -182,9 +184,9 @@ def index(distinct: DataFrame) -> DataFrame:
     """Graphs over all distinct vectors: one row per vector, nodes numbered within the shard."""
     sizes = distinct.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
     shards = sizes.select("d", F.ceil(F.col("n") / SHARD).alias("shards"))
-    dealt = distinct.withColumn("d", F.size("vector")).join(F.broadcast(shards), "d")  # a row per dimension
+    dealt = distinct.withColumn("d", F.size("vector")).join(shards, "d")  # a row per dimension
     dealt = dealt.withColumn(
-        "shard", F.col("d").cast("long") * 4_000_000_000 + F.pmod(F.xxhash64("vector"), F.col("shards"))
+        "shard", F.col("d").cast("long") * SPREAD + F.pmod(F.xxhash64("vector"), F.col("shards"))
     )
 
     def build(table: pa.Table) -> pa.Table:
@@ -215,13 +217,15 @@ HITS = T.StructType([
 
 def search(graphs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for ``queries`` (``query_id, vector``)."""
-    targets = graphs.select(F.col("shard").alias("target")).distinct().withColumn("d", F.floor(F.col("target") / 4_000_000_000))
+    dimension = F.floor(F.col("shard") / SPREAD)
+    shards = graphs.groupBy(dimension.alias("d")).agg((F.max("shard") % SPREAD).alias("last"))  # a row per dimension
     blocks = max(1, -(-queries.count() // QUERIES))
     asked = queries.withColumn("d", F.size("vector").cast("long")).withColumn(
         "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     )
     # The stated query set, in blocks, against every shard.
-    left = asked.join(F.broadcast(targets), "d").select("target", F.col("block").alias("part"), "query_id", "vector")
+    every_shard = F.explode(F.sequence(F.col("d") * SPREAD, F.col("d") * SPREAD + F.col("last"))).alias("target")
+    left = asked.join(shards, "d").select(every_shard, F.col("block").alias("part"), "query_id", "vector")
     right = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(asked_rows: pa.Table, held: pa.Table) -> pa.Table:
