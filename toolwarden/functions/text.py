@@ -71,7 +71,7 @@ def range_class(ranges: list[tuple[int, int]]) -> str:
     """A class of many ranges that the JVM tests quickly for ordinary text: characters in the long
     stretches between the ranges are ruled out first."""
     gaps = [(a[1] + 1, b[0] - 1) for a, b in zip(ranges, ranges[1:])]
-    long = [(0, ranges[0][0] - 1), *(g for g in gaps if g[1] - g[0] >= 64)]
+    long = [g for g in ((0, ranges[0][0] - 1), *gaps) if g[1] - g[0] >= 64]
     long.sort(key=lambda g: g[0] - g[1] if g[0] > 0x3000 else -sys.maxunicode + g[0])
     return f"[\\x{{0}}-\\x{{10FFFF}}&&[^{_class_body(long)}]&&[{_class_body(ranges)}]]"
 
@@ -150,6 +150,14 @@ class Anchored:
         nothing = "CAST(array() AS ARRAY<STRING>)"
         return f"CASE WHEN {self._may_match(rule)} THEN {found} ELSE {nothing} END"
 
+    def any_rule(self, rules: Iterable[Rule]) -> Column:
+        """Does a rule of a family match?  Stops at the first one."""
+        tests = []
+        for rule in rules:
+            found = f"rlike({self._text}, {sql_text(spark_regex(rule))})"
+            tests.append(f"({self._may_match(rule)} AND {found})" if rule.anchors else found)
+        return F.expr(f"coalesce({' OR '.join(tests)}, false)")
+
     def find_all(self, rule: Rule) -> Column:
         """All matches of one rule, left to right."""
         return F.expr(self._find_all(rule))

@@ -145,7 +145,7 @@ def _readable_samples() -> Column:
     return F.when(F.size("_runs") > 0, samples).otherwise(X.empty_strings())
 
 
-def _obfuscation_sql() -> str:
+def _obfuscation_sql(evidence: bool = True) -> str:
     found = (
         "concat_ws('; ', _samples, "
         "CASE WHEN _hex > 0 THEN concat('hex runs: ', CAST(_hex AS STRING)) END, "
@@ -155,21 +155,21 @@ def _obfuscation_sql() -> str:
     matched = (
         f"(size(_samples) > 0 OR _hex > 0 OR _escapes > {R.MIN_ESCAPES} OR _entities > {R.MIN_ESCAPES})"
     )
-    return _detection_sql("Obfuscated Payloads", matched, found)
+    return _detection_sql("Obfuscated Payloads", matched, found if evidence else "''")
 
 
-def _anomalies_sql() -> str:
+def _anomalies_sql(evidence: bool = True) -> str:
     size, ratio = "_size", "_ratio"
     long, tall = f"{size} > {R.MAX_DESCRIPTION_CHARS}", f"{ratio} > {R.MAX_NAME_RATIO}"
-    return _detection_sql(
-        "Description Anomalies",
-        f"({long} OR _comments > 0 OR _newlines > 0 OR coalesce({tall}, false))",
+    found = (
         "concat_ws('; ', "
         f"CASE WHEN {long} THEN concat('length ', CAST({size} AS STRING)) END, "
         "CASE WHEN _comments > 0 THEN concat('html comments: ', CAST(_comments AS STRING)) END, "
         "CASE WHEN _newlines > 0 THEN concat('newline blocks: ', CAST(_newlines AS STRING)) END, "
-        f"CASE WHEN {tall} THEN concat('length/name ratio ', CAST(CAST(bround({ratio}) AS BIGINT) AS STRING)) END)",
+        f"CASE WHEN {tall} THEN concat('length/name ratio ', CAST(CAST(bround({ratio}) AS BIGINT) AS STRING)) END)"
     )
+    matched = f"({long} OR _comments > 0 OR _newlines > 0 OR coalesce({tall}, false))"
+    return _detection_sql("Description Anomalies", matched, found if evidence else "''")
 
 
 #: Text rules by detector; their anchors are tested once per text.
@@ -219,6 +219,34 @@ _REGISTRY: dict[str, str] = {
     "SSRF / Internal Access": _matches_sql("SSRF / Internal Access", "_internal"),
 }
 
+#: Without evidence a text rule is only tested, not searched for all its matches.
+_LEAN_STEPS: dict[str, dict[str, Callable[[X.Anchored], Column]]] = _STEPS | {
+    "Prompt Injection": {"_injection": lambda f: f.any_rule(R.PROMPT_INJECTION)},
+    "Data Exfiltration": {
+        "_phrases": lambda f: f.any_rule((*R.DATA_EXFILTRATION, R.IMAGE_LINK)),
+        "_urls": lambda f: f.any_rule((R.EXTERNAL_URL,)),
+    },
+    "Cross-Tool Manipulation": {"_cross": lambda f: f.any_rule(R.CROSS_TOOL)},
+    "Dangerous Commands": {"_commands": lambda f: f.any_rule(R.DANGEROUS_COMMANDS)},
+    "SSRF / Internal Access": {"_internal": lambda f: f.any_rule(R.INTERNAL_ACCESS)},
+}
+_NONE = "''"
+_LEAN_REGISTRY: dict[str, str] = {
+    "Prompt Injection": _detection_sql("Prompt Injection", "_injection", _NONE),
+    "Data Exfiltration": _detection_sql(
+        "Data Exfiltration",
+        "(_phrases OR _urls)",
+        _NONE,
+        f"CASE WHEN NOT _phrases AND _urls THEN {R.URL_ONLY_SEVERITY} ELSE {R.DETECTOR_SEVERITY['Data Exfiltration']} END",
+    ),
+    "Cross-Tool Manipulation": _detection_sql("Cross-Tool Manipulation", "_cross", _NONE),
+    "Invisible Characters": _detection_sql("Invisible Characters", "_hidden", _NONE),
+    "Obfuscated Payloads": _obfuscation_sql(evidence=False),
+    "Description Anomalies": _anomalies_sql(evidence=False),
+    "Dangerous Commands": _detection_sql("Dangerous Commands", "_commands", _NONE),
+    "SSRF / Internal Access": _detection_sql("SSRF / Internal Access", "_internal", _NONE),
+}
+
 DETECTOR_NAMES = tuple(_REGISTRY)
 
 
@@ -249,15 +277,18 @@ def with_detections(
     enabled: Iterable[str] | None = None,
     extra: dict[str, Detector] | None = None,
     column: str = "detections",
+    evidence: bool = True,
 ) -> DataFrame:
-    """Add ``detections``: one struct per enabled detector, matched or not."""
+    """Add ``detections``: one struct per enabled detector, matched or not.  Where nobody
+    reads the evidence, ``evidence=False`` leaves it empty and saves most of the search."""
     names = list(DETECTOR_NAMES) if enabled is None else enabled_detectors(enabled)
     name, text, low = F.col("tool_name"), F.col("description"), F.col("_low")
     find = X.Anchored("description", "_low", [r for n in names for r in _RULES.get(n, ())])
     flags = find.flags()
-    steps = {step: build(find) for n in names for step, build in _STEPS.get(n, {}).items()}
+    all_steps, registry = (_STEPS, _REGISTRY) if evidence else (_LEAN_STEPS, _LEAN_REGISTRY)
+    steps = {step: build(find) for n in names for step, build in all_steps.get(n, {}).items()}
     later = {"_samples": _readable_samples()} if "Obfuscated Payloads" in names else {}
-    dets = [F.expr(_REGISTRY[n]) for n in names]
+    dets = [F.expr(registry[n]) for n in names]
     dets += [build(name, text, low) for build in (extra or {}).values()]
     prepared = (
         normalise_tools(tools)

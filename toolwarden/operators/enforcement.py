@@ -20,6 +20,7 @@ def judge_catalog(
     policy: Policy,
     server_thresholds: bool = True,
     enabled: list[str] | None = None,
+    evidence: bool = True,
 ) -> DataFrame:
     """Policy decision first, then the scan of everything policy did not block.
 
@@ -36,7 +37,7 @@ def judge_catalog(
     )
     threshold = F.col("block_threshold") if server_thresholds else R.BLOCK_THRESHOLD
     names = None if enabled is None else enabled_detectors(enabled, policy.required_patterns)
-    scanned = scan_tools(to_scan, names, threshold)
+    scanned = scan_tools(to_scan, names, threshold, evidence=evidence)
     not_scanned = F.col("policy_blocked")
     return (
         scanned.withColumn("description", F.col("_text"))
@@ -59,7 +60,7 @@ def enforce_catalog(
     ``write_names`` and ``by`` act as in ``filter_catalog``."""
     offered = decide(tools, policy, use_score=False).where(F.col("policy.action") != "block")
     offered = offered.withColumn("tool_name", F.coalesce("tool_name", F.lit("unknown")))
-    scanned = judge_catalog(tools, policy, server_thresholds)
+    scanned = judge_catalog(tools, policy, server_thresholds, evidence=False)
     names, small = prepared_names(blocked_names(scanned, by), write_names)
     hits = names.withColumn("_hit", F.lit(True))
     allowed = F.col("policy.action") == "allow"

@@ -155,7 +155,7 @@ def session_validity(
 
 def pattern_counters(tools: DataFrame) -> DataFrame:
     """Running detections per detector."""
-    return M.detections_by_pattern(scan_tools(tools))
+    return M.detections_by_pattern(scan_tools(tools, evidence=False))
 
 
 def run_counters(counters: DataFrame, path: str, checkpoint: str) -> None:

@@ -66,8 +66,8 @@ def policy() -> Policy:
     return policy_from_dict(POLICY_DOCUMENT)
 
 
-def _scan(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return S.scan_tools(V.catalog(spark, sf_dir), **options)
+def _scan(spark: SparkSession, sf_dir: str, evidence: bool = False, **options) -> DataFrame:
+    return S.scan_tools(V.catalog(spark, sf_dir), evidence=evidence, **options)
 
 
 def _responses(spark: SparkSession, sf_dir: str, **switches) -> DataFrame:
@@ -175,7 +175,7 @@ def src_gateway_identity(spark, sf_dir):
 
 
 def _audited(spark, sf_dir) -> DataFrame:
-    scanned = _scan(spark, sf_dir)
+    scanned = _scan(spark, sf_dir, evidence=True)
     ts = F.timestamp_seconds(F.lit(1704067200) + (F.col("tool_id") % 3) * 86400)
     # Even servers were asked by a known user, the others without identity.
     known = F.substring("server_name", 4, 9).cast("int") % 2 == 0
@@ -220,7 +220,7 @@ def sink_metrics_text(spark, sf_dir):
 @query
 def sink_markdown_report(spark, sf_dir):
     path = fresh_path(spark, "markdown")
-    scanned = written(_scan(spark, sf_dir).drop("description"), "scanned")
+    scanned = written(_scan(spark, sf_dir, evidence=True).drop("description"), "scanned")
     RP.write_markdown(RP.markdown_lines(scanned, "tool_id"), path)
     return spark.read.text(path).select("server_name", F.col("value").alias("line"))
 
@@ -275,7 +275,7 @@ def required_detectors(spark, sf_dir):
 @query
 def evidence_samples(spark, sf_dir):
     """Evidence of the matched detections, cut for printing."""
-    return _scan(spark, sf_dir).select(
+    return _scan(spark, sf_dir, evidence=True).select(
         "tool_id", F.inline("detections")
     ).select("tool_id", "pattern_name", F.left("evidence", F.lit(80)).alias("evidence"))
 
@@ -314,7 +314,7 @@ def scan_report(spark, sf_dir):
 @query
 def filter_catalog(spark, sf_dir):
     tools = V.catalog(spark, sf_dir)
-    kept = S.filter_catalog(tools, S.scan_tools(tools), write_names=True)
+    kept = S.filter_catalog(tools, S.scan_tools(tools, evidence=False), write_names=True)
     return kept.select(
         "tool_id", "server_name", "tool_name"
     )
@@ -325,7 +325,7 @@ def filter_listings(spark, sf_dir):
     """Every list-tools message filtered by itself."""
     tools = EN.parse_listings(listing_messages(spark, sf_dir))
     listing = ["server_name", "message_id"]
-    return S.filter_catalog(tools, S.scan_tools(tools), by=listing).select(*listing, "tool_pos", "tool_name")
+    return S.filter_catalog(tools, S.scan_tools(tools, evidence=False), by=listing).select(*listing, "tool_pos", "tool_name")
 
 
 @query
@@ -336,7 +336,7 @@ def scan_gate(spark, sf_dir):
 @query
 def exposure_diff(spark, sf_dir):
     tools = V.catalog(spark, sf_dir)
-    return S.exposure_diff(tools, S.scan_tools(tools))
+    return S.exposure_diff(tools, S.scan_tools(tools, evidence=False))
 
 
 @query
@@ -439,12 +439,12 @@ def enforce_catalog(spark, sf_dir):
 
 @query
 def enforcement_summary(spark, sf_dir):
-    return E.enforcement_summary(E.judge_catalog(V.catalog(spark, sf_dir), policy()))
+    return E.enforcement_summary(E.judge_catalog(V.catalog(spark, sf_dir), policy(), evidence=False))
 
 
 @query
 def enforcement_blocked(spark, sf_dir):
-    return E.blocked_tools(E.judge_catalog(V.catalog(spark, sf_dir), policy()))
+    return E.blocked_tools(E.judge_catalog(V.catalog(spark, sf_dir), policy(), evidence=False))
 
 
 def _listings(spark, sf_dir) -> DataFrame:
@@ -664,7 +664,7 @@ def combined_verdict(spark, sf_dir):
 
 @query
 def scan_with_semantic(spark, sf_dir):
-    detected = D.with_detections(V.catalog(spark, sf_dir))
+    detected = D.with_detections(V.catalog(spark, sf_dir), evidence=False)
     scored = S.score_detections(VD.with_semantic(detected, _verdicts(spark, sf_dir)))
     return scored.select("tool_id", "risk_score", "blocked")
 
@@ -690,7 +690,7 @@ def agg_response_totals(spark, sf_dir):
 @query
 def agg_scan_totals(spark, sf_dir):
     """Totals with policy: what policy blocked counts as scanned and blocked."""
-    judged = E.judge_catalog(V.catalog(spark, sf_dir), policy(), server_thresholds=False)
+    judged = E.judge_catalog(V.catalog(spark, sf_dir), policy(), server_thresholds=False, evidence=False)
     scanned = ~F.col("policy_blocked")
     score, blocked = F.col("risk_score"), F.col("blocked")
     reports = judged.groupBy("server_name").agg(
@@ -873,7 +873,7 @@ def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:
 @query
 def stream_scan_catalog(spark, sf_dir):
     tools = V.seed_catalog(_text_stream(spark, sf_dir, "documents"))
-    scanned = J.scan_catalog(tools).select("tool_id", "risk_score", "risk_level", "blocked")
+    scanned = J.scan_catalog(tools, evidence=False).select("tool_id", "risk_score", "risk_level", "blocked")
     return _streamed(spark, scanned, "stream-scan")
 
 
