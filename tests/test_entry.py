@@ -25,7 +25,16 @@ def con():
 
 
 @pytest.mark.parametrize(
-    "name", ["scan_report", "scan_responses", "enforce_catalog", "session_validity", "stream_method_route", "verdict_dedup"]
+    "name",
+    [
+        "scan_report", "scan_responses", "enforce_catalog", "session_validity", "stream_method_route", "verdict_dedup",
+        "src_tool_catalog", "src_tool_responses", "src_policy_config", "src_gateway_identity", "sink_audit_jsonl",
+        "sink_metrics_text", "det_cross_tool", "det_invisible_chars", "det_obfuscated", "evidence_samples", "filter_listings",
+        "exposure_diff", "policy_decide", "policy_first_match", "kill_switch_filter", "trusted_source", "find_pii",
+        "find_json_dump", "redact_responses", "verdict_parse", "verdict_score_stored", "det_semantic", "combined_verdict",
+        "metrics_table", "rate_scans_per_min", "correlate_replies", "stream_correlate", "stream_session_validity",
+        "stream_rate_window", "stream_verdict_dedup", "stream_enforce_catalog",
+    ],
 )
 def test_query(spark, con, name):
     assert check.compare(spark, con, FOLDER, name).startswith("ok")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from toolwarden import rules as R
 from workload import queries as Q
 from workload import views as V
@@ -29,6 +31,49 @@ def quoted(matches: str) -> str:
     )
 
 
+class Literal(NamedTuple):
+    """A rule of the check SQL, written out here so that a wrong value in the engine shows."""
+
+    pattern: str
+    ignore_case: bool = True
+    group: int = 0
+
+
+class LiteralFinding(NamedTuple):
+    finding_type: str
+    severity: int
+    rule: Literal
+
+
+# The rules of one detector and of one response family.
+CROSS_TOOL = tuple(
+    Literal(p)
+    for p in (
+        r"(before|after)\s+(using|calling|running|executing)\s+(this|any|another)\s+tool",
+        r"(first|always)\s+(call|use|run|execute|invoke)",
+        r"must\s+(call|use|run|execute|invoke)\s+\w+\s+(tool|function|method)",
+        r"chain\s+with",
+        r"pipe\s+(output|result)\s+to",
+        r"redirect\s+(output|result)\s+to",
+        r"depends\s+on\s+calling",
+        r"requires\s+(calling|executing|running)",
+        r"trigger\s+the\s+\w+\s+(tool|function|endpoint)",
+        r"also\s+(call|invoke|trigger|run)",
+    )
+)
+PERSONAL_DATA = tuple(
+    LiteralFinding(kind, severity, Literal(pattern, False))
+    for kind, severity, pattern in (
+        ("email", 60, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
+        ("phone_us", 50, r"\b(?:\+1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b"),
+        ("phone_intl", 50, r"\b\+[0-9]{1,3}[-.\s]?[0-9]{6,14}\b"),
+        ("ssn", 90, r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+        ("credit_card", 90, r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b"),
+        ("ip_address", 40, r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"),
+        ("iban", 70, r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}(?:[A-Z0-9]{0,18})?\b"),
+    )
+)
+
 _HIDDEN = text(r"[\p{Cf}\p{Co}]")
 _B64 = text(R.BASE64_RUN)
 
@@ -56,7 +101,7 @@ matches AS (
     list_concat({family(R.DATA_EXFILTRATION)}, list_transform(
       list_slice({extract_all('d', R.IMAGE_LINK)}, 1, 1), lambda m: concat('image_link:', left(m, 60)))) AS phrases,
     {extract_all('d', R.EXTERNAL_URL)} AS urls,
-    {family(R.CROSS_TOOL)} AS cross_tool,
+    {family(CROSS_TOOL)} AS cross_tool,
     CASE WHEN regexp_matches(description, {_HIDDEN}) THEN
       list_filter(range(0, length(description)), lambda i: regexp_matches(substr(description, i + 1, 1), {_HIDDEN}))
       ELSE [] END AS hidden,
@@ -477,7 +522,7 @@ def _found(category: str, rule: R.FindingRule) -> str:
 def responses(secrets=True, pii=True, data_leak=True) -> str:
     wanted = [
         *([("secret", f) for f in R.SECRETS] if secrets else []),
-        *([("pii", f) for f in R.PERSONAL_DATA] if pii else []),
+        *([("pii", f) for f in PERSONAL_DATA] if pii else []),
         *([("data_leak", f) for f in R.DATA_LEAKS] if data_leak else []),
     ]
     lists = [_found(c, f) for c, f in wanted]
