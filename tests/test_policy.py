@@ -87,7 +87,7 @@ def test_config_defaults(spark, tmp_path):
     yaml = pytest.importorskip("yaml")
     other = tmp_path / "policy.yaml"
     other.write_text(yaml.dump(document))
-    assert load_policy(str(other)) == rules
+    assert load_policy(str(other)) == load_policy(str(other), spark) == rules
     assert [tuple(r) for r in rules.rules_frame(spark).collect()] == [("block", 0, "a", "*")]
     assert policy_from_dict(None) == Policy()
 

@@ -81,9 +81,13 @@ def policy_from_dict(config: dict | None) -> Policy:
     )
 
 
-def load_policy(path: str) -> Policy:
-    """Read a YAML document, or a JSON one."""
-    text = Path(path).read_text(encoding="utf-8")
+def load_policy(path: str, spark: SparkSession | None = None) -> Policy:
+    """Read a YAML document, or a JSON one: from any store that the session reads, or without a
+    session from the driver's disk."""
+    if spark is not None:
+        text = spark.read.text(path, wholetext=True).first()[0]
+    else:
+        text = Path(path).read_text(encoding="utf-8")
     if path.endswith(".json"):
         return policy_from_dict(json.loads(text))
     try:

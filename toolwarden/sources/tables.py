@@ -10,14 +10,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
     """Read a Parquet table whose rows are expensive to process.
 
-    A table of a few large row groups is read by a few tasks, however many
-    cores wait.  Only then are its rows spread; a table with at least one split
-    per core, as any large one has, is read as it is and never shuffled.
-    """
+    ``spread`` deals the rows over at least two tasks per core.  It costs one
+    shuffle of the texts, little beside scanning them (some 1 MB a second and
+    core), and evens out files of a few large row groups and very long texts;
+    leave it off where the files are many and even."""
     rows = read_table(spark, path)
-    cores = spark.sparkContext.defaultParallelism
-    splits = rows.rdd.getNumPartitions()
-    return rows.repartition(2 * cores) if splits < cores else rows
+    if not spread:
+        return rows
+    return rows.repartition(max(rows.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism))

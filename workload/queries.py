@@ -858,10 +858,8 @@ def _stream(spark, sf_dir, name) -> DataFrame:
 
 
 def _text_stream(spark, sf_dir, name) -> DataFrame:
-    """A stream of texts, spread like its table if that has too few splits."""
-    stream, cores = _stream(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    few = V.table(spark, sf_dir, name).rdd.getNumPartitions() < cores
-    return stream.repartition(2 * cores) if few else stream
+    """A stream of texts, spread like its table."""
+    return _stream(spark, sf_dir, name).repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:

@@ -131,11 +131,11 @@ def seed_requests(events: DataFrame) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seed_catalog(read_texts(spark, f"{sf_dir}/documents.parquet"))
+    return seed_catalog(read_texts(spark, f"{sf_dir}/documents.parquet", spread=True))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seed_responses(read_texts(spark, f"{sf_dir}/conversations.parquet"))
+    return seed_responses(read_texts(spark, f"{sf_dir}/conversations.parquet", spread=True))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
