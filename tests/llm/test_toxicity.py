@@ -68,7 +68,7 @@ def test_edge_rows(spark):
 def test_features():
     lexicon = {"grukkor": 3.0, "zwel~": 2.0}
     describe = X.Describer(lexicon).describe
-    found = dict(zip(X.FEATURES, describe("you GRUKKOR zwelfix g.r.u.k.k.o.r gr0kk plain!! words")))
+    found = dict(zip(X.FEATURES, describe(["you GRUKKOR zwelfix g.r.u.k.k.o.r gr0kk plain!! words"])[0]))
     assert found["hit_density"] == 3 / 7 and found["hidden_hits"] == 1 / 7 and found["near_second_person"] > 0
     assert found["capital_words"] == 1 / 7 and found["exclamations"] > 0 and found["max_weight"] == 3.0
-    assert describe(None) == describe("  ") == [0.0] * len(X.FEATURES)
+    assert describe([None, "  "]) == [[0.0] * len(X.FEATURES)] * 2

@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,8 @@ TREES, DEPTH, STEP, BINS = 24, 3, 0.25, 32
 #: Words to either side of a second-person word that count as near it.
 NEAR = 3
 LOCAL = 50
-CACHE = 400_000
+#: Words remembered by a task, and code points described at a time.
+CACHE, AT_ONCE = 300_000, 1 << 20
 
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen euch ihr tu te toi ton ta tes vous votre vos "
@@ -92,7 +94,6 @@ class Describer:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.codes: dict[str, int] = {}
-        self.rows: list[tuple[float, ...]] = []
         self.table = np.zeros((0, self.COLUMNS))
 
     def weight(self, word: str) -> float:
@@ -115,39 +116,48 @@ class Describer:
             float(odd), float(hidden > 0), float(len(word)), float(letters > 0),
         )
 
-    def code(self, words: list[str]) -> np.ndarray:
-        codes, rows = self.codes, self.rows
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            c = codes.get(w)
-            if c is None:
-                c = codes[w] = len(rows)
-                rows.append(self.look(w))
-            out[i] = c
+    def codes_of(self, words: list[str]) -> np.ndarray:
+        """Rows of the table, new words looked at first."""
+        found = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        if (unknown := np.flatnonzero(found < 0)).size:
+            new = list({words[i] for i in unknown.tolist()})
+            self.codes.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, np.array([self.look(w) for w in new])])
+            found[unknown] = [self.codes[words[i]] for i in unknown.tolist()]
+        return found
+
+    def describe(self, texts: list[str | None]) -> list[list[float]]:
+        """The features of each text."""
+        out, first = [], 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size < AT_ONCE):
+                size += len(texts[last] or "")
+                last += 1
+            if len(self.codes) > CACHE:
+                self.codes, self.table = {}, np.zeros((0, self.COLUMNS))
+            split = [(t or "").split() for t in texts[first:last]]
+            codes = self.codes_of(list(chain.from_iterable(split)))
+            cuts = np.cumsum([len(s) for s in split])[:-1]
+            out += [self.features(t, c) for t, c in zip(texts[first:last], np.split(codes, cuts), strict=True)]
+            first = last
         return out
 
-    def describe(self, text: str | None) -> list[float]:
-        words = (text or "").split()
-        if not words:
+    def features(self, text: str | None, codes: np.ndarray) -> list[float]:
+        n = len(codes)
+        if not n:
             return [0.0] * len(FEATURES)
-        if len(self.rows) > CACHE:
-            self.codes, self.rows, self.table = {}, [], np.zeros((0, self.COLUMNS))
-        codes = self.code(words)
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :])])
         seen = self.table[codes]
-        n = len(words)
         weight, hit, you = seen[:, 0], seen[:, 1], seen[:, 2]
         hits = hit.sum()
-        near = 0.0
-        if hits and you.any():
-            summed = np.concatenate([[0.0], np.cumsum(you)])
-            at = np.flatnonzero(hit)
-            near = float((summed[np.minimum(at + NEAR + 1, n)] > summed[np.maximum(at - NEAR, 0)]).sum())
-        local = 0.0
+        near = local = 0.0
         if hits:
-            summed = np.concatenate([[0.0], np.cumsum(hit)])
-            local = float((summed[np.minimum(np.arange(n) + LOCAL, n)] - summed[:n]).max())
+            at = np.flatnonzero(hit)
+            if you.any():
+                summed = np.concatenate([[0.0], np.cumsum(you)])
+                near = float((summed[np.minimum(at + NEAR + 1, n)] > summed[np.maximum(at - NEAR, 0)]).sum())
+            # The most hits of any stretch of LOCAL words begin with a hit.
+            local = float((np.searchsorted(at, at + LOCAL) - np.arange(len(at))).max())
         chars = len(text)
         mean = seen.mean(axis=0)
         bangs, asks = text.count("!"), text.count("?")
@@ -167,8 +177,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], text: str, name: s
     def compute(batch: pa.RecordBatch) -> list:
         if "it" not in state:
             state["it"] = Describer(lexicon)
-        rows = [state["it"].describe(t) for t in batch.column(text).to_pylist()]
-        return [rows]
+        return [state["it"].describe(batch.column(text).to_pylist())]
 
     return appended(docs, T.StructType().add(name, T.ArrayType(T.DoubleType())), compute)
 
