@@ -76,14 +76,6 @@ def unpacked_words(raw: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def _ragged(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The runs ``which`` of ``flat`` (runs end at ``ends``), one after the other."""
-    starts = np.concatenate([[0], ends[:-1]])[which]
-    sizes = ends[which] - starts
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    return flat[np.arange(len(shift)) + shift]
-
-
 class Block:
     """Numbers the words of a block of documents.
 
@@ -128,7 +120,7 @@ class Block:
 
     def rows(self, block: int, targets: int) -> Iterator[dict]:
         flat, ends = np.array(self.flat, np.int64), np.array(self.ends, np.int64)
-        parts = [_ragged(flat, ends, d) for d in self.docs]
+        parts = [tokens.ragged(flat, ends, d) for d in self.docs]
         everything = np.concatenate(parts)
         # Frequent words get small numbers, which compress well; those of a target are contiguous.
         names = np.array(list(self.words), object)
@@ -221,7 +213,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         ends = np.cumsum([len(a) for a in arrays]) if arrays else np.zeros(0, np.int64)
         flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
         cuts = np.cumsum(counts)[:-1]
-        ids = [_ragged(flat, ends, n).astype(np.int32) if len(n) else n.astype(np.int32) for n in np.split(numbers, cuts)]
+        ids = [tokens.ragged(flat, ends, n).astype(np.int32) if len(n) else n.astype(np.int32) for n in np.split(numbers, cuts)]
         return pa.table([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return _both(docs, path).groupBy("block").applyInArrow(lambda t: _assembled(t, what), schema)

@@ -145,7 +145,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     and how many of these came before it in its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = tokens.WordEncoder(path), TaskContext.get().partitionId()
+        encoder, part = tokens.word_encoder(path), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         before = 0
         for batch in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -47,51 +48,101 @@ def word_bpe(path: str):
     return tokenizer
 
 
+def ragged(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of ``flat`` (run i ends at ``ends[i]``), one after the other."""
+    starts = np.concatenate([[0], ends[:-1]])[which]
+    sizes = ends[which] - starts
+    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    return flat[np.arange(len(shift)) + shift]
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, each new word encoded once.
 
     The tokenizer splits at white space and between letters and other signs, and
     its lower-casing works sign by sign, so the ids of a text are those of its
     words in turn, and those of a word of letters with closing marks are those
-    of the letters and of the marks.  At most ``remembered`` words are kept."""
+    of the letters and of the marks.  Words of letters are encoded many at a
+    time: the last id of a word is one that ends words.  About ``remembered``
+    words are kept."""
 
     CLOSING = ".,;:!?%&$*#|)\""
+    TOGETHER = 1000
 
     def __init__(self, path: str, remembered: int = 300_000):
         self.tokenizer = word_bpe(path)
         self.remembered = remembered
-        self.words: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.parts: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {"": 0}
+        #: Parts of each word, letters and closing marks, by number; part 0 is empty.
+        self.halves = np.zeros((1, 2), np.int64)
+        self.parts: dict[str, int] = {"": 0}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        plain = [p for p in parts if p.isalpha()]
+        other = [p for p in parts if not p.isalpha()]
+        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
+        flat, sizes, names = [], [], []
+        encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, encoded, strict=True):
+            ids = np.array(found.ids, np.int64)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) != len(group):
+                other += group
+                continue
+            flat.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+            names += group
+        for found in self.tokenizer.encode_batch(other, add_special_tokens=False) if other else ():
+            flat.append(np.array(found.ids, np.int64))
+            sizes.append(np.array([len(found.ids)], np.int64))
+        names += other
+        self.parts.update(zip(names, range(len(self.ends), len(self.ends) + len(names)), strict=True))
+        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate([self.flat, *flat]).astype(np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        split = []
+        closing, cores, tails = self.CLOSING, [], []
         for w in words:
-            core = w.rstrip(self.CLOSING)
-            split.append((core, w[len(core) :]) if core.isalpha() and "Σ" not in core else (w, ""))
-        split = [(c.lower() if c.isalpha() and "Σ" not in c else c, tail) for c, tail in split]
-        new = list({p for pair in split for p in pair if p and p not in self.parts})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for p, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(found.ids, np.uint32)
-        nothing = np.zeros(0, np.uint32)
-        for w, (core, tail) in zip(words, split, strict=True):
-            ids = self.parts[core] if core else nothing
-            if tail:
-                ids = np.concatenate([ids, self.parts[tail]])
-            self.words[w] = len(self.ids)
-            self.ids.append(ids)
+            core = w.rstrip(closing)
+            if core.isalpha() and "Σ" not in core:
+                cores.append(core.lower())
+                tails.append(w[len(core) :])
+            else:
+                cores.append(w)
+                tails.append("")
+        new = [p for p in {*cores, *tails} if p not in self.parts]
+        if new:
+            self._encode_parts(new)
+        halves = np.empty((len(words), 2), np.int64)
+        halves[:, 0] = np.fromiter(map(self.parts.__getitem__, cores), np.int64, len(words))
+        halves[:, 1] = np.fromiter(map(self.parts.__getitem__, tails), np.int64, len(words))
+        self.words.update(zip(words, range(len(self.halves), len(self.halves) + len(words)), strict=True))
+        self.halves = np.concatenate([self.halves, halves])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.ids) > self.remembered:
-            self.words, self.ids, self.parts = {}, [], {}
-        split = [
-            [w for w in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w] for t in texts
-        ]
-        new = list({w for words in split for w in words if w not in self.words})
-        if new:
-            self._learn(new)
-        known, ids = self.words, self.ids
-        nothing = [np.zeros(0, np.uint32)]
-        return [np.concatenate([ids[known[w]] for w in words] or nothing) for words in split]
+        if len(self.words) > self.remembered:
+            self._forget()
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = list(chain.from_iterable(split))
+        known = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        if (unknown := np.flatnonzero(known < 0)).size:
+            self._learn(list({words[i] for i in unknown.tolist()}))
+            known[unknown] = [self.words[words[i]] for i in unknown.tolist()]
+        parts = self.halves[known].ravel()
+        sizes = (self.ends[parts] - np.concatenate([[0], self.ends[:-1]])[parts]).reshape(-1, 2).sum(axis=1)
+        reached = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = reached[np.cumsum([len(s) for s in split])[:-1]]
+        return np.split(ragged(self.flat, self.ends, parts), cuts)
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this process; what it has learned serves the tasks that follow."""
+    return WordEncoder(path)
