@@ -52,6 +52,17 @@ def test_small_pages(page, want):
     assert H.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "code",
+    ["for(i=0;i<n;i++){f()}", "if(a<b&&c)d()", "s='<!--'", "x='<![CDATA['", "x<y", "a='<b title=\"'", "x='<p>x</p></b>'", "i<n</script ><script>j<m"],
+)
+def test_text_after_raw_elements_stays(code):
+    want = f"{LEAD}\n\n{REST}\n\n{MORE}"
+    assert H.main_text(f"<article><p>{LEAD}</p><script>{code}</script><p>{REST}</p><p>{MORE}</p></article>") == want
+    assert H.main_text(f"<article><p>{LEAD}</p><SCRIPT>{code}</Script\n><p>{REST}</p><style>a<b</style><p>{MORE}</p></article>") == want
+    assert H.main_text(f"<script>{code}</script>text") == "text"
+
+
 def test_bad_markup_takes_linear_time():
     assert H.main_text("<a '" * 50_000) is not None
     assert H.main_text("<div>" * 50_000 + LEAD) == LEAD

@@ -39,6 +39,8 @@ _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math object".split())
+#: The end tag of a raw element; one that is cut off reaches to the end of the page.
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 NEVER = RAW | frozenset("head nav footer aside form button select option label fieldset dialog menu canvas audio video map figcaption".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main "
@@ -106,15 +108,7 @@ def tree(html: str, by_names: bool = True) -> Element:
     leaves elements out by their class, id or role, too."""
     root = Element("#root", None)
     at, done = root, 0
-    raw: str | None = None
-    depth = 0
-    for m in _MARKUP.finditer(html):
-        if raw:
-            if not (m[1] and m[2] and m[2].lower() == raw):
-                continue
-            raw = None
-            done = m.end()
-            continue
+    while m := _MARKUP.search(html, done):
         if m.start() > done:
             at.children.append(html[done : m.start()])
         done = m.end()
@@ -159,14 +153,12 @@ def tree(html: str, by_names: bool = True) -> Element:
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, m.end())
-            if end is None:
-                done = len(html)
-                break
-            raw = name
+            # What is inside is no markup: the page goes on behind the end tag.
+            end = _ENDS[name].search(html, done)
+            done = end.end() if end else len(html)
             continue
         at = element
-    if raw is None and done < len(html):
+    if done < len(html):
         at.children.append(html[done:])
     return root
 
