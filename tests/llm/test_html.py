@@ -52,6 +52,41 @@ def test_small_pages(page, want):
     assert H.main_text(page) == want
 
 
+LONG = "".join(f"<p>{LEAD} {REST}</p>" for _ in range(30))
+LONG_WANT = [f"{LEAD} {REST}"] * 30
+
+
+@pytest.mark.parametrize("open_", ["article", "main", "div", "div class=content", "main><div", "main><div><div"])
+@pytest.mark.parametrize("name", ["section", "div", "figure", "details", "h5", "h6", "blockquote"])
+def test_uneven_sections_stay(open_, name):
+    page = f"<body><nav><a href=x>Home</a></nav><{open_}><section>{LONG}</section><{name}>{LEAD}</{name}><{name}>Yes.</{name}></div></main></body>"
+    assert H.main_text(page).split("\n\n") == [*LONG_WANT, LEAD, "Yes."]
+
+
+def test_parts_of_a_main_stay():
+    page = f"<body><nav><a href=x>Home</a></nav><main><div><article>{LONG}</article><hr><article><p>{MORE}</p></article></div><div>Yes.</div></main>"
+    assert H.main_text(page).split("\n\n") == [*LONG_WANT, MORE, "Yes."]
+    page = f"<nav><a href=x>Home</a></nav><div id=content><div><section>{LONG}</section></div><div class=ad>buy</div><div>{MORE}</div></div>{REST}<footer>f</footer>"
+    assert H.main_text(page).split("\n\n") == [*LONG_WANT, MORE]
+    page = f"<nav><a href=x>Home</a></nav><section>{LONG}</section><section>{LEAD}</section><h5>{MORE}</h5><div>Slogan</div>"
+    assert H.main_text(page).split("\n\n") == [*LONG_WANT, LEAD, MORE]
+
+
+@pytest.mark.parametrize("open_", ["article", "main", "div", "body", ""])
+def test_loose_text_and_definitions_stay(open_):
+    page = f"{f'<{open_}>' if open_ else ''}Before<section>{LONG}</section><dl><dt>a</dt><dd>b</dd></dl>between<div>Short</div>after"
+    assert H.main_text(page).split("\n\n") == ["Before", *LONG_WANT, "a", "b", "between", "Short", "after"]
+
+
+def test_parts_left_out_stay_out_beside_uneven_sections():
+    links = "".join(f"<li><a href={i}>{MORE}</a></li>" for i in range(9))
+    page = f"<body><div>Slogan of the site</div><main><div><section>{LONG}</section><section><p>{MORE}</p></section><ul>{links}</ul></div>"
+    page += f"<div class=sidebar>{MORE}</div></main><div><ul>{links}</ul></div><div>All rights reserved</div></body>"
+    assert H.main_text(page).split("\n\n") == [*LONG_WANT, MORE]
+    page = page.replace("<main>", "<div>").replace("</main>", "</div>")
+    assert H.main_text(page).split("\n\n") == [*LONG_WANT, MORE]
+
+
 @pytest.mark.parametrize(
     "code",
     ["for(i=0;i<n;i++){f()}", "if(a<b&&c)d()", "s='<!--'", "x='<![CDATA['", "x<y", "a='<b title=\"'", "x='<p>x</p></b>'", "i<n</script ><script>j<m"],

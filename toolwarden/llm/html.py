@@ -5,8 +5,11 @@ Elements that are never article text (scripts, navigation, forms ...), or whose
 class, id or role names such a part, are left out.  Every paragraph passes
 points for its length and its commas to its ancestors, halved for the
 grandparent and less for those above; an element's points are discounted by the
-share of its text inside links.  The element with the most points is the
-article, together with those of its siblings that hold text and few links.
+share of its text inside links.  The article is the element with the most points
+with what stands beside it, whatever its size, up to the enclosing article, main or
+element named like one, without parts that are mostly links.  Further up, beside
+parts that are left out, only sections, paragraphs and the like and what has points
+belong to it.
 
 Blocks (paragraphs, headings, list items, table cells ...) follow each other in
 page order, separated by an empty line; inside a block white space is one space.
@@ -72,6 +75,11 @@ CERTAIN = frozenset(
 #: Words that mark the article; with one of them only a certain word leaves an element out.
 LIKELY = frozenset("article articlebody body content contents entry hentry main maincontent page post story text prose".split())
 BONUS = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 5.0, "td": 3.0, "blockquote": 3.0}
+#: Elements that go with an article even where parts beside them do not.
+TEXTS = frozenset("section p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure details".split())
+#: Elements without text of their own, which tell nothing about their neighbours.
+UNSEEN = VOID | frozenset("head script style noscript template".split())
+MOST_LINKS = 0.25
 MIN_PARAGRAPH = 25
 MAX_POINTS_FOR_LENGTH = 3
 
@@ -269,21 +277,52 @@ def _article(root: Element) -> str:
     if not scored:
         return "\n\n".join(_blocks(root.children))
     best = max(scored, key=lambda x: x.points * (1 - _links(x)))
-    top = best.points * (1 - _links(best))
-    # A page may split its article into sections of one parent.
-    taken: list = [best]
-    if best.parent is not None and best.name not in ("article", "main", "body"):
-        need = max(10.0, top * 0.2)
-        taken = []
-        for x in best.parent.children:
-            if x is best:
-                taken.append(x)
-            elif isinstance(x, Element) and not x.out and _links(x) < 0.25:
-                by_points = x.points * (1 - _links(x)) >= need
-                paragraph = x.name in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "ul", "ol", "table") and x.size > 0
-                if by_points or paragraph:
-                    taken.append(x)
-    return "\n\n".join(_blocks(taken))
+    return "\n\n".join(_blocks(_whole(best)))
+
+
+def _content(x: Element | str) -> bool:
+    """Neither left out nor mostly links."""
+    return isinstance(x, str) or not x.out and _links(x) < MOST_LINKS
+
+
+def _whole(best: Element) -> list:
+    """The nodes of the article around the element with the most points, in page order.
+
+    One long section may outweigh its parent, so the article is looked for above: an enclosing
+    article is taken whole, and up to an enclosing main, or an element that is named like an
+    article, siblings stay whatever their size, as do those of ``best`` itself.  Further up, and
+    in the body, they do if nothing beside them is to be left out; else they need points, or to be
+    sections, paragraphs or the like."""
+    line = [x for x in _above(best) if x.name not in ("body", "html", "#root")]
+    named = [[x for x in line if x.name == n] for n in ("main", "article")]
+    likely = [x for x in line if x.likely]
+    holder = next((found[-1] for found in (*named, likely) if found), None)
+    articles = named[1]
+    x = articles[-1] if articles else best
+    taken: list = [x]
+    inside = holder is not None
+    while x.parent is not None and x.name not in ("body", "html", "#root"):
+        if x is holder:
+            if x.name in ("main", "article"):
+                break
+            inside = False
+        low = x.parent.name in ("body", "html", "#root")
+        every = not low and (inside or x is best and x is not holder) or not any(map(_rejected, x.parent.children))
+        taken = [c for s in x.parent.children for c in (taken if s is x else [s] if _goes(s, best, every) else [])]
+        x = x.parent
+    return taken
+
+
+def _rejected(x: Element | str) -> bool:
+    return not _content(x) and x.name not in UNSEEN
+
+
+def _goes(x: Element | str, best: Element, every: bool) -> bool:
+    """Does a neighbour belong to the article?"""
+    if every or not _content(x) or isinstance(x, str):
+        return every and _content(x)
+    need = max(10.0, best.points * (1 - _links(best)) * 0.2)
+    return x.name in TEXTS or x.points * (1 - _links(x)) >= need
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
