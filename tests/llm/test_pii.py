@@ -58,6 +58,32 @@ def test_field_on_unseen_sentences():
     assert found == [[("phone", "(212) 555-0187")], [("ssn", "219-09-9999")], [("iban", "DE44 5001 0517 5407 3249 31")], [], []]
 
 
+def found(text):
+    base = pii.base_spans(text)
+    return [(k, text[a:b]) for k, a, b in pii.added_spans([text], [base], pii.trained())[0]]
+
+
+@pytest.mark.parametrize("between", ["", "please ", "please do ", "please do now ", "please do now and "])
+@pytest.mark.parametrize("number", ["12:", "in 1987", "page 4,"])
+def test_a_number_before_a_spelled_out_address(number, between):
+    text = f"Room {number} {between}write jane at corp dot com now"
+    assert found(text) == [("email", "jane at corp dot com")]
+    assert pii.redacted(text, pii.added_spans([text], [[]], pii.trained())[0]).endswith("write [EMAIL] now")
+
+
+@given(st.lists(st.sampled_from(["7", "a", "dot"]), max_size=40))
+def test_stretches_hold_all_neighbours(words):
+    """Every token near a hint is in exactly one stretch, the others in none."""
+    hints = [i for i, w in enumerate(words) if w != "a"]
+    near = [i for i in range(len(words)) if any(abs(i - h) <= pii.CONTEXT for h in hints)]
+    starts = [sum(len(w) + 1 for w in words[:i]) for i in near]
+    stretches = pii._stretches(" ".join(words))
+    assert [a for s in stretches for a, _ in s] == starts
+    where = {a: n for n, s in enumerate(stretches) for a, _ in s}
+    for i, start in zip(near, starts):
+        assert i - 1 not in near or where[start] == where[starts[near.index(i - 1)]]
+
+
 def test_held_out_accuracy_of_the_field():
     """Trained without every fifth sentence, the field labels most tokens of these as they are."""
     held = pii.SENTENCES[::5]

@@ -119,7 +119,8 @@ _TOKEN = re.compile(r"[^\s]+")
 _DIGIT, _RUN = re.compile(r"\d"), re.compile(r"(a{4}|A{5})[aA]*")
 _HINT = re.compile(r"[0-9]")
 _HINT_OR_DOT = re.compile(r"[0-9]|(?<!\S)[\[(]?(?:dot|DOT)[\])]?(?!\S)")
-CONTEXT = 3
+#: Three tokens ("name at host" before a dot), and two more that the features of these look at.
+CONTEXT = 3 + 2
 #: Tokens (padding included) that go through Viterbi at once.
 AT_ONCE = 1 << 16
 _TRAIL = ".,;:!?\"'”»"
@@ -283,7 +284,7 @@ def trained(sentences: tuple[str, ...] = SENTENCES, rounds: int = 60, rate: floa
 
 
 def _stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around the tokens that may be personal data, neighbours included."""
+    """Token spans around the tokens that may be personal data, ``CONTEXT`` neighbours on both sides included."""
     find = (_HINT_OR_DOT if "dot" in text or "DOT" in text else _HINT).search
     out: list[list[tuple[int, int]]] = []
     done = 0
@@ -297,6 +298,7 @@ def _stretches(text: str) -> list[list[tuple[int, int]]]:
             start = token
             while start > done and text[start - 1].isspace():
                 start -= 1
+        # Hints that share neighbours, or whose neighbours touch, are in one stretch.
         tokens, after = [], 0
         for m in _TOKEN.finditer(text, token):
             tokens.append(m.span())
@@ -304,8 +306,9 @@ def _stretches(text: str) -> list[list[tuple[int, int]]]:
                 continue
             again = m.start() <= hint.start() or find(text, *m.span())
             after = 0 if again else after + 1
-            if after == CONTEXT:
+            if after == 2 * CONTEXT:
                 break
+        del tokens[len(tokens) - max(0, after - CONTEXT) :]
         done = tokens[-1][1]
         out.append(tokens)
         hint = find(text, done)
