@@ -1,4 +1,6 @@
+import bisect
 import json
+import random
 import time
 
 import pytest
@@ -183,6 +185,39 @@ def test_kill_switch(spark):
     assert E.kill_switch_filter(rows, True).count() == 0 and E.kill_switch_filter(rows, False).count() == 4
 
 
+def test_kill_switch_with_dense_writes(spark):
+    """Hours, seconds and milliseconds full of writes, ties, rows without a time, long gaps, times before 1970."""
+    rng = random.Random(3)
+    hour, base = 3_600_000_000, 1_700_000_000_000_000
+    moments = [base + rng.randrange(hour) for _ in range(600)] + [base + 40 * hour + rng.randrange(2000) for _ in range(900)]
+    moments += [base + 3 * hour + 7 + rng.randrange(70_000) for _ in range(700)] + [-5 * hour, -hour, base + 900 * hour]
+    writes = [(t, rng.choice([True, False, None])) for t in moments]
+    at = [t + d for t in rng.sample(moments, 500) for d in (-1, 0, 1)]
+    at += [base + rng.randrange(-2000, 2000) * hour // 2 for _ in range(300)] + [None, None, -9 * hour, base + 40 * hour]
+    state = {}
+    for t, on in writes:
+        state[t] = state.get(t, False) or bool(on)
+    known = sorted(state)
+    want = [t is not None and (k := bisect.bisect_right(known, t)) > 0 and state[known[k - 1]] for t in at]
+    rows = spark.createDataFrame(list(enumerate(at)), "i INT, t BIGINT").select("i", F.timestamp_micros("t").alias("ts"))
+    controls = spark.createDataFrame(writes, "t BIGINT, enabled BOOLEAN").select(F.timestamp_micros("t").alias("ts"), "enabled")
+    got = sorted((r.i, r.kill_switch) for r in E.switch_state(rows, controls).collect())
+    assert got == list(enumerate(want))
+    # No row holds a list, and a row meets few intervals, however many writes its hour has.
+    moments = rows.select(F.unix_micros("ts").alias("_at")).where("_at IS NOT NULL")
+    intervals, widths = E.switch_intervals(moments, controls, 3600)
+    assert len(widths) == 4
+    assert not [f for f in intervals.schema if f.dataType.typeName() in ("array", "map", "struct")]
+    assert intervals.groupBy("_level", "_part").count().agg(F.max("count")).first()[0] <= E.PARTS + 1
+
+
+def test_kill_switch_of_empty_tables(spark):
+    rows = spark.range(2).select("id", F.current_timestamp().alias("ts"))
+    controls = rows.select("ts", F.lit(True).alias("enabled"))
+    assert [r.kill_switch for r in E.switch_state(rows, controls.limit(0)).collect()] == [False, False]
+    assert E.switch_state(rows.limit(0), controls).collect() == []
+
+
 def test_thousands_of_rules(spark):
     """Plain and glob rules in numbers that one condition per rule would not survive."""
     plain = tuple((f"tool_{i}", f"server_{i}") for i in range(10_000))
