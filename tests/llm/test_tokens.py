@@ -144,3 +144,15 @@ def test_repeated_rows_and_rows_without_id(spark, rows):
     pieces = packing.pack(df, path, with_ids=False).collect()
     assert sum(p.length for p in pieces) == 3 + 3 + 2 and "ids" not in pieces[0].asDict()
     assert len(bpe.digests(df, tokens.public(RANKS)).collect()) == 3
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a <|endoftext|> text", "<|startoftext|>a<|endoftext|>", "end.<|endoftext|>, New <|endoftext|>!", "<|endoftext|>\n<|endoftext|> x", "<|ENDOFTEXT|> <|endoftext"],
+)
+def test_special_tokens_are_the_librarys(text):
+    from tokenizers import Tokenizer
+
+    path = tokens.public("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    assert tokens.word_encoder(path).encode([text, "a"])[0].tolist() == plain.encode(text, add_special_tokens=False).ids

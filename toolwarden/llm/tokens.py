@@ -37,15 +37,13 @@ def byte_bpe(path: str):
 
 @lru_cache(maxsize=2)
 def word_bpe(path: str):
-    """The word-level encoder of a tokenizer file; strings of special tokens are ordinary text."""
+    """The word-level encoder of a tokenizer file, as the library reads it."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def ragged(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
