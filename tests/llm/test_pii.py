@@ -84,6 +84,15 @@ def test_stretches_hold_all_neighbours(words):
         assert i - 1 not in near or where[start] == where[starts[near.index(i - 1)]]
 
 
+@pytest.mark.parametrize(
+    "address",
+    ["Jane At Corp Dot Com", "JANE AT CORP DOT COM", "jane[at]corp[dot]com", "jane(at)corp(dot)org", "jane at corp.example", "jane [AT] corp [Dot] net"],
+)
+def test_spelled_out_addresses_in_other_forms(address):
+    assert found(f"you may mail {address} now") == [("email", address)]
+    assert found("the dot product of a and b") == found("they met at noon. Then") == found("look at example.com for more") == []
+
+
 def test_held_out_accuracy_of_the_field():
     """Trained without every fifth sentence, the field labels most tokens of these as they are."""
     held = pii.SENTENCES[::5]

@@ -7,9 +7,10 @@ numbers and spelled-out addresses ("name at host dot com").  It is trained by
 gradient ascent on the likelihood of a small labelled table (:data:`SENTENCES`,
 filled with seeded digits), once per process, with the same result everywhere.
 
-A token further than ``CONTEXT`` tokens from any token with a digit, or that is
-the word "dot", is outside by construction, so only the stretches around
-such tokens are decoded, many at once, by Viterbi in numpy arrays.  All texts
+A token further than ``CONTEXT`` tokens from any hint (a digit, the word "dot", a
+bracketed "at" or "dot", a dotted token after "at") is outside by construction,
+so only the stretches around hints are decoded, many at once, by Viterbi in
+numpy arrays.  All texts
 are searched whole; rows stay in their task, so no key can be hot.
 
 Defined results: a NULL or empty text has no spans; spans count code points,
@@ -99,6 +100,9 @@ SENTENCES = (
     "to {iban:ES9999999999999999999999} de la", "iban {iban:GB99 AAAA 9999 9999 9999 99} bank", "und {iban:DE99 9999 9999 9999 9999 99} der",
     "mail {email:aaaa at aaaaaa dot com} now", "write to {email:aaaa99 at aaaaaa dot org} please", "write {email:aaa at aaaaaaa dot com} please",
     "his address is {email:aaaa at aaaa dot net} now", "by {email:aaaaaa at aaaaaaaaa dot com} or phone", "to {email:aaaa dot aaaaa at aaaaa dot com} today", "email {email:aaa [at] aaaaaa [dot] net} for",
+    "mail {email:Aaaa At Aaaa Dot Com} now", "write to {email:Aaaa At Aaaaaa Dot Org} please",
+    "write {email:aaaa[at]aaaa[dot]aaa} please", "mail {email:aaa(at)aaaaaa(dot)aaa} now", "to {email:aaaa[at]aaaaaa.aaa} today",
+    "mail {email:aaaa at aaaa.aaa} now", "write {email:aaaa at aaaa.aaaaaaa} please", "buy it at aaaaaa.aaa today", "we met at aaaa.aaa and", "see more at aaaa.aaaaaa now",
     "in 9999 the law changed", "on 99-99-9999 we met", "on 9999-99-99 it rained", "at 99:99 the train left", "version 9.9.9 is out",
     "version 9.9 of the tool", "pages 99-999 of volume 9", "it costs 999.99 dollars", "about 99,999 people came", "see section 9.9.9 for 99 cases",
     "between 9999 and 9999 they grew", "item 99999 of 99999", "order 999999999 shipped", "the 9999-9999 season was", "score 9-9 after 99 minutes",
@@ -118,7 +122,11 @@ CUES = frozenset(
 _TOKEN = re.compile(r"[^\s]+")
 _DIGIT, _RUN = re.compile(r"\d"), re.compile(r"(a{4}|A{5})[aA]*")
 _HINT = re.compile(r"[0-9]")
-_HINT_OR_DOT = re.compile(r"[0-9]|(?<!\S)[\[(]?(?:dot|DOT)[\])]?(?!\S)")
+#: In any case: a free-standing "dot", a bracketed "at" or "dot" also inside a token, and a dotted token after "at".
+_HINT_OR_DOT = re.compile(
+    r"[0-9]|(?<!\S)[\[(]?dot[\])]?(?!\S)|[\[(](?:at|dot)[\])]|(?:(?<=\sat\s)|(?<=[\[(]at[\])]\s))[\w-]+\.\w", re.I
+)
+_SPELLED = re.compile(r"dot|[\[(]at[\])]|\sat\s", re.I)
 #: Three tokens ("name at host" before a dot), and two more that the features of these look at.
 CONTEXT = 3 + 2
 #: Tokens (padding included) that go through Viterbi at once.
@@ -285,7 +293,7 @@ def trained(sentences: tuple[str, ...] = SENTENCES, rounds: int = 60, rate: floa
 
 def _stretches(text: str) -> list[list[tuple[int, int]]]:
     """Token spans around the tokens that may be personal data, ``CONTEXT`` neighbours on both sides included."""
-    find = (_HINT_OR_DOT if "dot" in text or "DOT" in text else _HINT).search
+    find = (_HINT_OR_DOT if _SPELLED.search(text) else _HINT).search
     out: list[list[tuple[int, int]]] = []
     done = 0
     hint = find(text)
