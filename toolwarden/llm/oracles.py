@@ -59,5 +59,103 @@ FROM b
 """
 
 
+# Conversation repair: one row per conversation and step holds, for each state of the pattern, the cheapest edits as
+# seven digits of cost and the audit, so LEAST compares cost first and audit next.
+_CRC_TABLE = (
+    "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), "
+    "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+)
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text; ``crc_table`` is a column in scope."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)), "
+        "lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+def _edit(state: str, cost: str, initial: str) -> str:
+    return f"(printf('%07d', left({state}, 7)::INTEGER + {cost}) || substr({state}, 8) || '{initial}')"
+
+
+_USER = f"least(c2, {_edit('c0', '2', 'I')}, {_edit('c1', '2', 'I')}, {_edit('c3', '2', 'I')})"
+_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+_REPAIR = f"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name, {_CRC_TABLE} AS crc_table
+  FROM {{conversations}}
+), kinds AS (
+  SELECT conv_id, turn, role, text, {_crc32('name')} % 20 AS kind FROM base
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS earlier,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before,
+    rtrim(text, {_SPACES}) AS body
+  FROM damaged
+), judged AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, before,
+    CASE WHEN body = '' THEN 'blank' WHEN earlier THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS i, '0000000' AS c0, NULL::VARCHAR AS c1, NULL::VARCHAR AS c2, NULL::VARCHAR AS c3 FROM counted
+  UNION ALL
+  SELECT conv_id, i, {_edit('c0', '3', 'D')},
+    least({_edit('c1', '3', 'D')}, CASE WHEN initial = 's' AND stays THEN {_edit('c0', 'extra', 'K')} END),
+    least({_edit('u', '3', 'D')}, CASE WHEN stays THEN least({_edit('c0', '2 + extra', 'R')}, {_edit('c1', '2 + extra', 'R')}, {_edit('a', '2 + extra', 'R')}) END,
+      CASE WHEN stays AND initial = 'u' THEN least({_edit('c0', 'extra', 'K')}, {_edit('c1', 'extra', 'K')}, {_edit('a', 'extra', 'K')}) END),
+    least({_edit('a', '3', 'D')}, CASE WHEN stays THEN {_edit('u', '2 + extra', 'R')} END, CASE WHEN stays AND initial = 'a' THEN {_edit('u', 'extra', 'K')} END)
+  FROM (
+    SELECT *, least(c3, {_edit('u', '2', 'I')}) AS a FROM (
+      SELECT s.conv_id, j.i, s.c0, s.c1, s.c3, {_USER.replace('c2', 's.c2').replace('c0', 's.c0').replace('c1', 's.c1').replace('c3', 's.c3')} AS u,
+        j.initial, j.fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN j.fault = 'truncated' THEN 1 ELSE 0 END AS extra
+      FROM steps s JOIN judged j ON s.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = s.i + 1
+    )
+  )
+), ends AS (
+  SELECT conv_id, least(c0, c3, {_edit('u', '2', 'I')}) AS best FROM (
+    SELECT s.*, {_USER} AS u FROM steps s JOIN counted n ON s.conv_id IS NOT DISTINCT FROM n.conv_id AND s.i = n.n
+  )
+), audits AS (
+  SELECT conv_id, left(best, 7)::BIGINT AS cost, substr(best, 8) AS audit FROM ends
+), places AS (
+  SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM audits
+), outputs AS (
+  SELECT p.conv_id, p.j, audit[p.j] AS edit, length(replace(audit[:p.j], 'I', '')) AS i, length(replace(audit[:p.j], 'D', '')) AS o
+  FROM places p WHERE audit[p.j] <> 'D'
+), lines AS (
+  SELECT o.conv_id, o.j, o.o, o.edit, r.role, CASE WHEN o.edit = 'I' THEN '' ELSE r.text END AS text,
+    max(CASE WHEN o.o = 1 AND o.edit = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY o.conv_id) AS shift
+  FROM outputs o LEFT JOIN judged r ON o.conv_id IS NOT DISTINCT FROM r.conv_id AND o.i = r.i
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS body
+  FROM lines GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM {{conversations}}) d
+LEFT JOIN counted c ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN audits a ON d.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN repaired b ON d.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": _QUALITY.format(documents="documents")}
+    return {
+        "op10_quality_rules": _QUALITY.format(documents="documents"),
+        "op11_conversation_repair": _REPAIR.format(conversations="conversations"),
+    }

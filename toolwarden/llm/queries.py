@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, lengths, neardup, packing, pii, quality, sharding, tokens, toxicity
+from . import ann, bpe, conversations, html, lengths, neardup, packing, pii, quality, sharding, tokens, toxicity
 from .common import read
 
 
@@ -76,6 +76,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults and its cheapest repair."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damaged(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_main_text": op1_html_main_text,
@@ -88,5 +94,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "op11_conversation_repair": op11_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
