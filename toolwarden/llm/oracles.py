@@ -154,8 +154,49 @@ LEFT JOIN repaired b ON d.conv_id IS NOT DISTINCT FROM b.conv_id
 """
 
 
+# Spelling variants: near words share a deletion (of one of them, or of both at the same place).
+_BYTES = "list_transform(string_split({0}, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [195::BIGINT, ord(ch)::BIGINT - 64] END)"
+
+_SPELLING = f"""
+WITH RECURSIVE found AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM {{documents}}
+), runs AS (
+  SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM found GROUP BY ALL
+), sums AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten({_BYTES.format("doc || ':' || run")})),
+    lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM runs, (SELECT {_CRC_TABLE} AS crc_table)
+), damaged AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), less AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN less b ON a.word = b.rest
+  UNION SELECT b.word, a.word, a.n FROM words a JOIN less b ON a.word = b.rest
+), best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, min(x.other) AS form, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+  LEFT JOIN near x ON x.word = w.word AND x.m = b.m AND b.m >= 2 * w.n GROUP BY ALL
+), chain AS (
+  SELECT word, word AS at FROM forms
+  UNION SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+FROM forms f JOIN chain c ON f.word = c.word JOIN forms e ON e.word = c.at AND e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_quality_rules": _QUALITY.format(documents="documents"),
         "op11_conversation_repair": _REPAIR.format(conversations="conversations"),
+        "op13_spelling_variants": _SPELLING.format(documents="documents"),
     }
