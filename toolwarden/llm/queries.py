@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, conversations, html, lengths, neardup, packing, pii, quality, sharding, spelling, tokens, toxicity
+from . import ann, bpe, conversations, html, language_model, lengths, neardup, packing, pii, quality, sharding, spelling, tokens, toxicity
 from .common import read
 
 
@@ -82,6 +82,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(rows))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood of every document by the network and by counts."""
+    scored = language_model.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the damaged documents with its form and the root of its chain."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_language_model": op12_language_model,
         "op13_spelling_variants": op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
