@@ -60,7 +60,7 @@ def test_scoring_is_once_per_text(spark):
     flags = {r.tool_pos: r.cached for r in V.with_cached_flag(catalog, "tool_pos", known).collect()}
     assert flags == {0: False, 1: True, 2: False, 3: False, 4: False, 5: True}
 
-    scanned = S.score_detections(V.with_semantic(D.with_detections(catalog), verdicts, ["tool_pos"]))
+    scanned = S.score_detections(V.with_semantic(D.with_detections(catalog), verdicts))
     out = {r.tool_pos: r for r in scanned.collect()}
     assert [out[i].risk_score for i in range(6)] == [90, 90, 0, 0, 0, 0]
     assert out[0].detections[-1].evidence == "confidence=95%, categories=[X]: why"
