@@ -69,7 +69,7 @@ def test_counts_and_likelihood(spark, monkeypatch, known):
 
 
 def small(monkeypatch, words=30, classes=4):
-    for name, value in dict(MODELLED=words, CLASSES=classes, ENDINGS=3, HIDDEN=5, LANES=3, STEPS=4, SCORE_LANES=2).items():
+    for name, value in dict(MODELLED=words, CLASSES=classes, ENDINGS=3, HIDDEN=5, LANES=3, STEPS=4, SCORE_LANES=2, SEGMENT=11).items():
         monkeypatch.setattr(L, name, value)
     H = 5
     monkeypatch.setattr(L, "SHAPES", {
@@ -77,6 +77,7 @@ def small(monkeypatch, words=30, classes=4):
         "class_bias": (classes + 3,), "outputs": (words, H), "output_bias": (words,),
     })
     monkeypatch.setattr(L, "NUMBERS", sum(math.prod(s) for s in L.SHAPES.values()))
+    monkeypatch.setattr(L, "ROWS", sum(s[0] for s in L.SHAPES.values()))
     rng = np.random.default_rng(0)
     layout = L.laid_out(rng.random(words) * 50)
     return L.Network(rng.standard_normal(L.NUMBERS) * 0.4, layout)
@@ -145,7 +146,7 @@ def test_gradients(monkeypatch):
 def test_training_learns(monkeypatch):
     network = small(monkeypatch)
     docs = [np.array([*[1 + (i + k) % 7 for i in range(20)], 0], "<u2") for k in range(7)] * 6
-    squares = np.zeros_like(network.flat)
+    squares = np.zeros(L.ROWS)
     first = network.train(docs, squares)[0]
     for _ in range(20):
         last = network.train(docs, squares)[0]

@@ -10,8 +10,9 @@ to a class by its ending, within which it has its share of the counts (half a
 count for every word never seen), so any text has a likelihood.  Training is
 truncated backpropagation: documents lie one behind the other in lanes, a window
 of steps is learned from at a time, and the state goes on into the next window
-until its document ends.  Scoring carries the state in the same way, so a score
-is that of the complete document whatever its length.
+until its document, or ``SEGMENT`` tokens of it, end.  Scoring carries the state
+from the first token to the last, so a score is that of the complete document
+whatever its length.
 
 At scale: words are combined per task before they are shuffled.  Tasks get the
 words of the highest counts only (at most ``KNOWN``, cut at a count, of bounded
@@ -50,14 +51,15 @@ from .spelling import HELD, combined, slices
 
 FOLDS, HELD_OUT = 5, 1
 #: Words that tasks know the counts of, and bytes of the longest of them.
-KNOWN, LONGEST = 131_072, 64
+KNOWN, LONGEST = 262_144, 64
 #: Words with outputs of their own (the end among them), their classes, and classes by ending.
-MODELLED, CLASSES, ENDINGS = 4096, 32, 64
+MODELLED, CLASSES, ENDINGS = 2048, 24, 40
 HIDDEN = 16
-LANES, STEPS, SCORE_LANES = 128, 32, 512
-#: Tokens laid into lanes at a time.
-CHUNK = 1 << 19
-ROUNDS, RATE = 4, 0.1
+LANES, STEPS, SCORE_LANES = 256, 16, 512
+#: Tokens laid into lanes at a time, tokens of a document after which training begins a new state,
+#: and tokens that a task trains on in a round at least.
+CHUNK, SEGMENT, TASK_TOKENS = 1 << 22, 2048, 1 << 20
+ROUNDS, RATE = 2, 0.1
 #: Numbers of one part of the weights, and groups that are added first.
 PART, GROUPS = 1 << 16, 64
 END = 0
@@ -278,6 +280,7 @@ SHAPES = {
     "outputs": (MODELLED, HIDDEN), "output_bias": (MODELLED,),
 }
 NUMBERS = sum(math.prod(s) for s in SHAPES.values())
+ROWS = sum(s[0] for s in SHAPES.values())
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -302,8 +305,8 @@ def first_weights(vocab: Vocabulary) -> tuple[np.ndarray, Layout]:
     w["gates"] *= 2
     w["memory"] *= 2
     mass = np.concatenate([np.bincount(layout.kind, weights=weight, minlength=CLASSES), vocab.ending_tokens + 0.5 * (vocab.ending_words + 1)])
-    w["class_bias"][:] = np.log(np.maximum(mass, 0.5))
-    w["output_bias"][layout.place] = np.log(weight)
+    w["class_bias"][:] = np.log(np.maximum(mass, 0.5) / max(mass.sum(), 1))
+    w["output_bias"][layout.place] = np.log(weight / max(weight.sum(), 1))
     return flat, layout
 
 
@@ -320,19 +323,22 @@ class Lanes:
         content.sort(key=lambda c: -sum(len(docs[d]) for d in c))
         self.lengths = np.array([sum(len(docs[d]) for d in c) for c in content])
         shape = (int(self.lengths[0]), len(content))
-        self.target = np.zeros(shape, np.int32)
-        self.input = np.zeros(shape, np.int32)
-        self.goes_on = np.zeros(shape, np.float32)
+        self.target = np.zeros(shape, np.uint16)
+        self.input = np.zeros(shape, np.uint16)
         self.doc = np.zeros(shape, np.int32)
+        starts = np.zeros(shape, bool)
         for lane, members in enumerate(content):
             at = 0
             for d in members:
                 n = len(docs[d])
                 self.target[at : at + n, lane] = docs[d]
                 self.input[at + 1 : at + n, lane] = docs[d][:-1]
-                self.goes_on[at + 1 : at + n, lane] = 1
+                starts[at, lane] = True
                 self.doc[at : at + n, lane] = d
                 at += n
+        #: The lanes in which a document starts, step by step.
+        steps, lane = np.nonzero(starts)
+        self.starts = np.split(lane, np.searchsorted(steps, np.arange(1, shape[0])))
 
 
 class Network:
@@ -343,65 +349,91 @@ class Network:
 
     def steps(self, lanes: Lanes, t0: int, t1: int, state: np.ndarray, keep: bool):
         """States of lanes over a window, and what backpropagation needs of it."""
-        w, H = self.w, HIDDEN
-        n = state.shape[0]
+        w, H, n = self.w, HIDDEN, state.shape[0]
         states = np.empty((t1 - t0, n, H), np.float32)
+        inputs = w["inputs"][lanes.input[t0:t1, :n]]
+        # sigmoid(x) is (tanh(x / 2) + 1) / 2
+        inputs[:, :, : 2 * H] *= 0.5
+        half_gates, memory = 0.5 * w["gates"], w["memory"]
         kept = []
-        for t in range(t0, t1):
-            before = state * lanes.goes_on[t, :n, None]
-            x = w["inputs"][lanes.input[t, :n]]
-            gates = 0.5 * np.tanh(0.5 * (x[:, : 2 * H] + before @ w["gates"])) + 0.5
-            update, reset = gates[:, :H], gates[:, H:]
-            seen = reset * before
-            new = np.tanh(x[:, 2 * H :] + seen @ w["memory"])
-            state = new + update * (before - new)
-            states[t - t0] = state
+        for t in range(t1 - t0):
+            starting = lanes.starts[t0 + t]
+            before = state
+            if len(starting):
+                before = state.copy()
+                before[starting[starting < n]] = 0
+            x = inputs[t]
+            gates = before @ half_gates
+            gates += x[:, : 2 * H]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            seen = gates[:, H:] * before
+            new = seen @ memory
+            new += x[:, 2 * H :]
+            np.tanh(new, out=new)
+            state = states[t]
+            np.subtract(before, new, out=state)
+            state *= gates[:, :H]
+            state += new
             if keep:
-                kept.append((before, update, reset, seen, new))
+                kept.append((before, gates[:, :H], gates[:, H:], seen, new))
         return states, state, kept
 
     def logs(self, states: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None):
         """Natural log-likelihood of each target; with ``grads``, also the gradient by state
         of the sum, adding those by the weights to it."""
         w, lay = self.w, self.layout
+        # States are between -1 and 1; exponents far below the limit of floats need no shift.
+        low = max(np.abs(w["classes"]).sum(0).max() + np.abs(w["class_bias"]).max(), np.abs(w["outputs"]).sum(1).max() + np.abs(w["output_bias"]).max()) < 60
         own = target < MODELLED
-        kind = np.where(own, lay.kind[np.minimum(target, MODELLED - 1)], CLASSES + target - MODELLED)
+        kind = np.where(own, lay.kind[np.minimum(target, MODELLED - 1)], CLASSES - MODELLED + target.astype(np.int64))
         rows = np.arange(len(target))
-        logits = states @ w["classes"] + w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
+        logits = states @ w["classes"]
+        logits += w["class_bias"]
+        if not low:
+            logits -= logits.max(1, keepdims=True)
         chosen = logits[rows, kind]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
         log = chosen - np.log(total)
         back = None
         if grads is not None:
-            logits /= -total[:, None]
+            logits *= (-1 / total)[:, None]
             logits[rows, kind] += 1
             back = logits @ w["classes"].T
             grads["classes"] += states.T @ logits
             grads["class_bias"] += logits.sum(0)
-        mine = np.flatnonzero(own)
-        mine = mine[np.argsort(kind[mine], kind="stable")]
+        mine = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[mine], np.arange(CLASSES + 1))
+        mine = mine[: cuts[-1]]
+        sorted_states, sorted_place = states[mine], lay.place[target[mine]]
+        more = np.zeros(len(mine), log.dtype)
+        sorted_back = np.zeros_like(sorted_states) if grads is not None else None
         for c in range(CLASSES):
-            here = mine[cuts[c] : cuts[c + 1]]
+            here = slice(cuts[c], cuts[c + 1])
             a, b = lay.start[c], lay.start[c + 1]
-            if not len(here) or b - a < 2:
+            if cuts[c] == cuts[c + 1] or b - a < 2:
                 continue
-            h, at = states[here], lay.place[target[here]] - a
-            inner = h @ w["outputs"][a:b].T + w["output_bias"][a:b]
-            inner -= inner.max(1, keepdims=True)
-            local = np.arange(len(here))
+            h, at = sorted_states[here], sorted_place[here] - a
+            inner = h @ w["outputs"][a:b].T
+            inner += w["output_bias"][a:b]
+            if not low:
+                inner -= inner.max(1, keepdims=True)
+            local = np.arange(len(at))
             chosen = inner[local, at]
             np.exp(inner, out=inner)
-            total = inner.sum(1)
-            log[here] += chosen - np.log(total)
+            total = inner @ np.ones(b - a, inner.dtype)
+            more[here] = chosen - np.log(total)
             if grads is not None:
-                inner /= -total[:, None]
+                inner *= (-1 / total)[:, None]
                 inner[local, at] += 1
-                back[here] += inner @ w["outputs"][a:b]
+                sorted_back[here] = inner @ w["outputs"][a:b]
                 grads["outputs"][a:b] += inner.T @ h
                 grads["output_bias"][a:b] += inner.sum(0)
+        log[mine] += more
+        if grads is not None:
+            back[mine] += sorted_back
         return log, back
 
     def gradients(self, lanes: Lanes, t0: int, t1: int, state: np.ndarray, grads: dict[str, np.ndarray]):
@@ -416,18 +448,29 @@ class Network:
         by_state = by_state.reshape(t1 - t0, n, H)
         by_input = np.empty((t1 - t0, n, 3 * H), np.float32)
         carry = np.zeros((n, H), np.float32)
+        memory_t, gates_t = w["memory"].T.copy(), w["gates"].T.copy()
         for i in range(t1 - t0 - 1, -1, -1):
             before, update, reset, seen, new = kept[i]
-            d = by_state[i] + carry
-            d_new = d * (1 - update) * (1 - new * new)
-            d_seen = d_new @ w["memory"].T
+            d = by_state[i]
+            d += carry
+            stays = d * update
+            d_new = d - stays
+            d_new *= 1 - new * new
+            d_seen = d_new @ memory_t
             out = by_input[i]
-            out[:, :H] = d * (before - new) * update * (1 - update)
-            out[:, H : 2 * H] = d_seen * before * reset * (1 - reset)
+            np.multiply(stays, (before - new) * (1 - update), out=out[:, :H])
+            out[:, H : 2 * H] = d_seen * seen * (1 - reset)
             out[:, 2 * H :] = d_new
-            grads["memory"] += seen.T @ d_new
-            grads["gates"] += before.T @ out[:, : 2 * H]
-            carry = (d * update + d_seen * reset + out[:, : 2 * H] @ w["gates"].T) * lanes.goes_on[t0 + i, :n, None]
+            carry = out[:, : 2 * H] @ gates_t
+            carry += stays
+            d_seen *= reset
+            carry += d_seen
+            starting = lanes.starts[t0 + i]
+            if len(starting):
+                carry[starting[starting < n]] = 0
+        flat_input = by_input.reshape(-1, 3 * H)
+        grads["memory"] += np.concatenate([k[3] for k in kept]).T @ flat_input[:, 2 * H :]
+        grads["gates"] += np.concatenate([k[0] for k in kept]).T @ flat_input[:, : 2 * H]
         ids = lanes.input[t0:t1, :n].ravel()[real]
         order = np.argsort(ids, kind="stable")
         rows, at = np.unique(ids[order], return_index=True)
@@ -435,26 +478,34 @@ class Network:
         return last, (rows, by_row), float(log.sum()), len(ids)
 
     def train(self, docs: list[np.ndarray], squares: np.ndarray) -> tuple[float, int]:
-        """One pass over documents; ``squares`` are the sums that scale each weight's steps."""
-        lanes, s = Lanes(docs, LANES), views(squares)
+        """One pass over documents; ``squares`` are the sums that scale the steps of each row."""
+        lanes = Lanes([d[a : a + SEGMENT] for d in docs for a in range(0, len(d), SEGMENT)], LANES)
         state = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
         grads = {k: np.zeros_like(v) for k, v in self.w.items() if k != "inputs"}
         log = count = 0
+        sums, at = {}, 0
+        for name, weights in self.w.items():
+            sums[name], at = squares[at : at + len(weights)], at + len(weights)
         for t0 in range(0, len(lanes.target), STEPS):
             t1 = min(t0 + STEPS, len(lanes.target))
             state = state[: int((lanes.lengths > t0).sum())]
             state, (rows, by_row), more, n = self.gradients(lanes, t0, t1, state, grads)
             log, count = log + more, count + n
             for name, g in grads.items():
-                g /= n
-                s[name] += g * g
-                self.w[name] += RATE * g / (np.sqrt(s[name]) + 1e-7)
+                g *= 1 / n
+                self.w[name] += self._step(sums[name], slice(None), g)
                 g[:] = 0
-            by_row /= n
-            s["inputs"][rows] += by_row * by_row
-            self.w["inputs"][rows] += RATE * by_row / (np.sqrt(s["inputs"][rows]) + 1e-7)
+            by_row *= 1 / n
+            self.w["inputs"][rows] += self._step(sums["inputs"], rows, by_row)
         return log, count
 
+    @staticmethod
+    def _step(sums: np.ndarray, rows, gradient: np.ndarray) -> np.ndarray:
+        """How far rows of weights move: against the mean square of all gradients of their row."""
+        sums[rows] += (gradient * gradient).mean(1) if gradient.ndim == 2 else gradient * gradient
+        scale = RATE / (np.sqrt(sums[rows]) + 1e-7)
+        return gradient * (scale[:, None] if gradient.ndim == 2 else scale)
+
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """The natural log-likelihood of each document, words by ending only as their class."""
         lanes = Lanes(docs, SCORE_LANES)
@@ -480,16 +531,17 @@ def chunks(ids: list[bytes]) -> Iterator[tuple[int, list[np.ndarray]]]:
             start, size = i + 1, 0
 
 
-def trained(rows: DataFrame, flat: np.ndarray, layout: Layout) -> np.ndarray:
+def trained(rows: DataFrame, flat: np.ndarray, layout: Layout, tokens: int) -> np.ndarray:
     """Weights after all rounds over ``row, ids`` of the learning documents."""
-    squares = np.zeros_like(flat)
+    squares = np.zeros(ROWS, np.float32)
+    tasks = max(1, math.ceil(tokens / (ROUNDS * TASK_TOKENS)))
     for number in range(ROUNDS):
         both = np.concatenate([flat, squares])
-        now = rows.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == number).select("ids")
+        now = rows.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == number).select("ids").coalesce(tasks)
         added = one_round(now, both, layout).collect()
         tokens_seen = sum(r["n"] for r in added if r["part"] == 0)
         if tokens_seen:
-            total = np.concatenate([np.frombuffer(r["sums"], "<f8") for r in sorted(added, key=lambda r: r["part"])])
+            total = np.concatenate([np.frombuffer(r["sums"], "<f4") for r in sorted(added, key=lambda r: r["part"])])
             both = (total / tokens_seen).astype(np.float32)
             flat, squares = both[:NUMBERS].copy(), both[NUMBERS:].copy()
     return flat
@@ -516,7 +568,7 @@ def one_round(rows: DataFrame, both: np.ndarray, layout: Layout) -> DataFrame:
         if waiting:
             count += network.train([np.frombuffer(r, "<u2") for r in waiting], squares)[1]
         if count:
-            total = np.concatenate([flat, squares]).astype(np.float64) * count
+            total = np.concatenate([flat, squares]) * np.float32(count)
             parts = range(0, len(total), PART)
             pile = TaskContext.get().partitionId() % GROUPS
             yield pa.RecordBatch.from_pydict({
@@ -528,11 +580,11 @@ def one_round(rows: DataFrame, both: np.ndarray, layout: Layout) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         total, n = 0.0, 0
         for raw, more in zip(table.column("sums"), table.column("n")):
-            total = total + np.frombuffer(raw.as_buffer(), "<f8")
+            total = total + np.frombuffer(raw.as_buffer(), "<f4").astype(np.float64)
             n += more.as_py()
         return pa.table({
             "part": table.column("part").slice(0, 1), "pile": pa.array([0], pa.int32()),
-            "n": pa.array([n], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary()),
+            "n": pa.array([n], pa.int64()), "sums": pa.array([total.astype("<f4").tobytes()], pa.binary()),
         })
 
     tasks = rows.mapInArrow(run, schema)
@@ -564,7 +616,7 @@ def score(docs: DataFrame) -> DataFrame:
     rows = stored(encoded(docs, vocab), "lm-tokens")
     rare = rare_sums(rows, counts.where("word IS NOT NULL"), vocab.least)
     flat, layout = first_weights(vocab)
-    flat = trained(rows.where(~held_out(F.col("doc_id"))).select("row", "ids"), flat, layout)
+    flat = trained(rows.where(~held_out(F.col("doc_id"))).select("row", "ids"), flat, layout, vocab.total)
     rare_log, rare_known = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
     return network_scores(rows, flat, layout).join(rare, "row", "left").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
