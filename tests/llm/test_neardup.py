@@ -3,6 +3,9 @@
 import random
 import re
 
+import pytest
+
+from toolwarden.llm import common as C
 from toolwarden.llm import neardup as N
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -75,6 +78,46 @@ def test_long_lists_in_blocks(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("shingles", [1 << 20, 900])
+def test_strays_of_long_lists_and_long_texts(spark, monkeypatch, shingles):
+    """Several groups of near copies around one text, some far longer than others."""
+    monkeypatch.setattr(N, "LONG", 3)
+    monkeypatch.setattr(N, "BLOCK", 6)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", shingles)
+    rng = random.Random(11)
+    base, texts = [f"w{i}" for i in range(400)], []
+    for share in (0.0, 0.03, 0.06, 0.09):  # groups a little apart from each other
+        center = [f"x{rng.random()}" if rng.random() < share else w for w in base]
+        for _ in range(rng.choice([3, 12, 20])):
+            words = list(center)
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = f"y{rng.random()}"
+            texts.append(" ".join(words))
+    long = [f"z{i}" for i in range(30_000)]
+    texts += [" ".join(long), " ".join(long[:-300]), " ".join(long[400:]), " ".join(long[:15_000])]
+    rows = list(enumerate(texts))
+    assert found(spark, rows) == brute(rows)
+
+
+def test_forest_keeps_components(spark, monkeypatch):
+    monkeypatch.setattr(C, "FOREST", 50)
+    rng = random.Random(0)
+    edges = [(rng.randint(0, 3), rng.randint(0, 300)) for _ in range(900)] + [(rng.randint(400, 900), rng.randint(400, 900)) for _ in range(150)]
+    edges = [(a, b) for a, b in edges if a != b]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    parent = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {r.node: r.component for r in C.components(frame).collect()} == {n: root(n) for e in edges for n in e}
+    assert C.spanning(frame).count() < len(edges)
+
+
 def test_large_group_of_copies(spark):
     words = " ".join(f"v{i}" for i in range(40))
     rows = [(i, words) for i in range(3000)] + [(5000, words + " tail"), (6000, "other text altogether here now")]

@@ -79,18 +79,47 @@ def words(text: Column) -> Column:
     )
 
 
+#: Links of which a task keeps a spanning forest at a time.
+FOREST = 1 << 18
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each stretch of links those that join what the ones before left apart."""
+    parent: dict = {}
+    read = 0
+    for batch in batches:
+        kept_x, kept_y = [], []
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = x, y
+            while (up := parent.get(a, a)) != a:
+                parent[a] = a = parent.get(up, up)
+            while (up := parent.get(b, b)) != b:
+                parent[b] = b = parent.get(up, up)
+            if a != b:
+                parent[a] = b
+                kept_x.append(x)
+                kept_y.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(kept_x, batch.schema.types[0]), pa.array(kept_y, batch.schema.types[1])], names=["x", "y"])
+        read += batch.num_rows
+        if read >= FOREST:
+            parent, read = {}, 0
+
+
+def spanning(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
+    """``x, y``: links with the same components, of which every task has left out those that close a
+    circle, so that members with many links to the same few nodes do not carry all of them on."""
+    links = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return links.mapInArrow(_forest, links.schema)
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """``node, component``: the smallest node reachable from each node of ``edges``.
 
     Every round passes the smallest label over each link to both its ends and
     to the node that the end points to, then shortens the pointers, so rounds
     grow with the logarithm of a path.  Labels live in the shared folder."""
-    links = stored(
-        edges.select(F.col(src).alias("x"), F.col(dst).alias("y"))
-        .union(edges.select(F.col(dst).alias("x"), F.col(src).alias("y")))
-        .where("x IS NOT NULL AND y IS NOT NULL"),
-        "links",
-    )
+    forest = stored(spanning(edges, src, dst), "forest")
+    links = stored(forest.union(forest.select("y", "x")), "links")
     labels = stored(
         links.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select(
             "node", F.least("node", "m").alias("component")

@@ -16,11 +16,13 @@ their full sets.  At a similarity of exactly 0.75 fewer than ``MATCHES`` of
 * *Merging*: each posting list first links its members to its smallest member.
   Members that are in one component by then need no comparison.  What still
   crosses components is compared within the limits that lengths set: pairs of
-  short lists by a join, long lists in blocks, each pair under its first common
-  posting, and only links that connect something leave a block.  So a group of
-  near copies costs its size, and no link between components is lost.  What
-  costs more than its size is a long list of documents that are nearly, but not
-  linked: its blocks are compared with each other, in as many tasks.
+  short lists by a join, long lists in blocks: the members outside the largest
+  component of a list against all of it, each pair under its first common posting,
+  and only links that connect something leave a block.  So a group of near copies
+  costs its size, with some strays beside it, too, and no link between components
+  is lost.  A block is bounded by its members and by their shingles.  What costs
+  more than its size is a long list of documents that are nearly, but not linked:
+  its blocks are compared with each other, in as many tasks.
 
 Links are confirmed on the full sets (as 64-bit shingle hashes).  Only
 documents that may have a partner are read a second time.
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, free_name, stored
+from .common import components, free_name, spanning, stored
 
 SHINGLE = 5
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
@@ -53,11 +55,11 @@ COORDINATES = 96
 MATCHES = 51
 #: Posting lists of more members choose their first partner at random, and are compared in blocks.
 LONG = 16
-#: Members of a block, on average.
-BLOCK = 512
+#: Members of a block, and shingles of all of them, on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Words hashed at a time, and words remembered.
 WORDS_AT_ONCE = 1 << 17
-CACHE = 500_000
+CACHE = 200_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -243,6 +245,7 @@ class _Side:
 
     def __init__(self, table: pa.Table):
         self.rid, self.component, self.size = (table[n].to_numpy().copy() for n in ("rid", "component", "n_shingles"))
+        self.stray = table["stray"].to_numpy().astype(bool)
         self.signature = _lists(table["signature"])[0].reshape(len(self.rid), -1)
         flat, ends = _lists(table["prefix"])
         self.posted = np.zeros((len(self.rid), COORDINATES), bool)
@@ -254,18 +257,19 @@ class _Side:
 def _linked(left: pa.Table, right: pa.Table) -> pa.Table:
     """Links between two blocks of a posting list that connect different components.
 
-    A pair that shares several postings is looked at under the first coordinate only."""
+    The left block holds members outside the largest component of the list, the right one any; two
+    of the former are compared once.  A pair that shares several postings is looked at under the
+    first coordinate only."""
     a, b = [], []
     if left.num_rows and right.num_rows:
         one, two = _Side(left), _Side(right)
         own = left["token"][0].as_py() >> 32
-        same_block = left["block"][0].as_py() == right["block"][0].as_py()
         for k in range(len(one.rid)):
-            fits = (two.component != one.component[k]) & (
-                np.minimum(two.size, one.size[k]) * 100 >= np.maximum(two.size, one.size[k]) * PERCENT
+            fits = (
+                (two.component != one.component[k])
+                & (~two.stray | (two.rid > one.rid[k]))
+                & (np.minimum(two.size, one.size[k]) * 100 >= np.maximum(two.size, one.size[k]) * PERCENT)
             )
-            if same_block:
-                fits &= two.rid > one.rid[k]
             near = np.flatnonzero(fits)
             agree = two.signature[near] == one.signature[k]
             near, agree = near[keep := agree.sum(axis=1) >= MATCHES], agree[keep]
@@ -314,19 +318,31 @@ def _crossing(lists: DataFrame, prefix: DataFrame, parts: DataFrame, slim: DataF
     other = short.select("token", F.col("rid").alias("b"), F.col("component").alias("component_b"))
     pairs = short.withColumnRenamed("rid", "a").join(other, "token").where("a < b AND component <> component_b")
     few = _confirmed(stored(_agreeing(pairs.select("a", "b").distinct(), slim), "agreeing"), sets)
-    # Long lists: blocks of members with their full sets, dealt by a hash of the member.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (
-        member.where(F.col("size") > LONG)
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        .join(slim.select("rid", "n_shingles", "signature"), "rid")
-        .join(prefix, "rid")
-        .join(sets, "rid")
-    )
-    rows = stored(rows, "blocks")
-    left = rows.withColumn("x", F.col("block")).withColumn("y", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    right = rows.withColumn("y", F.col("block")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    # Long lists: members outside the largest component of their list against all, in blocks with
+    # their full sets, dealt by a hash of the member.
+    long = member.where(F.col("size") > LONG).join(slim.select("rid", "n_shingles", "signature"), "rid")
+    groups = long.groupBy("token", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    largest = F.max(F.struct("n", "component"))
+    of = groups.groupBy("token").agg(
+        largest["component"].alias("main"), F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"),
+        F.max_by("n", F.struct("n", "component")).alias("main_n"), F.max_by("weight", F.struct("n", "component")).alias("main_weight"),
+    )
+
+    def blocks(n, weight):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    cut = of.select(
+        "token", "main",
+        blocks(F.col("all_n") - F.col("main_n"), F.col("all_weight") - F.col("main_weight")).alias("stray_blocks"),
+        blocks(F.col("all_n"), F.col("all_weight")).alias("blocks"),
+    )
+    rows = long.join(cut, "token").withColumn("stray", F.col("component") != F.col("main")).drop("main")
+    rows = stored(rows.join(prefix, "rid").join(sets, "rid"), "blocks")
+    dealt = F.xxhash64("rid")
+    left = rows.where("stray").withColumn("x", F.pmod(dealt, F.col("stray_blocks")).cast("int"))
+    left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = rows.withColumn("y", F.pmod(dealt, F.col("blocks")).cast("int"))
+    right = right.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)))
     names = [F.col(c).alias(f"{c}_") for c in ("token", "x", "y")]
     right = right.select(*names, *(F.col(c).alias(c) for c in rows.columns if c != "token"))
     many = left.groupBy("token", "x", "y").cogroup(right.groupBy("token_", "x_", "y_")).applyInArrow(_linked, "a bigint, b bigint")
@@ -346,7 +362,8 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = full_sets(prefix.select("rid"), classes, docs)
     lists = prefix.select("rid", F.explode("prefix").alias("token"))
     stars = lists.join(_hubs(lists), "token").where("a <> rid").select(*_ordered("a", "rid")).distinct()
-    first = stored(_confirmed(stored(_agreeing(stars, slim), "agreeing"), sets), "links")
+    starred = _confirmed(stored(_agreeing(stars, slim), "agreeing"), sets)
+    first = stored(spanning(starred).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
     parts = components(first).withColumnRenamed("node", "rid")
     return classes, first.union(_crossing(lists, prefix, parts, slim, sets))
 
