@@ -13,11 +13,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
     """Read a Parquet table whose rows are expensive to process.
 
-    ``spread`` deals the rows over at least two tasks per core.  It costs one
-    shuffle of the texts, little beside scanning them (some 1 MB a second and
-    core), and evens out files of a few large row groups and very long texts;
-    leave it off where the files are many and even."""
+    ``spread`` deals the rows over two tasks per core if the files are cut into fewer parts than
+    there are cores (files of a few large row groups).  That costs one shuffle of the texts,
+    little beside scanning them with a few cores; a table with a part for every core, as any
+    large one has, is read as it lies."""
     rows = read_table(spark, path)
-    if not spread:
+    cores = spark.sparkContext.defaultParallelism
+    if not spread or rows.rdd.getNumPartitions() >= cores:
         return rows
-    return rows.repartition(max(rows.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism))
+    return rows.repartition(2 * cores)

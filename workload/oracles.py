@@ -871,6 +871,52 @@ oracle(
     f"{_REQ} SELECT request_id, method, CASE method WHEN 'tools/list' THEN 'catalog' WHEN 'tools/call' THEN 'response' "
     "ELSE 'pass' END AS route FROM requests",
 )
+oracle(
+    "counter_rates",
+    """WITH s AS (SELECT event_type AS counter, event_id, epoch_us(ts) AS us, ((epoch_us(ts) // 1000000) % 7200)::DOUBLE AS v FROM events
+), p AS (SELECT *, lag(v) OVER (PARTITION BY counter ORDER BY us, event_id) AS was FROM s
+), g AS (SELECT counter, event_id, us, v, CASE WHEN was IS NULL THEN 0 WHEN v >= was THEN v - was ELSE v END AS grown,
+  (us + 299999999) // 300000000 AS slot FROM p
+), e AS (SELECT counter, unnest(range(slot, slot + 12)) AS k, us, event_id, v, grown FROM g
+), r AS (SELECT *, row_number() OVER (PARTITION BY counter, k ORDER BY us, event_id) AS i FROM e
+), w AS (SELECT counter, k, count(*) AS n, max(us) AS last, min(us) AS first, max(CASE WHEN i = 1 THEN v END) AS start_v,
+  sum(CASE WHEN i > 1 THEN grown ELSE 0 END) AS increase FROM r GROUP BY counter, k HAVING count(*) > 1 AND max(us) > min(us)
+), m AS (SELECT counter, k, increase, start_v, (last - first) / 1e6 AS covered, (last - first) / 1e6 / (n - 1) AS apart,
+  (first - k * 300000000 + 3600000000) / 1e6 AS head, (k * 300000000 - last) / 1e6 AS tail FROM w
+), x AS (SELECT *, CASE WHEN head < 1.1 * apart THEN head ELSE apart / 2 END AS h, CASE WHEN tail < 1.1 * apart THEN tail ELSE apart / 2 END AS t FROM m)
+SELECT counter, (k * 300)::BIGINT AS at, round(increase * (covered + CASE WHEN increase > 0 THEN least(h, covered * start_v / increase) ELSE h END + t)
+  / covered / 3600, 6) AS rate FROM x""",
+)
+_LIKE = "lower({0}) LIKE replace(replace(replace(replace(lower({1}), '!', '!!'), '%', '!%'), '_', '!_'), '*', '%') ESCAPE '!'"
+oracle(
+    "policy_rule_table",
+    f"""WITH rules AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 2 = 0 THEN 'block' ELSE 'allow' END AS list,
+  CASE c_custkey % 4 WHEN 0 THEN 'tool_' || c_custkey || '*' WHEN 1 THEN 'TOOL_' || c_custkey WHEN 2 THEN '*_' || c_custkey
+    ELSE '*l_' || c_custkey || '*' END AS tool_glob,
+  CASE c_custkey % 3 WHEN 0 THEN '*' WHEN 1 THEN 'src' || c_custkey % 40 ELSE 'SRC' || c_custkey % 4 || '*' END AS server_glob FROM customer
+), met AS (SELECT doc_id, list, ord FROM documents JOIN rules ON {_LIKE.format("'tool_' || doc_id", "tool_glob")} AND {_LIKE.format("source", "server_glob")})
+SELECT d.doc_id AS tool_id, min(ord) FILTER (list = 'block') AS block_ord, min(ord) FILTER (list = 'allow') AS allow_ord,
+  CASE WHEN min(ord) FILTER (list = 'block') IS NOT NULL THEN 'block' WHEN min(ord) IS NOT NULL THEN 'allow' ELSE 'default' END AS action
+FROM documents d LEFT JOIN met m ON d.doc_id = m.doc_id GROUP BY d.doc_id""",
+)
+oracle("stream_session_state", _ORACLES["session_validity"])
+oracle(
+    "stream_closed_windows",
+    f"{_REQ} SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, method, count(*) AS requests FROM requests GROUP BY 1, 2",
+)
+oracle(
+    "stream_answers",
+    f"{_REQ} SELECT CASE WHEN method = 'other' THEN -1 - request_id ELSE request_id END AS request_id, user_id, "
+    "CASE WHEN method = 'other' THEN 'tools/call' ELSE method END AS method, method <> 'other' AS matched FROM requests",
+)
+oracle(
+    "stream_message_sinks",
+    f"SELECT 'catalog' AS sink, tool_id AS request_id, risk_level || ':' || risk_score || ':' || blocked AS said "
+    f"FROM ({SCAN} SELECT tool_id, risk_score, risk_level, blocked FROM scan) WHERE tool_id % 10 <> 0 "
+    f"UNION ALL SELECT 'response', -1000 * (response_id + 1) - item_pos, risk_level || ':' || sha256(content) "
+    f"FROM ({_RSCAN} SELECT response_id, item_pos, risk_level, {_REDACT} AS content FROM scanned) WHERE content <> '' "
+    "UNION ALL SELECT 'pass', doc_id, 'own' FROM documents WHERE doc_id % 10 = 0",
+)
 oracle("stream_enforce_catalog", _ORACLES["enforce_catalog"])
 oracle("stream_counters", _ORACLES["agg_detections_by_pattern"])
 oracle(

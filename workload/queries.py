@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from toolwarden import rules as R
 from toolwarden.functions.glob import matches_glob
+from toolwarden.operators import counters as CT
 from toolwarden.operators import detectors as D
 from toolwarden.operators import enforcement as E
 from toolwarden.operators import metrics as M
 from toolwarden.operators import policy as P
 from toolwarden.operators import responses as F_
+from toolwarden.operators import rule_tables as RT
 from toolwarden.operators import scoring as S
 from toolwarden.operators import sessions as SE
 from toolwarden.operators import verdicts as VD
@@ -25,6 +27,8 @@ from toolwarden.sources import metrics_text as MT
 from toolwarden.sources import reports as RP
 from toolwarden.sources.policy_config import Policy, policy_from_dict
 from toolwarden.streaming import jobs as J
+from toolwarden.streaming import messages as MS
+from toolwarden.streaming import state as ST
 from workload import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -823,6 +827,36 @@ def rate_scans_per_min(spark, sf_dir):
     )
 
 
+@query
+def counter_rates(spark, sf_dir):
+    """Rates of cumulative counters, one per kind of event, that are scraped at every event and start
+    again every two hours: growth an hour behind every fifth minute."""
+    samples = V.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("counter"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+    )
+    samples = samples.withColumn("value", (F.unix_seconds("ts") % 7200).cast("double"))
+    rates = CT.counter_rates(samples, ["counter"], "event_id", 3600, 300)
+    return rates.select("counter", F.unix_seconds("at").alias("at"), F.round("rate", 6).alias("rate"))
+
+
+@query
+def policy_rule_table(spark, sf_dir):
+    """First block and allow rules of every tool out of a table with a rule per customer."""
+    key = F.col("c_custkey")
+    text = key.cast("string")
+    rules = V.table(spark, sf_dir, "customer").select(
+        F.when(key % 2 == 0, "block").otherwise("allow").alias("list"), key.alias("ord"),
+        F.when(key % 4 == 0, F.concat(F.lit("tool_"), text, F.lit("*")))
+        .when(key % 4 == 1, F.concat(F.lit("TOOL_"), text))
+        .when(key % 4 == 2, F.concat(F.lit("*_"), text))
+        .otherwise(F.concat(F.lit("*l_"), text, F.lit("*"))).alias("tool_glob"),
+        F.when(key % 3 == 0, "*").when(key % 3 == 1, F.concat(F.lit("src"), (key % 40).cast("string")))
+        .otherwise(F.concat(F.lit("SRC"), (key % 4).cast("string"), F.lit("*"))).alias("server_glob"),
+    )
+    tools = V.catalog(spark, sf_dir).select("tool_id", "tool_name", "server_name")
+    return RT.with_first_rules(tools, rules).select("tool_id", "block_ord", "allow_ord", RT.list_action().alias("action"))
+
+
 # --- requests as events, and streams ----------------------------------------------------
 
 
@@ -858,8 +892,10 @@ def _stream(spark, sf_dir, name) -> DataFrame:
 
 
 def _text_stream(spark, sf_dir, name) -> DataFrame:
-    """A stream of texts, spread like its table."""
-    return _stream(spark, sf_dir, name).repartition(2 * spark.sparkContext.defaultParallelism)
+    """A stream of texts, spread like its table: only if its files have fewer parts than there are cores."""
+    stream, cores = _stream(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    few = V.table(spark, sf_dir, name).rdd.getNumPartitions() < cores
+    return stream.repartition(2 * cores) if few else stream
 
 
 def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:
@@ -977,5 +1013,114 @@ def stream_audit_sink(spark, sf_dir):
     )
 
 
+#: Micro-batches that the events are cut into, in the order of their arrival.
+ARRIVALS = 6
+
+
+def _arriving(spark, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """Rows with ``request_id, user_id, ts, method`` as files that arrive one after the other: up to a
+    quarter of an hour out of order, one in 50 a day late; at the end rows of a client of their
+    own (-1), so late that the watermark passes all others."""
+    path = fresh_path(spark, name)
+    delay = F.when(F.col("request_id") % 50 == 7, 86400).otherwise(F.abs(F.hash("request_id")) % 900)
+    rows = rows.withColumn("_at", F.unix_seconds("ts") + delay)
+    span = rows.agg(F.min("_at").alias("a"), F.max("_at").alias("b")).first()
+    width = ((span["b"] or 0) - (span["a"] or 0)) // ARRIVALS + 1
+    cut = F.least(F.floor((F.col("_at") - (span["a"] or 0)) / width), F.lit(ARRIVALS - 1)).cast("int")
+    rows = written(rows.withColumn("_part", cut).drop("_at"), f"{name}-rows")
+    for part in range(ARRIVALS):
+        rows.where(F.col("_part") == part).drop("_part").coalesce(1).write.parquet(f"{path}/part={part}")
+    for part in range(2):
+        end = rows.drop("_part").limit(0).select("request_id", "user_id", "ts", "method")
+        far = spark.range(1).select(
+            F.lit(-1 - part).cast("long").alias("request_id"), F.lit(-1).cast("long").alias("user_id"),
+            F.timestamp_seconds(F.lit((span["b"] or 0) + (part + 1) * 40 * 86400)).alias("ts"), F.lit("other").alias("method"),
+        )
+        end.unionByName(far).write.parquet(f"{path}/part={ARRIVALS + part}")
+    stream = spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 1)
+    return path, stream.parquet(f"{path}/part=*")
+
+
+@query
+def stream_session_state(spark, sf_dir):
+    """Session validity by keyed state over many small batches, late rows settled."""
+    path, checkpoint = fresh_path(spark, "session-state"), fresh_path(spark, "session-state-checkpoint")
+    requests = V.requests(spark, sf_dir).select("request_id", "user_id", "ts", "method")
+    _, arriving = _arriving(spark, requests, "session-arrivals")
+    ST.session_states(arriving, "user_id", path, checkpoint, lateness="20 minutes", salts=2)
+    judged = ST.session_results(spark, path).select(F.col("row").alias("request_id"), "valid")
+    return judged.where("request_id >= 0")
+
+
+@query
+def stream_closed_windows(spark, sf_dir):
+    """Requests per hour and method: windows closed by the watermark, and what came later."""
+    path, checkpoint = fresh_path(spark, "windows"), fresh_path(spark, "windows-checkpoint")
+    requests = V.requests(spark, sf_dir).select("request_id", "user_id", "ts", "method")
+    _, arriving = _arriving(spark, requests, "window-arrivals")
+    ST.closed_windows(arriving.where("user_id >= 0 OR user_id IS NULL OR request_id < 0"), path, checkpoint, "1 hour", lateness="20 minutes")
+    ends = F.col("window_start") <= F.lit(requests.agg(F.max("ts")).first()[0])
+    return ST.window_counts(spark, path).where(ends).select(
+        F.unix_seconds("window_start").alias("hour"), "method", (F.col("on_time") + F.col("late")).alias("requests")
+    )
+
+
+@query
+def stream_answers(spark, sf_dir):
+    """Two streams that meet: requests, and their answers 30 s later, each in its own order of arrival."""
+    path, checkpoint = fresh_path(spark, "answers"), fresh_path(spark, "answers-checkpoint")
+    requests = V.requests(spark, sf_dir).select("request_id", "user_id", "ts", "method")
+    _, asked = _arriving(spark, requests, "requests-arriving")
+    _, told = _arriving(spark, replies(requests), "answers-arriving")
+    pairs = ST.answered_within(asked, told, ["user_id"], "10 minutes", "2 days")
+    J.run_to_files(pairs, path, checkpoint)
+    met = ST.latest_request(spark.read.schema(pairs.schema).parquet(path), ["request_id", "user_id", "ts"])
+    return met.where("user_id >= 0 OR user_id IS NULL").select("request_id", "user_id", "method", "matched")
+
+
+def _messages(documents: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests and answers about all documents (listings; every tenth was not asked for) and all turns."""
+    start = 1704067200
+    listed = V.seed_catalog(documents).select(
+        F.col("tool_id").alias("request_id"), (F.col("tool_id") % 7).alias("user_id"),
+        F.timestamp_seconds(F.lit(start) + F.col("tool_id") % 3000).alias("ts"),
+        F.when(F.col("tool_id") % 10 == 0, "own").otherwise("tools/list").alias("asked"),
+        F.to_json(F.struct(F.col("tool_id").cast("string").alias("id"), F.struct(F.array(F.struct(F.col("tool_name").alias("name"), "description")).alias("tools")).alias("result"))).alias("value"),
+    )
+    called = V.seed_responses(conversations).select(
+        (F.lit(-1000) * (F.col("response_id") + 1) - F.col("item_pos")).alias("request_id"), (F.col("response_id") % 7).alias("user_id"),
+        F.timestamp_seconds(F.lit(start) + F.col("response_id") % 3000).alias("ts"), F.lit("tools/call").alias("asked"),
+        F.to_json(F.struct(F.col("response_id").cast("string").alias("id"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))).alias("content")).alias("result"))).alias("value"),
+    )
+    both = listed.unionByName(called)
+    requests = both.where("asked <> 'own'").select("request_id", "user_id", "ts", F.col("asked").alias("method"))
+    answers = both.select("request_id", "user_id", (F.col("ts") + F.expr("INTERVAL 5 SECONDS")).alias("ts"), F.lit("own").alias("method"), "value")
+    return requests, answers
+
+
+@query
+def stream_message_sinks(spark, sf_dir):
+    """Answers to listings, calls and others in one stream: each inspected by the request it
+    answers, three sinks with one commit a batch."""
+    path, checkpoint = fresh_path(spark, "messages"), fresh_path(spark, "messages-checkpoint")
+    requests, answers = _messages(*[_stream(spark, sf_dir, n) for n in ("documents", "conversations")])
+    # Messages of the year after let the watermark pass all others.
+    end = fresh_path(spark, "messages-end")
+    for days in (400, 401):
+        spark.range(1).select(F.timestamp_seconds(F.lit(1704067200 + days * 86400)).alias("ts")).coalesce(1).write.mode("append").parquet(end)
+    last = spark.readStream.schema("ts TIMESTAMP").option("maxFilesPerTrigger", 1).parquet(end).select(
+        F.lit(None).cast("long").alias("request_id"), F.lit(-1).cast("long").alias("user_id"), "ts", F.lit("own").alias("method")
+    )
+    MS.inspected_messages(
+        requests.unionByName(last), answers.unionByName(last.withColumn("value", F.lit(None).cast("string"))),
+        ["user_id"], path, checkpoint, evidence=False,
+    )
+    sinks = {name: MS.committed(spark, path, name) for name in (MS.CATALOG, MS.RESPONSE, MS.PASS)}
+    catalog = sinks[MS.CATALOG].select(F.lit(MS.CATALOG).alias("sink"), "request_id", F.concat_ws(":", "risk_level", F.col("risk_score").cast("string"), F.col("blocked").cast("string")).alias("said"))
+    response = sinks[MS.RESPONSE].select(F.lit(MS.RESPONSE).alias("sink"), "request_id", F.concat_ws(":", "risk_level", F.sha2("content", 256)).alias("said"))
+    passed = sinks[MS.PASS].where("user_id >= 0").select(F.lit(MS.PASS).alias("sink"), "request_id", "method")
+    return catalog.union(response).union(passed)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
