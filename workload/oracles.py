@@ -899,6 +899,19 @@ SELECT d.doc_id AS tool_id, min(ord) FILTER (list = 'block') AS block_ord, min(o
   CASE WHEN min(ord) FILTER (list = 'block') IS NOT NULL THEN 'block' WHEN min(ord) IS NOT NULL THEN 'allow' ELSE 'default' END AS action
 FROM documents d LEFT JOIN met m ON d.doc_id = m.doc_id GROUP BY d.doc_id""",
 )
+oracle(
+    "verdict_store",
+    """WITH RECURSIVE o AS (
+  SELECT doc_id % 6 AS b, sha256(coalesce(lang, 'unknown') || ':' || coalesce(text, '')) AS k, min(doc_id) AS first FROM documents GROUP BY 1, 2
+), l AS (SELECT b, list(k || ':' || b ORDER BY first, k) AS ks FROM o GROUP BY b
+), s AS (
+  SELECT -1::BIGINT AS b, []::VARCHAR[] AS held
+  UNION ALL
+  SELECT s.b + 1, list_slice(list_concat(s.held, list_filter(coalesce(l.ks, []), lambda x: NOT list_contains(list_transform(s.held, lambda h: left(h, 64)), left(x, 64)))), -300, NULL)
+  FROM s LEFT JOIN l ON l.b = s.b + 1 WHERE s.b < 5
+)
+SELECT left(x, 64) AS cache_key, substr(x, 66)::BIGINT AS batch FROM (SELECT unnest(held) AS x FROM s WHERE b = 5)""",
+)
 oracle("stream_session_state", _ORACLES["session_validity"])
 oracle(
     "stream_closed_windows",

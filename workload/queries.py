@@ -19,6 +19,7 @@ from toolwarden.operators import responses as F_
 from toolwarden.operators import rule_tables as RT
 from toolwarden.operators import scoring as S
 from toolwarden.operators import sessions as SE
+from toolwarden.operators import verdict_store as VST
 from toolwarden.operators import verdicts as VD
 from toolwarden.plans.workspace import fresh_path, written
 from toolwarden.sources import audit as AU
@@ -650,6 +651,27 @@ def verdict_retention(spark, sf_dir):
     return VD.retain(stored).select("cache_key")
 
 
+#: Verdicts that the store of the query keeps, and batches that come to it.
+STORE_CAPACITY, STORE_BATCHES = 300, 6
+
+
+@query
+def verdict_store(spark, sf_dir):
+    """What is stored after all documents came in batches: every text once while it is there, the
+    last ones by insertion."""
+    store = VST.VerdictStore(spark, fresh_path(spark, "verdict-store"), STORE_CAPACITY)
+    documents = V.table(spark, sf_dir, "documents")
+    offers = VD.with_key(
+        documents.select("doc_id", F.col("lang").alias("tool_name"), F.col("text").alias("description"))
+    ).select("doc_id", "cache_key")
+    offers = written(offers, "store-offers")
+    for batch in range(STORE_BATCHES):
+        new = offers.where(F.col("doc_id") % STORE_BATCHES == batch).groupBy("cache_key").agg(F.min("doc_id").alias("first_seen"))
+        new = VST.unknown_texts(store, new.withColumn("first_seen", F.col("first_seen") + batch * 10**12))
+        store.put(written(new, "store-new"), batch)
+    return store.rows().select("cache_key", F.floor(F.col("first_seen") / 10**12).alias("batch"))
+
+
 @query
 def det_semantic(spark, sf_dir):
     tools = VD.with_key(V.catalog(spark, sf_dir)).select("tool_id", "cache_key")
