@@ -156,15 +156,19 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 while to < len(texts) and (to == at or size + len(texts[to]) <= AT_ONCE):
                     size += len(texts[to])
                     to += 1
-                rows = []
-                for doc_id, found in zip(ids[at:to], encoder.encode(texts[at:to]), strict=True):
-                    n = len(found) + 1
-                    full, tail = divmod(n, WIDTH)
-                    raw = np.append(found, END_ID).astype("<u2").tobytes()
-                    rows.append((doc_id, part, n, full, before, tail, seen[tail], raw))
-                    seen[tail] += 1
-                    before += full
-                yield pa.RecordBatch.from_pylist([dict(zip(TOKENS.names, r, strict=True)) for r in rows], schema=ARROW)
+                found = encoder.encode(texts[at:to])
+                n = np.array([len(f) for f in found], np.int64) + 1
+                full, tail = np.divmod(n, WIDTH)
+                ranks = []
+                for t in tail.tolist():
+                    ranks.append(seen[t])
+                    seen[t] += 1
+                earlier = before + np.cumsum(full) - full
+                before += int(full.sum())
+                end = np.array([END_ID], "<u2").tobytes()
+                raw = [f.astype("<u2").tobytes() + end for f in found]
+                values = [ids[at:to], [part] * len(n), n, full, earlier, tail.astype(np.int32), ranks, raw]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, ARROW, strict=True)], schema=ARROW)
                 at = to
 
     ARROW = pa.schema([
@@ -232,7 +236,7 @@ def pack(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
             rows: dict[str, list] = {n: [] for n in names}
             size = 0
             for i in range(batch.num_rows):
-                ids = np.frombuffer(raw[i].as_py(), "<u2")
+                ids = np.frombuffer(raw[i].as_buffer(), "<u2").astype("<u4")
                 n, full = columns["n"][i], columns["full"][i]
                 base = columns["full_base"][i] + columns["full_before"][i]
                 pieces = [(k * WIDTH, WIDTH, base + k, 0, WIDTH) for k in range(full)]
@@ -243,8 +247,8 @@ def pack(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
                 for start, length, sequence, offset, window in pieces:
                     own = ids[start : start + length]
                     values = (
-                        columns["doc_id"][i], start, length, zlib.crc32(own.astype("<u4").tobytes()), n,
-                        sequence, offset, window, sequence % steps, own.astype(np.int32),
+                        columns["doc_id"][i], start, length, zlib.crc32(own), n,
+                        sequence, offset, window, sequence % steps, own,
                     )
                     for name, v in zip(names, values, strict=False):
                         rows[name].append(v)
@@ -259,5 +263,11 @@ def pack(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
 
 
 def _batch(rows: dict[str, list], names: list[str]) -> pa.RecordBatch:
-    types = {"window": pa.int32(), "ids": pa.list_(pa.int32())}
-    return pa.RecordBatch.from_arrays([pa.array(rows[n], types.get(n, pa.int64())) for n in names], names=list(names))
+    def column(name: str) -> pa.Array:
+        if name != "ids":
+            return pa.array(rows[name], pa.int32() if name == "window" else pa.int64())
+        ends = np.cumsum([0, *map(len, rows[name])]).astype(np.int32)
+        flat = np.concatenate(rows[name]) if rows[name] else np.zeros(0, np.uint32)
+        return pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int32)))
+
+    return pa.RecordBatch.from_arrays([column(n) for n in names], names=list(names))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+from collections import defaultdict
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, count
 from pathlib import Path
 
 import numpy as np
@@ -54,6 +55,22 @@ def ragged(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
     return flat[np.arange(len(shift)) + shift]
 
 
+class _Numbers(defaultdict):
+    """Words by number, the empty one 0; one that is asked for first gets the next number."""
+
+    def __init__(self):
+        super().__init__(count(1).__next__, {"": 0})
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The numbers of the words, and those that are new, in the order of their numbers."""
+        before = len(self)
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self) == before:
+            return numbers, []
+        highest = np.maximum.accumulate(np.concatenate([[before - 1], numbers]))
+        return numbers, [words[i] for i in np.flatnonzero(numbers > highest[:-1]).tolist()]
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, each new word encoded once.
 
@@ -76,63 +93,66 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, int] = {"": 0}
+        self.words = _Numbers()
         #: Parts of each word, letters and closing marks, by number; part 0 is empty.
         self.halves = np.zeros((1, 2), np.int64)
-        self.parts: dict[str, int] = {"": 0}
+        self.parts = _Numbers()
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _encode_parts(self, parts: list[str]) -> None:
+        """Ids of new parts, which have the numbers that follow, in this order."""
         plain = [p for p in parts if p.isalpha()]
-        other = [p for p in parts if not p.isalpha()]
         groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
-        flat, sizes, names = [], [], []
-        encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        flat, sizes, alone, at = [], [], [], 0
+        places = np.flatnonzero(np.fromiter(map(str.isalpha, parts), bool, len(parts)))
+        order, others = [], np.setdiff1d(np.arange(len(parts)), places, assume_unique=True).tolist()
+        encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, found in zip(groups, encoded, strict=True):
             ids = np.array(found.ids, np.int64)
             ends = np.flatnonzero(self.ending[ids]) + 1
+            here = places[at : at + len(group)]
+            at += len(group)
             if len(ends) != len(group):
-                other += group
+                others += here.tolist()
                 continue
             flat.append(ids)
             sizes.append(np.diff(ends, prepend=0))
-            names += group
-        for found in self.tokenizer.encode_batch(other, add_special_tokens=False) if other else ():
-            flat.append(np.array(found.ids, np.int64))
-            sizes.append(np.array([len(found.ids)], np.int64))
-        names += other
-        self.parts.update(zip(names, range(len(self.ends), len(self.ends) + len(names)), strict=True))
-        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(np.concatenate(sizes))])
-        self.flat = np.concatenate([self.flat, *flat]).astype(np.uint32)
+            order.append(here)
+        alone = self.tokenizer.encode_batch_fast([parts[i] for i in others], add_special_tokens=False) if others else []
+        flat += [np.array(found.ids, np.int64) for found in alone]
+        sizes.append(np.array([len(found.ids) for found in alone], np.int64))
+        order.append(np.array(others, np.int64))
+        # Back into the order of their numbers.
+        flat, sizes, order = np.concatenate(flat), np.concatenate(sizes), np.concatenate(order)
+        back = np.argsort(order)
+        flat = ragged(flat, np.cumsum(sizes), back)
+        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(sizes[back])])
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
 
     def _learn(self, words: list[str]) -> None:
-        closing, cores, tails = self.CLOSING, [], []
-        for w in words:
-            core = w.rstrip(closing)
+        closing, cores, tails = self.CLOSING, words.copy(), [""] * len(words)
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        for i in np.flatnonzero(~letters).tolist():
+            core = words[i].rstrip(closing)
             if core.isalpha() and "Σ" not in core:
-                cores.append(core.lower())
-                tails.append(w[len(core) :])
-            else:
-                cores.append(w)
-                tails.append("")
-        new = [p for p in {*cores, *tails} if p not in self.parts]
+                cores[i], tails[i] = core.lower(), words[i][len(core) :]
+        # Only this letter becomes another one by its place in the word.
+        plain = [i for i in np.flatnonzero(letters).tolist() if "Σ" not in words[i]]
+        for i, low in zip(plain, "\n".join([words[i] for i in plain]).lower().split("\n"), strict=False):
+            cores[i] = low
+        halves, new = self.parts.of(cores + tails)
         if new:
             self._encode_parts(new)
-        halves = np.empty((len(words), 2), np.int64)
-        halves[:, 0] = np.fromiter(map(self.parts.__getitem__, cores), np.int64, len(words))
-        halves[:, 1] = np.fromiter(map(self.parts.__getitem__, tails), np.int64, len(words))
-        self.words.update(zip(words, range(len(self.halves), len(self.halves) + len(words)), strict=True))
-        self.halves = np.concatenate([self.halves, halves])
+        self.halves = np.concatenate([self.halves, halves.reshape(2, -1).T])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > self.remembered:
             self._forget()
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = list(chain.from_iterable(split))
-        known = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        if (unknown := np.flatnonzero(known < 0)).size:
-            self._learn(list({words[i] for i in unknown.tolist()}))
-            known[unknown] = [self.words[words[i]] for i in unknown.tolist()]
+        known, new = self.words.of(words)
+        if new:
+            self._learn(new)
         parts = self.halves[known].ravel()
         sizes = (self.ends[parts] - np.concatenate([[0], self.ends[:-1]])[parts]).reshape(-1, 2).sum(axis=1)
         reached = np.concatenate([[0], np.cumsum(sizes)])
