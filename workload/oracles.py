@@ -234,6 +234,15 @@ oracle(
     f"{SCAN}, hit_rows AS (SELECT tool_id, unnest(hits) AS h FROM scan) "
     "SELECT tool_id, h.name AS pattern_name, left(h.evidence, 80) AS evidence FROM hit_rows",
 )
+# Fixed values of the detector over Arrow arrays: runs of 24 signs, more than 3.5 bits a sign, severity 45.
+oracle(
+    "det_arrow",
+    f"{SCAN}, found AS (SELECT tool_id, severities AS own, list_filter(regexp_extract_all(d, '[A-Za-z0-9_+/=-]{{24,}}'), "
+    "lambda r: list_aggregate(string_split(r, ''), 'entropy') > 3.5) AS runs FROM scan), "
+    "joined AS (SELECT tool_id, runs, CASE WHEN len(runs) > 0 THEN list_append(own, 45) ELSE own END AS severities FROM found) "
+    f"SELECT tool_id, {SCORE} AS risk_score, len(runs) > 0 AS matched, 45 AS severity, CASE WHEN len(runs) > 0 "
+    "THEN concat(len(runs), ' run(s), first of ', length(runs[1])) ELSE '' END AS evidence FROM joined",
+)
 oracle("risk_score", f"{SCAN} SELECT tool_id, risk_score FROM scan")
 oracle("risk_level", f"{SCAN} SELECT risk_level, count(*) AS tools FROM scan GROUP BY 1")
 oracle("block_decision", f"{SCAN} SELECT tool_id, risk_score >= 80 AS blocked FROM scan")
@@ -325,6 +334,12 @@ oracle(
     "count(*) AS total_tools_scanned, count_if(blocked)::BIGINT AS total_tools_blocked, "
     "sum(len(hits))::BIGINT AS detections FROM scan GROUP BY 1",
 )
+oracle(
+    "sink_audit_store",
+    f"{SCAN} SELECT strftime({_DAY}, '%Y-%m-%d') AS date, count(DISTINCT server_name) AS total_scans, "
+    "count(*) AS total_tools_scanned, count_if(blocked)::BIGINT AS total_tools_blocked, sum(len(hits))::BIGINT AS detections, "
+    "count(DISTINCT server_name) FILTER (CAST(substr(server_name, 4) AS INTEGER) % 2 = 0) AS with_identity FROM scan GROUP BY 1",
+)
 
 
 _BOUNDS = "(VALUES ('25', 25), ('50', 50), ('75', 75), ('100', 100), ('+Inf', 1000)) b(le, bound)"
@@ -602,6 +617,7 @@ oracle(
     "contains(description, 'Ignore all previous') AS bad FROM catalog) SELECT cache_key, bad AS malicious, "
     "CASE WHEN bad THEN 90 ELSE 95 END AS confidence, CASE WHEN bad THEN 85 ELSE 0 END AS severity FROM keyed",
 )
+oracle("verdict_score_log", f"SELECT *, CAST(1 AS BIGINT) AS calls FROM ({_ORACLES['verdict_score']})")
 oracle(
     "verdict_score_stored",
     f"{_CAT}, keyed AS (SELECT sha256(concat(tool_name, ':', description)) AS cache_key, tool_id, "
@@ -907,7 +923,7 @@ oracle(
 ), s AS (
   SELECT -1::BIGINT AS b, []::VARCHAR[] AS held
   UNION ALL
-  SELECT s.b + 1, list_slice(list_concat(s.held, list_filter(coalesce(l.ks, []), lambda x: NOT list_contains(list_transform(s.held, lambda h: left(h, 64)), left(x, 64)))), -300, NULL)
+  SELECT s.b + 1, (list_concat(s.held, list_filter(coalesce(l.ks, []), lambda x: NOT list_contains(list_transform(s.held, lambda h: left(h, 64)), left(x, 64)))))[-300:]
   FROM s LEFT JOIN l ON l.b = s.b + 1 WHERE s.b < 5
 )
 SELECT left(x, 64) AS cache_key, substr(x, 66)::BIGINT AS batch FROM (SELECT unnest(held) AS x FROM s WHERE b = 5)""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from toolwarden import rules as R
 from toolwarden.functions.glob import matches_glob
+from toolwarden.operators import arrow_detectors as AD
 from toolwarden.operators import counters as CT
 from toolwarden.operators import detectors as D
 from toolwarden.operators import enforcement as E
@@ -18,11 +19,13 @@ from toolwarden.operators import policy as P
 from toolwarden.operators import responses as F_
 from toolwarden.operators import rule_tables as RT
 from toolwarden.operators import scoring as S
+from toolwarden.operators import scoring_log as SL
 from toolwarden.operators import sessions as SE
 from toolwarden.operators import verdict_store as VST
 from toolwarden.operators import verdicts as VD
 from toolwarden.plans.workspace import fresh_path, written
 from toolwarden.sources import audit as AU
+from toolwarden.sources import audit_store as AS
 from toolwarden.sources import envelopes as EN
 from toolwarden.sources import metrics_text as MT
 from toolwarden.sources import reports as RP
@@ -208,6 +211,19 @@ def sink_audit_jsonl(spark, sf_dir):
     )
 
 
+@query
+def sink_audit_store(spark, sf_dir):
+    """Audit lines of all scans under one commit, written twice under the same batch: results by day, and their reports."""
+    path = fresh_path(spark, "audit-store")
+    lines = written(_audited(spark, sf_dir).drop("description"), "audited")
+    for _ in range(2):
+        AS.log_scan(lines, path, "scans", F.col("identity"))
+    results, reports = (AS.read_audit(spark, path, kind) for kind in (AU.RESULTS, AU.REPORTS))
+    history = AU.audit_history(results, reports)
+    known = reports.groupBy("date").agg(F.count("gateway_identity").alias("with_identity"))
+    return history.join(known, "date").withColumn("date", F.col("date").cast("string"))
+
+
 @query
 def src_audit_replay(spark, sf_dir):
     path = _audit_log(spark, sf_dir)
@@ -233,6 +249,14 @@ def sink_markdown_report(spark, sf_dir):
 # --- detectors -----------------------------------------------------------------
 
 
+@query
+def det_arrow(spark, sf_dir):
+    """A detector over Arrow arrays beside the native ones, and the score of all."""
+    detected = AD.with_all_detections(V.catalog(spark, sf_dir), {"Random Runs": AD.random_runs}, evidence=False)
+    detected = detected.withColumn("own", F.element_at("detections", -1))
+    return S.score_detections(detected).select("tool_id", "risk_score", "own.matched", "own.severity", "own.evidence")
+
+
 def _detector(name: str) -> Query:
     def run(spark, sf_dir):
         return D.detect(V.catalog(spark, sf_dir), name).select(
@@ -629,6 +653,19 @@ def verdict_score_stored(spark, sf_dir):
     return replies.select("cache_key", "malicious", "confidence", "severity")
 
 
+#: Tasks that ask the scorer, and texts that each has in a wave.
+SCORING_TASKS, SCORING_CHUNK = 8, 256
+
+
+@query
+def verdict_score_log(spark, sf_dir):
+    """Scoring in two runs over one log, the texts of even tools and then all: every text is asked for once."""
+    path, tools = fresh_path(spark, "scoring-log"), V.catalog(spark, sf_dir)
+    for some in (tools.where("tool_id % 2 = 0"), tools):
+        replies = SL.score_with_progress(VD.distinct_texts(some), _stub(), path, SCORING_TASKS, SCORING_CHUNK)
+    return VD.parse_replies(replies).select("cache_key", "malicious", "confidence", "severity", "calls")
+
+
 @query
 def verdict_parse(spark, sf_dir):
     return VD.parse_replies(verdict_replies(spark, sf_dir)).select(
