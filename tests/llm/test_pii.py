@@ -120,3 +120,52 @@ def test_rows(spark):
 def test_long_digit_runs_take_linear_time():
     assert pii.base_spans("1" * 300_000 + "@") == []
     assert pii.added_spans(["12 " * 30_000], [[]], pii.trained()) is not None
+
+
+SECRET = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [('token = "', '" with'), ('and token = "', '"### nicht### ene'), ('TOKEN = "', '"!! THE'), ("token=", " now"), ('the token: "', '", then'), ("secret: ", " here")],
+)
+def test_secrets_by_their_context(before, after):
+    text = f"some words {before}{SECRET}{after} and others"
+    assert found(text) == [("secret", SECRET)]
+    assert SECRET not in pii.redacted(text, pii.added_spans([text], [[]], pii.trained())[0])
+
+
+@pytest.mark.parametrize("text", [f"commit {SECRET} merged", f"sha {SECRET} seen", "token 12 of 400", "the key 7 of the list", "a password has 12 letters"])
+def test_hashes_and_plain_words_are_no_secrets(text):
+    assert found(text) == []
+
+
+def test_decode_against_all_label_sequences():
+    """Viterbi finds the best of all sequences of labels, counted out one by one."""
+    import itertools
+
+    import numpy as np
+
+    rng, n = np.random.default_rng(3), len(pii.LABELS)
+    model = pii.trained()
+    for tokens in (["a"], ["call", "99", "now"], ["token", "=", f'"{SECRET}"']):
+        emit = model.scores(tokens)
+        few = sorted(rng.choice(np.arange(1, n), 4, replace=False).tolist() + [0])  # labels of the count
+        labels = model.decode([tokens])[0].tolist()
+        few = sorted({*few, *labels})
+
+        def total(path):
+            return sum(emit[i, k] for i, k in enumerate(path)) + sum(model.move[a, b] for a, b in zip(path, path[1:]))
+
+        best = max(itertools.product(few, repeat=len(tokens)), key=total)
+        assert list(best) == labels and total(best) >= max(total((k,) * len(tokens)) for k in range(n))
+
+
+def test_the_field_adds_spans_on_the_given_documents(spark):
+    """Every planted secret of the table is found by the field, and documents without digits are left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    spans = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    planted = [(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)]
+    assert planted and all(f"secret:{a}:{b}" in spans[i].split(",") for i, a, b in planted)
+    assert all(not spans[i] for i, t in texts.items() if not re.search("[0-9@]", t))

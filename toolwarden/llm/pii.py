@@ -3,7 +3,8 @@
 Four base kinds come from fixed patterns (email, ip, card, phone).  The random
 field adds what the patterns miss: national telephone numbers without a plus
 sign, cards written with dots or dashes, social security numbers, bank account
-numbers and spelled-out addresses ("name at host dot com").  It is trained by
+numbers, spelled-out addresses ("name at host dot com") and secrets: long mixed values behind
+words such as token, key or password (the value alone is the span; hashes without such a word stay).  It is trained by
 gradient ascent on the likelihood of a small labelled table (:data:`SENTENCES`,
 filled with seeded digits), once per process, with the same result everywhere.
 
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 from .common import appended, carried, new_text, with_results
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("email", "card", "phone", "ssn", "iban")
-KINDS = (*BASE_KINDS, "ssn", "iban")
+ADDED_KINDS = ("email", "card", "phone", "ssn", "iban", "secret")
+KINDS = (*BASE_KINDS, "ssn", "iban", "secret")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -87,7 +88,8 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the labelled table ---------------------------------------------------------------------------------
 
-#: {kind:pattern}: a labelled span; 9 stands for a digit.  Unmarked digits are outside.
+#: {kind:pattern}: a labelled span; 9 stands for a digit, § for a hexadecimal one, ¤ for a letter or a digit.
+#: Unmarked digits are outside.
 SENTENCES = (
     "call me at {phone:(999) 999-9999} before noon", "tel {phone:999-999-9999} or write", "phone: {phone:999.999.9999}",
     "mobile {phone:0999 9999999} today", "ring {phone:099 99 99 99 99} please", "tél {phone:09 99 99 99 99} merci",
@@ -107,16 +109,23 @@ SENTENCES = (
     "version 9.9 of the tool", "pages 99-999 of volume 9", "it costs 999.99 dollars", "about 99,999 people came", "see section 9.9.9 for 99 cases",
     "between 9999 and 9999 they grew", "item 99999 of 99999", "order 999999999 shipped", "the 9999-9999 season was", "score 9-9 after 99 minutes",
     "license version 9 of the", "Apache License, Version 9.9.", "GNU General Public License, version 9", "id 9999999999999 stored", "the year 9999.",
-    "password=9a9aa9999aa9aa9999 and", "token = 9999aa99aa9999aa9999 with", "key AKIAAAAA99A99A9AAAA found", "sha 99aa99aa99aa seen", "room 999 on floor 9",
+    'token = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"} with', 'the token = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"} and', 'der token = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"} und',
+    "token={secret:§§§§§§§§§§§§§§§§§§§§§§§§} in the", "token: {secret:¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤} la", 'password = {secret:"¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤"} and', "password={secret:¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤} now",
+    "key {secret:AKIA¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤} found", 'key = {secret:"¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤"} de', "secret: {secret:¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤} here", 'secret = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"} le',
+    'und$$$ token = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"###} die###', 'les&&& token = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"***} et', 'the!! token = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"###} of%%%', 'que token = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"!!} el',
+    'les&&& token = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"###} aaaa.99@aaaa9.aaaaaaa.aaa### the', 'call +9 999 999 9999 token = {secret:"§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§"} on 99.99.99.99 now',
+    "sha §§§§§§§§§§§§ seen", "commit §§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§ merged", "md5 §§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§§ of the file", "file §§§§§§§§§§§§§§§§§§§§§§§§.txt removed", "room 999 on floor 9",
+    "token 99 of 999", "key 9 of the list", "password has 99 letters", "secret 9 of 9",
     "99% of 999 samples", "a 9 b 99 c 999", "chapter 9, verse 99", "build 9999.99.99 failed", "port 9999 on host 99", "lat 99.9999 lon -99.9999",
     "the and of that was", "look at the dot com era", "meet at noon", "der die das und nicht", "la de que el en", "le la les des et",
 )
 COPIES = 6
+_DRAWN = {"9": "0123456789", "§": "0123456789abcdef", "¤": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
 _SLOT = re.compile(r"\{(\w+):([^}]*)\}")
 LABELS = ("O", *(f"{p}-{k}" for k in ADDED_KINDS for p in "BI"))
 CUES = frozenset(
     "call tel phone telefon tél fax mobile ring number contact reach card visa ssn social security iban account konto mail email write at dot "
-    "com org net version section pages page order item id token password key license in on year [at] [dot]".split()
+    "com org net version section pages page order item id token password key secret commit sha md5 license in on year [at] [dot]".split()
 )
 
 _TOKEN = re.compile(r"[^\s]+")
@@ -134,6 +143,15 @@ AT_ONCE = 1 << 16
 _TRAIL = ".,;:!?\"'”»"
 
 
+#: Letters and digits in turn, three times.
+_SWITCH = re.compile(r"(?:[a-z]+[0-9]+){3}|(?:[0-9]+[a-z]+){3}", re.I)
+
+
+def _value(token: str) -> str:
+    """The longest run of letters and digits behind the last sign of assignment."""
+    return max(re.findall(r"[^\W_]+", re.split("[=:]", token)[-1]), key=len, default="")
+
+
 def shape(token: str) -> str:
     """Digits as 9, letters as a or A; long runs of letters are cut."""
     s = _DIGIT.sub("9", token)
@@ -149,8 +167,12 @@ def _names(tokens: list[str]) -> list[list[str]]:
     for i, s in enumerate(shapes):
         digits = s.count("9")
         found = [f"s={s}", f"d={min(digits, 20)}", f"k={re.sub(r'(.)\1+', r'\1', s)}", "1"]
-        if lows[i] in CUES:
-            found.append(f"w={lows[i]}")
+        if digits >= 2 and len(value := _value(lows[i])) >= 12 and _SWITCH.search(value):
+            found.append("mixed")
+            if before := lows[i].partition(value)[0].rstrip("=:" + _TRAIL):
+                found.append(f"mixed={before[-12:]}")
+        if lows[i] in CUES or lows[i].rstrip("=:") in CUES:
+            found.append(f"w={lows[i].rstrip('=:')}")
         for step in (-2, -1, 1, 2):
             j = i + step
             near = shapes[j] if 0 <= j < len(shapes) else "#"
@@ -167,7 +189,7 @@ def labelled_table(sentences: tuple[str, ...] = SENTENCES, seed: int = 11) -> li
     rng = np.random.default_rng(seed)
 
     def drawn(s: str) -> str:
-        return re.sub("9", lambda _: str(rng.integers(10)), s)
+        return re.sub("[9§¤]", lambda m: _DRAWN[m[0]][rng.integers(len(_DRAWN[m[0]]))], s)
 
     rows = []
     for _ in range(COPIES):
@@ -328,6 +350,7 @@ _VALID = {
     "card": lambda s: 13 <= len(d := _DIGITS.sub("", s)) <= 19 and luhn(d),
     "phone": lambda s: 7 <= len(_DIGITS.sub("", s)) <= 15 and not re.search(r"[^\W\d_]|%|=", s),
     "ssn": lambda s: len(_DIGITS.sub("", s)) == 9,
+    "secret": lambda s: len(s) >= 12 and s.isalnum() and bool(re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)),
     "iban": lambda s: bool(re.match(r"[A-Za-z]{2}\d{2}", s)) and 14 <= len(re.sub(r"\s", "", s)) <= 34,
 }
 
@@ -350,6 +373,10 @@ def added_spans(texts: list[str], taken: list[list[Span]], model: Field) -> list
             a, b = s[t][0], s[end - 1][1]
             while b > a and texts[i][b - 1] in _TRAIL:
                 b -= 1
+            if kind == "secret":  # the value alone
+                value = _value(texts[i][a:b])
+                a = a + texts[i][a:b].rindex(value) if value else b
+                b = a + len(value)
             free = all(b <= x or a >= y for _, x, y in [*taken[i], *out[i]])
             if b > a and free and _VALID[kind](texts[i][a:b]):
                 out[i].append((kind, a, b))
