@@ -12,13 +12,17 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset, as in tests, a folder in the session's warehouse, which
-    the driver and all executors reach as well.  Work tables stay until their
-    owner removes the folder."""
+    Where it is unset, as in tests, a folder in the session's warehouse; on a cluster
+    only if that lies on a shared file system, as the executors do not see the
+    driver's own folders.  Work tables stay until their owner removes the folder."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/toolwarden_work"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    own = "://" not in warehouse or warehouse.startswith("file:")
+    if own and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
+    return f"{warehouse}/toolwarden_work"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
