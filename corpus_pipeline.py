@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept,
 and is written as Parquet and read again; all but the last return the columns of
-``documents``.
+``documents``, others that came with them included.
+
+Defined results: a NULL or empty text fails the base rule of words and goes with the
+first stage; repeated rows and copies are one group, of which the row with the
+smallest ``doc_id`` stays; rows without a ``doc_id`` belong to no group and stay, packed under
+NULL; texts are cleaned, judged, searched and packed whole, whatever their length; columns
+named like a stage's results keep their own values; an empty table gives no pieces.
 """
 
 from __future__ import annotations
