@@ -4,8 +4,9 @@
 rebalanced by size, so a day has one file of lines a write, and more only where its lines
 exceed the advisory size of a partition.  Files lie under ``<kind>/write=<id>/date=<day>/``; nobody
 reads a write before its manifest is there.  The commit removes what failed or repeated tasks have
-left, then makes the manifest appear by a rename; an abort removes all files of the write.  A
-manifest is named after the batch, so a batch that is written again adds nothing.
+left, then makes the manifest appear by a rename.  An abort removes all files of the write and marks
+it, so that what its tasks wrote while they were being stopped goes with the next commit or
+abort.  A manifest is named after the batch, so a batch that is written again adds nothing.
 
 ``write`` and ``date`` are partition columns: a reader's filter on committed writes and on days
 prunes folders.  Paths are those that ``pyarrow.fs`` knows (shared mounts, ``hdfs://``, ``s3://``,
@@ -36,6 +37,8 @@ from toolwarden.sources.audit import REPORTS, RESULTS, audit_reports, audit_resu
 FORMAT = "audit_lines"
 COMMITS = "_commits"
 LINES = "kind STRING, date DATE, line STRING"
+#: Marks of aborted writes among the manifests, which readers pass over.
+_ABORTED = ".aborted-"
 #: The folder of rows without a day, as Spark names it.
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
@@ -81,35 +84,49 @@ class AuditWriter(DataSourceArrowWriter):
                 out.close()
         return Files(names)
 
-    def _remove(self, system: fs.FileSystem, root: str, kept: set[str]) -> None:
+    @staticmethod
+    def _remove(system: fs.FileSystem, root: str, write: str, kept: set[str]) -> bool:
+        """Remove the files of a write that are not kept; whether there were any."""
+        some = False
         for kind in (REPORTS, RESULTS):
-            folder = f"{root}/{kind}/write={self.id}"
+            folder = f"{root}/{kind}/write={write}"
             found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True))
-            if not kept:
-                if found:
-                    system.delete_dir(folder)
+            lost = [i.path for i in found if i.is_file and i.path.removeprefix(root).lstrip("/") not in kept]
+            some = some or bool(lost)
+            if not kept and found:
+                system.delete_dir(folder)
                 continue
-            for info in found:
-                if info.is_file and info.path.removeprefix(root).lstrip("/") not in kept:
-                    system.delete_file(info.path)
+            for path in lost:
+                system.delete_file(path)
+        return some
+
+    def _sweep(self, system: fs.FileSystem, root: str) -> None:
+        """Remove what aborted writes have left; a mark goes when nothing was left."""
+        for info in system.get_file_info(fs.FileSelector(f"{root}/{COMMITS}", allow_not_found=True)):
+            if info.base_name.startswith(_ABORTED) and not self._remove(system, root, info.base_name.removeprefix(_ABORTED), set()):
+                system.delete_file(info.path)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = self._root()
         manifest = f"{root}/{COMMITS}/{self.batch}.json"
         if system.get_file_info(manifest).type != fs.FileType.NotFound:
-            self._remove(system, root, set())
+            self._remove(system, root, self.id, set())
             return
         names = {name for message in messages if message is not None for name in message.names}
-        self._remove(system, root, names)
+        self._remove(system, root, self.id, names)
         system.create_dir(f"{root}/{COMMITS}", recursive=True)
         waiting = f"{root}/{COMMITS}/.{self.id}"
         with system.open_output_stream(waiting) as out:
             out.write(json.dumps({"batch": self.batch, "write": self.id, "files": len(names)}).encode())
         system.move(waiting, manifest)
+        self._sweep(system, root)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = self._root()
-        self._remove(system, root, set())
+        self._sweep(system, root)
+        system.create_dir(f"{root}/{COMMITS}", recursive=True)
+        system.open_output_stream(f"{root}/{COMMITS}/{_ABORTED}{self.id}").close()
+        self._remove(system, root, self.id, set())
 
 
 class AuditLines(DataSource):
