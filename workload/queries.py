@@ -944,10 +944,10 @@ def session_validity(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name) -> DataFrame:
+    """A stream of a table that is one file or a folder of files.  A file stream starts from a
+    folder or from a pattern; the braces make the table's own path a pattern, which names both."""
     schema = V.table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
 
 
 def _text_stream(spark, sf_dir, name) -> DataFrame:
