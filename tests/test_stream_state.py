@@ -145,3 +145,21 @@ def test_answers_and_requests_of_two_streams(spark, tmp_path):
     assert got == want and 10 < sum(m for _, m in got.values()) < 190
     sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert len(sizes) >= 5 and sizes[-1] < 20 and max(sizes) < 300
+
+
+def test_few_partitions_and_files(spark, tmp_path):
+    """What a small batch costs follows the cores and the log's buckets, not the session's shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        rows = arriving(random.Random(5), 300, 300, 0.04)
+        got = judged(spark, rows + sentinel(), tmp_path, 2, [0, 150, 302])
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {i: v for i, (v, _) in got.items()} == replay(rows)
+    states = [p for p in (tmp_path / "cp" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(states) <= 2 * spark.sparkContext.defaultParallelism
+    for batch in (tmp_path / "out" / "judged").glob("batch_id=*"):
+        for bucket in batch.glob("late=*/bucket=*"):
+            assert len(list(bucket.glob("*.parquet"))) <= ST.LOG_PIECES

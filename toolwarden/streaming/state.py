@@ -25,20 +25,31 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Folders by hash of the session, so that settling late rows reads the touched ones only.
 LOG_BUCKETS = 32
+#: Files at most of a batch's bucket, so that a session with a third of all rows is no single task.
+LOG_PIECES = 4
+_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 @contextmanager
 def keyed_state(spark: SparkSession):
-    """The state store that keyed state and timers need, for queries started inside."""
-    before = spark.conf.get(_PROVIDER, None)
+    """The state store that keyed state and timers need, for queries started inside, with at most
+    two partitions per core.
+
+    Every batch opens and commits the store of every partition, however few rows it has, and
+    nothing merges small partitions of a stream with state.  A checkpoint keeps the number of
+    partitions that it began with."""
+    before = {key: spark.conf.get(key, None) for key in (_PROVIDER, _PARTITIONS)}
+    cores = spark.sparkContext.defaultParallelism
     spark.conf.set(_PROVIDER, _ROCKSDB)
+    spark.conf.set(_PARTITIONS, min(int(spark.conf.get(_PARTITIONS)), 2 * cores))
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def _timed(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
@@ -181,7 +192,10 @@ def session_states(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         here = f"{path}/judged/batch_id={batch_id}"
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("late", "bucket").parquet(here)
+        # A few files a bucket: as they come from the state, every task would write to every bucket.
+        piece = F.pmod(F.xxhash64("row"), F.lit(LOG_PIECES))
+        dealt = batch.withColumn("bucket", bucket).repartition("late", "bucket", piece)
+        dealt.write.mode("overwrite").partitionBy("late", "bucket").parquet(here)
         schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType())])
         late = spark.read.schema(schema).parquet(here).where(F.col("late")).select("session", "bucket").distinct()
         buckets = [r["bucket"] for r in late.select("bucket").distinct().collect()]
