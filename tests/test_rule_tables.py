@@ -80,3 +80,20 @@ def test_cost_follows_candidates(spark):
     assert row["TOOL_1234"] == (12, 123) and len(row) == 2000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation" not in plan
+
+
+def test_common_servers_and_long_literals(spark):
+    """Rules of few servers, and literals inside globs that begin alike: a name still meets few of them."""
+    rules = spark.range(40_000).selectExpr(
+        "'block' AS list", "CAST(id AS INT) AS ord",
+        "CASE id % 2 WHEN 0 THEN concat('tool_', id, '*') ELSE concat('*l_', 1000000 + id, '*') END AS tool_glob",
+        "CASE id % 4 WHEN 0 THEN 'src1' WHEN 1 THEN 'SRC*' ELSE '*' END AS server_glob",
+    )
+    names = spark.range(300).selectExpr("concat('tool_', IF(id % 2 = 0, id, 1000000 + id)) AS tool_name", "'src1' AS server_name")
+    pairs = names.selectExpr("tool_name AS pair", "tool_name AS tool", "server_name AS server")
+    indexed = RT.indexed_rules(rules)
+    assert indexed.where("side = 'server'").count() == 0
+    assert indexed.groupBy("side", "how", "key").count().agg({"count": "max"}).first()[0] == 1
+    found = {r.tool_name: r.block_ord for r in RT.with_first_rules(names, rules).collect()}
+    assert len(found) == 300 and found["tool_124"] == 12 and found["tool_1000007"] == 7
+    assert RT.rule_candidates(pairs, indexed).count() < 2_000

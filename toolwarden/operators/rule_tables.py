@@ -1,7 +1,8 @@
 """List rules from a table, of any number, met by an index of their literals.
 
 A rule has a glob for the tool and one for the server.  Most globs begin or end with a literal,
-or hold one; the rule is posted under that literal, of the side whose literal says more.  A pair
+or hold one; the rule is posted under that literal, of the side whose literal fewer rules have (a
+server that many rules name tells little of them), or else of the one that says more.  A pair
 of names looks up the literals it begins with, ends with or holds, of the lengths that occur in
 rules, by an equality join; only the rules it meets there are compared with ``LIKE``.  So nothing
 of the rules passes the driver but which lengths occur, and a pair costs its candidates, not the rules.
@@ -16,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from toolwarden.plans.workspace import written
+
 #: Code points of a literal that rules are posted under; of a literal inside a glob.
-LONGEST, INSIDE = 24, 6
+LONGEST, INSIDE = 24, 12
 #: How a literal stands in a glob.
 WHOLE, BEGINS, ENDS, HOLDS, NOTHING = "whole", "begins", "ends", "holds", "nothing"
 
@@ -47,6 +50,13 @@ def like_pattern(glob: Column) -> Column:
     return F.replace(glob, F.lit("*"), F.lit("%"))
 
 
+def _sharing(posted: DataFrame) -> DataFrame:
+    """``side, how, key, n``: how many rules could be posted under each literal."""
+    sides = [F.struct(F.lit(side).alias("side"), F.col(f"{at}.how").alias("how"), F.col(f"{at}.key").alias("key")) for side, at in (("tool", "pt"), ("server", "ps"))]
+    literals = posted.select(F.inline(F.array(*sides))).where(F.col("how") != NOTHING)
+    return literals.groupBy("side", "how", "key").agg(F.count("*").alias("n"))
+
+
 def indexed_rules(rules: DataFrame) -> DataFrame:
     """``list, ord, tool_like, server_like, side, how, size, key`` of ``list, ord, tool_glob, server_glob``."""
     lower = rules.select(
@@ -54,7 +64,14 @@ def indexed_rules(rules: DataFrame) -> DataFrame:
     )
     once = lower.groupBy("list", "t", "s").agg(F.min("ord").alias("ord"))
     posted = once.select("*", _posting(F.col("t")).alias("pt"), _posting(F.col("s")).alias("ps"))
-    tool = F.col("pt.weight") >= F.col("ps.weight")
+    sharing = _sharing(posted)
+    for side, at in (("tool", "pt"), ("server", "ps")):
+        n = sharing.where(F.col("side") == side).select(F.col("how").alias("_how"), F.col("key").alias("_key"), F.col("n").alias(f"{at}_n"))
+        posted = posted.join(n, (F.col(f"{at}.how") == F.col("_how")) & (F.col(f"{at}.key") == F.col("_key")), "left").drop("_how", "_key")
+    # A side without a literal is met by every pair: it counts as shared by all rules.
+    many = F.lit(2**62)
+    tool_n, server_n = F.coalesce("pt_n", many), F.coalesce("ps_n", many)
+    tool = (tool_n < server_n) | ((tool_n == server_n) & (F.col("pt.weight") >= F.col("ps.weight")))
     best = F.when(tool, F.col("pt")).otherwise(F.col("ps"))
     return posted.select(
         "list", "ord", like_pattern(F.col("t")).alias("tool_like"), like_pattern(F.col("s")).alias("server_like"),
@@ -110,7 +127,7 @@ def with_first_rules(tools: DataFrame, rules: DataFrame, lists: tuple[str, ...]
     key = F.sha2(F.concat(name, F.lit("\x00"), F.coalesce(server, F.lit("\x01"))), 256)
     keyed = tools.withColumn("_pair", key)
     pairs = keyed.select(F.col("_pair").alias("pair"), name.alias("tool"), server.alias("server")).dropDuplicates(["pair"])
-    matched = rule_candidates(pairs, indexed_rules(rules))
+    matched = rule_candidates(pairs, written(indexed_rules(rules), "rule-index"))
     first = matched.groupBy("pair").agg(*[F.min(F.when(F.col("list") == kind, F.col("ord"))).alias(f"{kind}_ord") for kind in lists])
     return keyed.join(first, F.col("_pair") == F.col("pair"), "left").drop("_pair", "pair")
 
