@@ -111,6 +111,21 @@ def test_restart_between_waves(spark, tmp_path):
     assert got.count() == 60 and got.agg(F.max("calls")).first()[0] == 1 and SL.open_waves(spark, log) == []
 
 
+def test_wave_reads_its_own_texts_only(spark, tmp_path):
+    """The files that a wave's job reads are those of its claim, dealt over all tasks (before: the claims of all waves)."""
+    log, folder, read = str(tmp_path / "log"), tmp_path / "calls", []
+    folder.mkdir()
+
+    def watched(spark, path, number, sinks):
+        files = sinks[SL.REPLIES].inputFiles()
+        read.append((number, {f.split("/wave=")[1].split("/")[0] for f in files}, sinks[SL.REPLIES].rdd.getNumPartitions()))
+        commit_batch(spark, path, number, sinks)
+
+    SL.score_with_progress(texts(spark, 60), counting(folder), log, tasks=2, chunk=10, commit=watched)
+    assert read == [(n, {str(n)}, 2) for n in range(3)]
+    assert calls(folder) == {f"k{i}": 1 for i in range(60)}
+
+
 def test_empty(spark, tmp_path):
     log = str(tmp_path / "log")
     assert SL.score_with_progress(texts(spark, 1).limit(0), counting(tmp_path), log).isEmpty()

@@ -2,10 +2,12 @@
 
 A call of the scorer costs far more than anything Spark does with its answer, so no answer may be
 lost to what happens to others.  The texts to score are claimed first: written once, in waves
-of about ``tasks * chunk`` texts by the hash of their key.  A wave is scored by ``tasks`` tasks and
-committed by a manifest of its own before the next one begins.  After an interruption the waves
-that were claimed and have no manifest come first, and no text of a committed wave is sent again;
-a lost executor costs the calls of one wave's task at most.
+of about ``tasks * chunk`` texts by the hash of their key, each a folder of its own that lies dealt
+for its tasks.  So a wave reads its own texts only, however many waves there are, and moves none
+unless Spark reads the folder as fewer parts.  It is scored by ``tasks`` tasks and committed by a
+manifest of its own before the next one begins.  After an interruption the waves that were claimed
+and have no manifest come first, and no text of a committed wave is sent again; a lost executor
+costs the calls of one wave's task at most.
 
 Within a task a scorer that raises, or answers with NULL, costs nobody else a call: answers that
 were given stay, and texts that were handed over and not answered come again at the end, up to
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 from toolwarden.operators.verdicts import Scorer
 from toolwarden.plans.skew import anti_join_keys
 from toolwarden.plans.workspace import written
-from toolwarden.streaming.messages import commit_batch, committed, is_committed
+from toolwarden.streaming.messages import commit_batch, committed, committed_folders, partitions_of
 
 CLAIMS, REPLIES = "claims", "replies"
 #: Waves of a run have numbers of their own below this.
 _WAVES = 10**7
+_CLAIM = "cache_key STRING, tool_name STRING, description STRING"
 
 
 class TokenBucket:
@@ -94,11 +97,10 @@ def _scored(texts: DataFrame, scorer: Scorer, tasks: int, calls_per_second: floa
         for batch in batches:
             yield ask(batch, scorer, bucket, attempts, pause)
 
-    dealt = texts.select("cache_key", "tool_name", "description").repartition(tasks)
-    return dealt.mapInPandas(run, "cache_key STRING, reply STRING, calls INT")
+    return texts.select("cache_key", "tool_name", "description").mapInPandas(run, "cache_key STRING, reply STRING, calls INT")
 
 
-def claim(texts: DataFrame, path: str, per_wave: int) -> int:
+def claim(texts: DataFrame, path: str, tasks: int, chunk: int) -> int:
     """Write the texts that have no answer yet as waves of the next run; the number of them."""
     spark = texts.sparkSession
     new = texts.select("cache_key", "tool_name", "description")
@@ -108,24 +110,32 @@ def claim(texts: DataFrame, path: str, per_wave: int) -> int:
     new = written(new, "texts-to-score")
     n = new.count()
     if n:
-        before = committed(spark, f"{path}/{CLAIMS}", CLAIMS)
-        run = 0 if before is None else before.agg(F.max("run")).first()[0] + 1
-        waves = math.ceil(n / per_wave)
+        run = max(committed_folders(spark, f"{path}/{CLAIMS}", CLAIMS), default=-1) + 1
+        waves = math.ceil(n / (tasks * chunk))
         wave = F.pmod(F.xxhash64("cache_key"), F.lit(waves)).cast("int")
-        rows = new.select("*", F.lit(run).alias("run"), wave.alias("wave"))
-        # A wave lies in one file, sorted, so that reading it touches few row groups.
-        dealt = rows.repartition(min(waves, new.rdd.getNumPartitions()), "wave").sortWithinPartitions("wave")
-        commit_batch(spark, f"{path}/{CLAIMS}", run, {CLAIMS: dealt})
+        slot = F.pmod(F.xxhash64("cache_key", F.lit("slot")), F.lit(tasks)).cast("int")
+        rows = new.select("*", wave.alias("wave"), slot.alias("slot"))
+        dealt = rows.repartition(min(waves, new.rdd.getNumPartitions()), "wave")
+        commit_batch(spark, f"{path}/{CLAIMS}", run, {CLAIMS: dealt}, partition_by=("wave", "slot"))
     return n
 
 
+def _claimed(spark: SparkSession, path: str) -> dict[tuple[int, int], str]:
+    """The folder of every run and wave that was claimed, in order."""
+    runs = committed_folders(spark, f"{path}/{CLAIMS}", CLAIMS)
+    waves = [(run, int(wave)) for run, folder in runs.items() for wave in partitions_of(spark, folder, "wave")]
+    return {(run, wave): f"{runs[run]}/wave={wave}" for run, wave in sorted(waves)}
+
+
+def _open(spark: SparkSession, path: str) -> dict[tuple[int, int], str]:
+    replies_path, claimed = f"{path}/{REPLIES}", _claimed(spark, path)
+    done = committed_folders(spark, replies_path, REPLIES) if claimed else {}
+    return {w: folder for w, folder in claimed.items() if w[0] * _WAVES + w[1] not in done}
+
+
 def open_waves(spark: SparkSession, path: str) -> list[tuple[int, int]]:
     """Run and wave of all that is claimed and not committed, in order."""
-    claims = committed(spark, f"{path}/{CLAIMS}", CLAIMS)
-    if claims is None:
-        return []
-    waves = sorted((r["run"], r["wave"]) for r in claims.select("run", "wave").distinct().collect())
-    return [w for w in waves if not is_committed(spark, f"{path}/{REPLIES}", w[0] * _WAVES + w[1])]
+    return list(_open(spark, path))
 
 
 def score_with_progress(
@@ -137,14 +147,15 @@ def score_with_progress(
     spark = texts.sparkSession
 
     def finish() -> None:
-        claims = committed(spark, f"{path}/{CLAIMS}", CLAIMS)
-        for run, wave in open_waves(spark, path):
-            rows = claims.where((F.col("run") == run) & (F.col("wave") == wave))
-            scored = _scored(rows, scorer, tasks, calls_per_second, attempts, pause)
+        for (run, wave), folder in _open(spark, path).items():
+            rows = spark.read.schema(_CLAIM).parquet(folder)
+            parts = rows.rdd.getNumPartitions()
+            dealt = rows if parts == tasks else rows.coalesce(tasks) if parts > tasks else rows.repartition(tasks)
+            scored = _scored(dealt, scorer, tasks, calls_per_second, attempts, pause)
             commit(spark, f"{path}/{REPLIES}", run * _WAVES + wave, {REPLIES: scored})
 
     finish()
-    if claim(texts, path, tasks * chunk):
+    if claim(texts, path, tasks, chunk):
         finish()
     return replies(spark, path)
 

@@ -42,7 +42,9 @@ def is_committed(spark: SparkSession, path: str, batch_id: int) -> bool:
     return system.exists(to(_manifest(path, batch_id)))
 
 
-def commit_batch(spark: SparkSession, path: str, batch_id: int, sinks: dict[str, DataFrame]) -> None:
+def commit_batch(
+    spark: SparkSession, path: str, batch_id: int, sinks: dict[str, DataFrame], partition_by: tuple[str, ...] = ()
+) -> None:
     """Write all sinks of a batch, then its manifest, which appears whole or not at all."""
     if is_committed(spark, path, batch_id):
         return
@@ -50,7 +52,7 @@ def commit_batch(spark: SparkSession, path: str, batch_id: int, sinks: dict[str,
     folders = {}
     for name, rows in sinks.items():
         folders[name] = f"{name}/{batch_id:012d}-{attempt}"
-        rows.write.parquet(f"{path}/{folders[name]}")
+        rows.write.partitionBy(*partition_by).parquet(f"{path}/{folders[name]}")
     system, to = _file_system(spark, path)
     waiting = to(f"{path}/_manifests/.{batch_id:012d}-{attempt}")
     out = system.create(waiting, True)
@@ -60,16 +62,27 @@ def commit_batch(spark: SparkSession, path: str, batch_id: int, sinks: dict[str,
         raise OSError(f"could not commit batch {batch_id} below {path}")
 
 
-def committed(spark: SparkSession, path: str, sink: str) -> DataFrame | None:
-    """All rows of a sink in committed batches; None before the first."""
+def committed_folders(spark: SparkSession, path: str, sink: str) -> dict[int, str]:
+    """The folder of a sink in each committed batch."""
     system, to = _file_system(spark, path)
     if not system.exists(to(f"{path}/_manifests")):
-        return None
+        return {}
     manifests = spark.read.schema("batch_id BIGINT, folders MAP<STRING, STRING>").option("pathGlobFilter", "*.json").json(f"{path}/_manifests")
-    folders = [r["folder"] for r in manifests.select(F.col("folders")[sink].alias("folder")).collect() if r["folder"]]
-    if not folders:
-        return None
-    return spark.read.parquet(*[f"{path}/{f}" for f in folders])
+    named = manifests.select("batch_id", F.col("folders")[sink].alias("folder")).collect()
+    return {r["batch_id"]: f"{path}/{r['folder']}" for r in named if r["folder"]}
+
+
+def committed(spark: SparkSession, path: str, sink: str) -> DataFrame | None:
+    """All rows of a sink in committed batches; None before the first."""
+    folders = committed_folders(spark, path, sink)
+    return spark.read.parquet(*folders.values()) if folders else None
+
+
+def partitions_of(spark: SparkSession, folder: str, column: str) -> list[str]:
+    """The values that a folder was written apart by."""
+    system, to = _file_system(spark, folder)
+    names = [status.getPath().getName() for status in system.listStatus(to(folder))]
+    return [name.removeprefix(f"{column}=") for name in names if name.startswith(f"{column}=")]
 
 
 def inspect_by_route(answers: DataFrame, **scan_options) -> dict[str, DataFrame]:

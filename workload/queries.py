@@ -632,7 +632,7 @@ def _stub():
                 if b
                 else '{"malicious": false, "confidence": 95}'
             )
-            yield batch[["cache_key"]].assign(reply=reply)
+            yield pd.DataFrame({"cache_key": batch["cache_key"], "reply": reply})
 
     return score
 
