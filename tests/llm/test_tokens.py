@@ -39,6 +39,22 @@ def test_byte_bpe_equals_the_library(spark, monkeypatch):
     assert bpe.digests(docs(spark).limit(0), path).collect() == []
 
 
+def test_positions_of_a_block_are_not_shuffled(spark, monkeypatch):
+    """The written positions are read where the ids arrive; blocks without a word keep their documents."""
+    monkeypatch.setattr(bpe, "BLOCK", 1)
+    path = tokens.public(RANKS)
+    before = {t.name for t in spark.catalog.listTables()}
+    found = bpe.digests(docs(spark, ["a b", "", None, "b"]), path)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    left = "".join(line for line in plan.splitlines() if line.lstrip().startswith(":"))
+    assert "Bucketed: true" in left and "Exchange" not in left
+    nothing = hashlib.sha256(b"").hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in found.collect()}
+    assert got[1] == got[2] == (0, nothing)
+    assert [got[i][1] for i in (0, 3)] == [hashlib.sha256(t).hexdigest() for t in (b"a b", b"b")]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 @given(st.lists(st.text(st.sampled_from("ab ,'s1\n\t é²!"), max_size=30), max_size=8))
 def test_blocks_cut_texts_like_the_pattern(texts):
     import public_tokenizers

@@ -8,9 +8,11 @@ them, where documents are put together by position.  Decoding maps ids through
 the table of token bytes, word by word, and joins by position in the same way.
 
 A block has each of its words once, so no word is hot however frequent it is; the
-words of a block travel as one compressed list per target, the positions as
-compressed number arrays.  Blocks hold about ``BLOCK`` code points, or one longer
-document.  Row and block numbers come from tasks and live in a written table.
+words of a block travel as one compressed list per target.  The positions, as
+compressed number arrays, are written once and stay where they lie: the table is
+bucketed by block, so only the ids are shuffled to meet them.  Blocks hold about
+``BLOCK`` code points, or one longer document.  Row and block numbers come from
+tasks and live in that table.
 
 Defined results: a NULL or empty text has no ids and the digests of nothing;
 repeated rows are encoded as often as they occur; an empty table gives no rows;
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import stored
+from .common import bucketed
 
 #: Code points of a block of documents.
 BLOCK = 8_000_000
@@ -163,7 +165,7 @@ def numbered(docs: DataFrame, targets: int) -> DataFrame:
             for row in block.rows(number, targets):
                 yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, ROWS), "words")
+    return bucketed(docs.select("doc_id", "text").mapInArrow(run, ROWS), "words", "block", targets)
 
 
 def encoded_words(rows: DataFrame, path: str, targets: int) -> DataFrame:
@@ -186,22 +188,23 @@ def encoded_words(rows: DataFrame, path: str, targets: int) -> DataFrame:
     return words.repartition(targets, "target").mapInArrow(run, ROWS)
 
 
-def _assembled(table: pa.Table, what) -> pa.Table:
+def _assembled(documents: pa.Table, words: pa.Table, what) -> pa.Table:
     """Put the documents of one block together; ``what`` makes a row of a document's words."""
-    documents, ids = None, {}
-    for row in table.to_pylist():
-        if row["target"] == DOCUMENTS:
-            documents = row
-        else:
-            ids.update(zip(unpacked(row["numbers"]).tolist(), unpacked_words(row["payload"]), strict=True))
-    numbers = unpacked(documents["payload"])
-    return what([ids[i] for i in range(len(ids))], documents["doc_ids"], documents["counts"], numbers)
+    ids: dict[int, bytes] = {}
+    for row in words.select(["numbers", "payload"]).to_pylist():
+        ids.update(zip(unpacked(row["numbers"]).tolist(), unpacked_words(row["payload"]), strict=True))
+    (block,) = documents.to_pylist()
+    numbers = unpacked(block["payload"])
+    return what([ids[i] for i in range(len(ids))], block["doc_ids"], block["counts"], numbers)
 
 
-def _both(docs: DataFrame, path: str) -> DataFrame:
+def _by_block(docs: DataFrame, path: str, what, schema: T.StructType) -> DataFrame:
+    """The results of ``what`` for the documents of all blocks."""
     targets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = numbered(docs, targets)
-    return rows.where(F.col("target") == DOCUMENTS).union(encoded_words(rows, path, targets))
+    documents = rows.where(F.col("target") == DOCUMENTS).groupBy("block")
+    words = encoded_words(rows, path, targets).groupBy("block")
+    return documents.cogroup(words).applyInArrow(lambda d, w: _assembled(d, w, what), schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -216,7 +219,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         ids = [tokens.ragged(flat, ends, n).astype(np.int32) if len(n) else n.astype(np.int32) for n in np.split(numbers, cuts)]
         return pa.table([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return _both(docs, path).groupBy("block").applyInArrow(lambda t: _assembled(t, what), schema)
+    return _by_block(docs, path, what, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -255,4 +258,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(out[n], t) for n, t in zip(schema.names, types, strict=True)], names=schema.names)
 
-    return _both(docs, path).groupBy("block").applyInArrow(lambda t: _assembled(t, what), schema)
+    return _by_block(docs, path, what, schema)

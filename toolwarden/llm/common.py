@@ -35,6 +35,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like :func:`stored`, the rows dealt over buckets by ``key``: a grouping by ``key`` takes
+    them as they lie, without a shuffle.
+
+    The buckets are known to the catalog only, so the table is entered there, resolved, and
+    taken out again; the files stay."""
+    spark = df.sparkSession
+    table = f"llm_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
 def carried(names: list[str]) -> list[Column]:
     """The columns of a table under names that no step of an operator uses."""
     return [F.col(f"`{n}`").alias(f"_in{i}") for i, n in enumerate(names)]
