@@ -91,6 +91,30 @@ def test_metrics_text(spark, tmp_path):
     assert stats.total_tools_blocked == 7 and stats.findings_by_type == {"aws_access_key": 1} and stats.kill_switch_enabled
 
 
+def test_metrics_are_computed_once(spark):
+    """HELP and TYPE come with the first sample of a name; all samples stay, repeated and unknown ones, too."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    rows = [("scans_total", {}, 1.0), ("detections_total", {"pattern": "b"}, 2.0), ("detections_total", {"pattern": "a"}, 3.0),
+            ("detections_total", {"pattern": "a"}, 3.0), ("other", {}, 4.0)]
+    schema = "name STRING, labels MAP<STRING,STRING>, value DOUBLE"
+    metrics = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    lines = [(r.name, r.part, r.line) for r in MT.metric_lines(metrics, "p_").orderBy("name", "part", "sample").collect()]
+    assert calls.value == len(rows)
+    help_, type_ = (lambda n: f"# HELP p_{n} {MT.HELP[n][1]}"), (lambda n: f"# TYPE p_{n} {MT.HELP[n][0]}")
+    assert lines == [
+        ("detections_total", 0, help_("detections_total")), ("detections_total", 1, type_("detections_total")),
+        ("detections_total", 2, 'p_detections_total{pattern="a"} 3'), ("detections_total", 2, 'p_detections_total{pattern="a"} 3'),
+        ("detections_total", 2, 'p_detections_total{pattern="b"} 2'), ("other", 2, "p_other 4"),
+        ("scans_total", 0, help_("scans_total")), ("scans_total", 1, type_("scans_total")), ("scans_total", 2, "p_scans_total 1"),
+    ]
+
+
 def test_label_quotes_are_escaped(spark):
     df = spark.createDataFrame([("detections_total", {"pattern": 'a"b'}, 2.0)], "name STRING, labels MAP<STRING,STRING>, value DOUBLE")
     lines = [r.line for r in MT.metric_lines(df, "p_").where("part = 2").collect()]

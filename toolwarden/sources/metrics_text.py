@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HELP = {
@@ -58,24 +58,28 @@ def metric_lines(metrics: DataFrame, prefix: str = "toolwarden_") -> DataFrame:
     ).otherwise(F.lit(""))
     name = F.concat(F.lit(prefix), F.col("name"))
     samples = metrics.select(
-        "name",
-        F.lit(2).alias("part"),
-        labels.alias("sample"),
-        F.concat(name, labels, F.lit(" "), number).alias("line"),
+        "name", labels.alias("sample"), F.concat(name, labels, F.lit(" "), number).alias("line")
     )
+    # The first sample of a name brings its HELP and TYPE, so the metrics are computed once.
+    first = F.row_number().over(Window.partitionBy("name").orderBy("sample", "line")) == 1
     described = metrics.sparkSession.createDataFrame(
         [
-            row
+            (n, f"# HELP {prefix}{n} {text}", f"# TYPE {prefix}{n} {kind}")
             for n, (kind, text) in HELP.items()
-            for row in (
-                (n, 0, "", f"# HELP {prefix}{n} {text}"),
-                (n, 1, "", f"# TYPE {prefix}{n} {kind}"),
-            )
         ],
-        "name STRING, part INT, sample STRING, line STRING",
+        "name STRING, _help STRING, _type STRING",
+    )
+
+    def part(number: int, sample: Column, line: Column) -> Column:
+        return F.struct(F.lit(number).alias("part"), sample.alias("sample"), line.alias("line"))
+
+    own = F.array(part(2, F.col("sample"), F.col("line")))
+    head = F.array(part(0, F.lit(""), F.col("_help")), part(1, F.lit(""), F.col("_type")))
+    return (
+        samples.withColumn("_first", first)
+        .join(F.broadcast(described), "name", "left")
+        .select("name", F.inline(F.when(F.col("_first") & F.col("_help").isNotNull(), F.concat(head, own)).otherwise(own)))
     )
-    present = metrics.select("name").distinct()
-    return described.join(present, "name", "left_semi").unionByName(samples)
 
 
 def write_metrics(metrics: DataFrame, path: str, prefix: str = "toolwarden_") -> None:
