@@ -201,6 +201,27 @@ def test_classes_of_ranges_are_quick(spark):
     assert seconds(X.hidden_class()) < 5 * seconds(r"[\x{80}-\x{A0}\x{AD}]")
 
 
+def test_hidden_characters_are_found_behind_the_gates(spark):
+    """ASCII and European texts are told without the whole class, with the same result."""
+    texts = ["", "ascii", "\x7f\x80é\u0377 ſ", "é\u00ad", "\u00ad", "é\u0378", "\u0378", "日本語", "日本\u200b語", "é \U0001f600", "é \U000e0001", "\ue000"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = {r.t: r.found for r in df.select("t", X.has_hidden(F.col("t")).alias("found")).collect()}
+    assert got == {t: any(c > "\x7f" and unicodedata.category(c) in ("Cf", "Co", "Cn") for c in t) for t in texts}
+
+
+def test_boundaries_in_front_of_letters_equal_python(spark):
+    """Only the letter's place is looked at, not every place of the text."""
+    assert X.jvm_dialect(r"\brm").startswith("(?=r)") and "|" not in X.jvm_dialect(r"\brm")
+    patterns = [r"\brm\s+-rf\b", r"\b__import__\b", r"\bsudo\s+", r"\bk\w", r"\bx?y"]
+    texts = ["rm -rf", "a rm -rf x", "arm -rf", "RM  -RF,rm -rf", "é rm -rf", "érm -rf", "_rm -rf", "1rm -rf", "日rm -rf", "x\nrm -rf\n",
+             "__import__", "a__import__", "-__import__-", "ſudo sudo  Sudo", "\u212aa ka aka", "y xy axy"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    for p in patterns:
+        found = F.regexp_extract_all("t", F.lit(X.IGNORE_CASE + X.jvm_dialect(p)), F.lit(0))
+        got = {r.t: r.m for r in df.select("t", found.alias("m")).collect()}
+        assert got == {t: [m[0] for m in re.finditer(p, t, re.IGNORECASE)] for t in texts}, p
+
+
 def test_base64_runs_are_quick_and_whole(spark):
     """Runs at every place and behind every kind of character; the classes that look for them list no ranges
     (before: four to five ranges, tested one after the other for every character)."""

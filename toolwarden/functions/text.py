@@ -36,7 +36,12 @@ _IN_CLASS = {"s": _SPACE, "w": _WORD}
 def jvm_dialect(pattern: str) -> str:
     """The same matches with the JVM's engine: its shorthand classes are spelled out."""
     out, inside = [], False
-    for token in re.findall(r"\\.|.", pattern, re.DOTALL):
+    tokens = re.findall(r"\\.|.", pattern, re.DOTALL)
+    for token, *after in zip(tokens, [*tokens[1:], ""], [*tokens[2:], "", ""]):
+        if token == "\\b" and not inside and re.fullmatch("[A-Za-z_]", after[0]) and after[1] not in set("?*{"):
+            # In front of a letter only the sign before it counts, and only where the letter stands.
+            out.append(f"(?={after[0]})(?<![{_WORD}])")
+            continue
         if token[0] == "\\":
             out.append((_IN_CLASS if inside else _PLAIN).get(token[1], token))
             continue
@@ -83,9 +88,33 @@ def range_class(ranges: list[tuple[int, int]]) -> str:
 
 
 @lru_cache(maxsize=1)
-def hidden_class() -> str:
+def hidden_ranges() -> list[tuple[int, int]]:
     """Format, private-use and unassigned code points above ASCII, by Python's tables."""
-    return range_class(code_point_ranges(lambda c: unicodedata.category(c) in ("Cf", "Co", "Cn"), 0x80))
+    return code_point_ranges(lambda c: unicodedata.category(c) in ("Cf", "Co", "Cn"), 0x80)
+
+
+@lru_cache(maxsize=1)
+def hidden_class() -> str:
+    """The class of the hidden characters."""
+    return range_class(hidden_ranges())
+
+
+def is_ascii(text: Column) -> Column:
+    """Has the text as many bytes as characters?"""
+    return F.octet_length(text) == F.length(text)
+
+
+#: Up to here letters are European ones, which most texts beyond ASCII have.
+_LATIN_END = 0x24F
+
+
+def has_hidden(text: Column) -> Column:
+    """Is there a hidden character?  ASCII texts have none, and texts of European letters are told by
+    one comparison a character; only the others are searched by the whole class."""
+    near = [chr(c) for a, b in hidden_ranges() for c in range(a, b + 1) if c <= _LATIN_END]
+    far = min(max(a, _LATIN_END + 1) for a, b in hidden_ranges() if b > _LATIN_END)
+    some = any_of([F.contains(text, F.lit(c)) for c in near]) | F.rlike(text, F.lit(rf"[^\x00-\x{{{far - 1:X}}}]"))
+    return ~is_ascii(text) & some & F.rlike(text, F.lit(hidden_class()))
 
 
 @lru_cache(maxsize=1)
@@ -110,7 +139,7 @@ def any_of(conditions: list[Column]) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower-cased text in which every case-insensitive match is plain ASCII."""
-    unusual = any_of([F.contains(text, F.lit(c)) for c in _FOLDING_LETTERS])
+    unusual = ~is_ascii(text) & any_of([F.contains(text, F.lit(c)) for c in _FOLDING_LETTERS])
     return F.lower(
         F.when(unusual, F.translate(text, _FOLDING_LETTERS, _FOLDED_TO)).otherwise(text)
     )
@@ -189,10 +218,10 @@ _ALNUM = string.ascii_letters + string.digits
 def has_base64_run(text: Column, size: int) -> Column:
     """Is there a run of at least ``size`` base64 letters?
 
-    A run starts the text or comes behind a character that is no letter or
-    digit; testing these places is much cheaper than trying every character."""
-    run = rf"[{_ALNUM}+/]{{{size}}}+"
-    return F.rlike(text, F.lit(rf"[^{_ALNUM}]{run}")) | F.rlike(F.left(text, F.lit(size)), F.lit(rf"\A{run}"))
+    Shorter runs are passed one after the other, so every character is tested once."""
+    run = rf"[{_ALNUM}+/]"
+    shorter = rf"(?:{run}{{0,{size - 1}}}+[^{_ALNUM}+/])*+"
+    return F.rlike(text, F.lit(rf"\A{shorter}{run}{{{size}}}+"))
 
 
 def decoded_base64(run: Column) -> Column:

@@ -190,7 +190,7 @@ _STEPS: dict[str, dict[str, Callable[[X.Anchored], Column]]] = {
         "_urls": lambda f: f.find_all(R.EXTERNAL_URL),
     },
     "Cross-Tool Manipulation": {"_cross": lambda f: f.find_all_rules(R.CROSS_TOOL)},
-    "Invisible Characters": {"_hidden": lambda f: F.rlike(f.text, F.lit(X.hidden_class()))},
+    "Invisible Characters": {"_hidden": lambda f: X.has_hidden(f.text)},
     "Obfuscated Payloads": {
         "_runs": lambda f: _base64_runs(f.text),
         "_hex": lambda f: _count(f.text, f.low, "0x", _HEX_RUN),

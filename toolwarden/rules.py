@@ -77,10 +77,10 @@ PROMPT_INJECTION = _rules(
     (r"Do\s+Anything\s+Now", "now", "anything"),
     (r"act\s+as\s+if\s+you\s+have\s+no\s+restrictions", "you", "restrictions"),
     (r"pretend\s+you\s+(are|have)\s+(no|unrestricted)", "you", "pretend"),
-    (r"enter\s+(developer|debug|god|admin)\s+mode", "mode", "enter"),
-    (r"enable\s+(developer|debug|god|admin)\s+mode", "mode", "enable"),
-    (r"jailbreak", "jailbreak"),
-    (r"bypass\s+(your|all|safety|content)\s+(filters?|restrictions?|guidelines?|rules?)", "bypass", ("filter", "restriction", "guideline", "rule")),
+    (r"enter\s+(developer|debug|god|admin)\s+mode", "mod", "enter"),
+    (r"enable\s+(developer|debug|god|admin)\s+mode", "mod", "enable"),
+    (r"jailbreak", "eak", "jailbreak"),
+    (r"bypass\s+(your|all|safety|content)\s+(filters?|restrictions?|guidelines?|rules?)", "pass", "bypass", ("filter", "restriction", "guideline", "rule")),
     (r"ignore\s+(your|all|safety|content)\s+(filters?|restrictions?|guidelines?|rules?)", "gnore", ("filter", "restriction", "guideline", "rule")),
     (r"from\s+now\s+on\s+you\s+(will|must|should|are)", "now", "from", "you"),
     (r"respond\s+without\s+(any\s+)?(restrictions?|filters?|limitations?)", "spon", "without"),
@@ -93,7 +93,7 @@ DATA_EXFILTRATION = _rules(
     (r"post\s+all\s+data\s+to", "ll", "post"),
     (r"upload\s+all\s+data\s+to", "ll", "upload"),
     (r"\bexfiltrat", "xfiltrat"),
-    (r"leak\s+the\s+(data|secrets?|keys?|tokens?|credentials?)", "leak", "the"),
+    (r"leak\s+the\s+(data|secrets?|keys?|tokens?|credentials?)", "eak", "leak", "the"),
     (r"include\s+all\s+(conversation|context|history)\s+in\s+the\s+(request|body|payload)", "ll", "include", "the"),
     (r"attach\s+all\s+(conversation|context|history)", "ll", "attach"),
     (r"\bwebhook\b", "bhook"),
@@ -116,7 +116,7 @@ CROSS_TOOL = _rules(
     (r"chain\s+with", "chain", "with"),
     (r"pipe\s+(output|result)\s+to", "pipe", ("output", "result")),
     (r"redirect\s+(output|result)\s+to", "redirect", ("output", "result")),
-    (r"depends\s+on\s+calling", "calling", "depends"),
+    (r"depends\s+on\s+calling", "ll", "calling", "depends"),
     (r"requires\s+(calling|executing|running)", "quires", ("calling", "executing", "running")),
     (r"trigger\s+the\s+\w+\s+(tool|function|endpoint)", "gger", "trigger"),
     (r"also\s+(call|invoke|trigger|run)", "lso", ("call", "invoke", "trigger", "run")),
@@ -131,7 +131,7 @@ DANGEROUS_COMMANDS = _rules(
     (r"\bos\.system\b", ".system"),
     (r"\bsubprocess\b", "bprocess"),
     (r"\b__import__\b", "_", "__import__"),
-    (r"\bchmod\s+777\b", "chmod"),
+    (r"\bchmod\s+777\b", "mod", "chmod"),
     (r"\bsudo\s+", "udo"),
     (r"\b/etc/passwd\b", "/etc/", "passwd"),
     (r"\b/etc/shadow\b", "/etc/", "shadow"),
@@ -139,7 +139,7 @@ DANGEROUS_COMMANDS = _rules(
     (r"\bAPI_KEY\b", "_", "api_key"),
     (r"\bSECRET_KEY\b", "_", "secret_key"),
     (r"\bACCESS_TOKEN\b", "_", "access_token"),
-    (r"\bPASSWORD\b", "password"),
+    (r"\bPASSWORD\b", "pass", "password"),
     (r"\bCREDENTIAL\b", "credential"),
 )
 
