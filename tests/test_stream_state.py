@@ -163,3 +163,72 @@ def test_few_partitions_and_files(spark, tmp_path):
     for batch in (tmp_path / "out" / "judged").glob("batch_id=*"):
         for bucket in batch.glob("late=*/bucket=*"):
             assert len(list(bucket.glob("*.parquet"))) <= ST.LOG_PIECES
+
+
+def test_state_is_per_slot(spark, tmp_path):
+    """Values of the state, and so the calls into it, do not grow with the sessions of a batch."""
+    rows = []
+    for i in range(3000):
+        at = START + dt.timedelta(seconds=i % 60)
+        rows += [(2 * i, at, f"s{i}", "initialize"), (2 * i + 1, at + dt.timedelta(seconds=1), f"s{i}", "tools/call")]
+    source = batches(spark, rows + sentinel(), [0, 6000, 6002], str(tmp_path / "in"))
+    with ST.keyed_state(spark):
+        query = (
+            ST.judged_sessions(source, "session", "request_id", "10 minutes", 2)
+            .writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(str(tmp_path / "out")))
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(sizes) < 4000
+    got = spark.read.parquet(str(tmp_path / "out")).where("row < 1000000000")
+    assert got.count() == got.where("valid AND NOT late").select("row").distinct().count() == 6000
+
+
+def test_sessions_that_share_a_slot(spark, tmp_path):
+    """Several sessions in one state, ids that are text."""
+    rows = [(f"{i:05d}", *rest) for i, *rest in arriving(random.Random(8), 420, 500, 0.06)]
+    source = batches(spark, rows + [("x1", *sentinel()[0][1:]), ("x2", *sentinel()[1][1:])], [*range(0, 421, 60), 422], str(tmp_path / "in"), SCHEMA.replace("request_id BIGINT", "request_id STRING"))
+    out = str(tmp_path / "out")
+    ST.session_states(source, "session", out, str(tmp_path / "cp"), lateness="10 minutes", salts=2, slots=2)
+    got = {r.row: r.valid for r in ST.session_results(spark, out).where("row NOT LIKE 'x%'").collect()}
+    assert got == replay(rows)
+
+
+def test_order_within_a_millisecond(spark, tmp_path):
+    """The time of a request counts to the microsecond, before its id."""
+    at = lambda m, us: START + dt.timedelta(minutes=m, microseconds=us)
+    rows = [
+        (5, at(0, 300), "a", "initialize"), (4, at(0, 700), "a", "tools/call"), (3, at(30, 100), "a", "close"), (2, at(30, 101), "a", "tools/call"),
+        (7, at(60, 500), "b", "tools/call"), (6, at(60, 900), "b", "initialize"), (8, at(61, 0), "b", "tools/call"),
+        (1, at(0, 500), "a", "close"),
+    ]
+    got = judged(spark, rows + sentinel(), tmp_path, 2, [0, 4, 7, 8, 10])
+    assert {i: v for i, (v, _) in got.items()} == replay(rows)
+    assert not got[4][0] and got[1][1]
+
+
+def test_requests_without_a_time(spark, tmp_path):
+    """They come before all others of their session, as in the batch rule."""
+    at = lambda m: START + dt.timedelta(minutes=m)
+    rows = [
+        (1, at(0), "a", "tools/call"), (2, at(40), "b", "initialize"), (3, at(41), "c", "tools/call"),
+        (4, None, "a", "initialize"), (5, None, "a", "tools/call"), (6, at(90), "a", "tools/call"), (7, None, None, "tools/call"),
+        (8, None, "b", "close"), (9, at(91), "b", "tools/call"), (10, at(92), "a", "close"), (11, at(93), "a", "tools/call"),
+    ]
+    got = judged(spark, rows + sentinel(), tmp_path, 2, [0, 3, 7, 11, 13])
+    want = SE.with_session_validity(spark.createDataFrame(rows, SCHEMA), "session", "request_id").collect()
+    assert {i: v for i, (v, _) in got.items()} == {r.request_id: r.valid for r in want}
+    assert got[5][0] and got[6][0] and not got[11][0]
+
+
+def test_late_rows_settle_what_follows_them(spark, tmp_path):
+    """A late row of a long session has the rows since its batch began judged again, by the last change before them."""
+    at = lambda m: START + dt.timedelta(minutes=m)
+    rows = [(i, at(i), "a", "initialize" if i in (0, 30) else "close" if i == 20 else "tools/call") for i in range(200)]
+    rows += [(1000, at(150), "b", "tools/call"), (1001, at(170) + dt.timedelta(seconds=30), "a", "close"), (1002, at(300), "b", "tools/call")]
+    got = judged(spark, rows + sentinel(), tmp_path, 2, [0, 60, 120, 201, 203, 205])
+    assert {i: v for i, (v, _) in got.items()} == replay(rows)
+    settled = [r.row for r in spark.read.parquet(str(tmp_path / "out" / "settled")).collect()]
+    # Rows from 110 on leave the state with the late one, those before stand as they were.
+    assert sorted(settled) == [*range(110, 190), 1001]

@@ -1088,7 +1088,9 @@ def _arriving(spark, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
     cut = F.least(F.floor((F.col("_at") - (span["a"] or 0)) / width), F.lit(ARRIVALS - 1)).cast("int")
     rows = written(rows.withColumn("_part", cut).drop("_at"), f"{name}-rows")
     for part in range(ARRIVALS):
-        rows.where(F.col("_part") == part).drop("_part").coalesce(1).write.parquet(f"{path}/part={part}")
+        # One file is one batch; row groups let several tasks read it.
+        mine = rows.where(F.col("_part") == part).drop("_part").coalesce(1)
+        mine.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/part={part}")
     for part in range(2):
         end = rows.drop("_part").limit(0).select("request_id", "user_id", "ts", "method")
         far = spark.range(1).select(
